@@ -1,6 +1,13 @@
 """Column functions."""
 
-from .extremes import date_of_max, date_of_max_count, date_of_min, date_of_min_count
+from .extremes import (
+    date_of_max,
+    date_of_max_count,
+    date_of_max_return,
+    date_of_min,
+    date_of_min_count,
+    date_of_min_return,
+)
 from .measures import (
     display_date,
     display_number,
@@ -27,8 +34,10 @@ __all__ = [
     "add_period",
     "date_of_max",
     "date_of_max_count",
+    "date_of_max_return",
     "date_of_min",
     "date_of_min_count",
+    "date_of_min_return",
     "display_date",
     "display_number",
     "label_of_key",

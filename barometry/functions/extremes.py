@@ -1,4 +1,10 @@
-"""Aggregates that say on which date an extreme was reached."""
+"""Aggregates that say on which date an extreme was reached.
+
+Of several such dates the earliest counts, whatever the order of the input.  The
+pair (value, date) orders the rows; where value and date fit together into one
+number, the aggregation buffer has a fixed width and Spark aggregates by hash.  A
+struct as the order would make it sort all rows first, at twice the time.
+"""
 
 from __future__ import annotations
 
@@ -7,17 +13,52 @@ from pyspark.sql import functions as F
 
 from .. import schema as s
 
-_DATE_DIGITS = 7  # days since 1970 up to the year 9999
+_DATE_BITS = 23  # days since 1970 up to the year 9999, with their sign
+_RETURN_LIMIT = 1e8  # in percent; ten thousandths of it and the days fit into 63 bits
+
+
+def first_by(value: Column | str, major: Column, minor: Column, minor_bits: int) -> Column:
+    """``value`` of the row that comes first by the integers ``major``, then ``minor``.
+
+    ``minor``, with its sign, always fits into ``minor_bits`` bits.  A ``major`` too
+    large for the rest of a long goes into a decimal, which is exact but slow.  The
+    smallest ``major`` of the group tells which of the two holds the first row.
+    """
+    limit = 2 ** (62 - minor_bits)
+    fits = F.abs(major) < limit
+    short = F.min_by(value, F.when(fits, major * 2**minor_bits + minor))
+    long = F.min_by(value, F.when(~fits, s.packed(major, minor, minor_bits // 3)))
+    return F.when(F.abs(F.min(major)) < limit, short).otherwise(long)
 
 
 def date_of_min_count(value: str, date: str = s.DATE) -> Column:
     """Earliest date on which an integer column was smallest."""
-    return F.min_by(date, s.packed(F.col(value), F.unix_date(date), _DATE_DIGITS))
+    return first_by(date, F.col(value), F.unix_date(date), _DATE_BITS)
 
 
 def date_of_max_count(value: str, date: str = s.DATE) -> Column:
     """Earliest date on which an integer column was largest."""
-    return F.max_by(date, s.packed(F.col(value), -F.unix_date(date), _DATE_DIGITS))
+    return first_by(date, -F.col(value), F.unix_date(date), _DATE_BITS)
+
+
+def _return_and_days(value: str, days: Column) -> Column:
+    number = F.floor(F.col(value) * 10000 + 0.5) * 2**_DATE_BITS + days
+    return F.when(F.abs(value) < _RETURN_LIMIT, number)
+
+
+def date_of_min_return(value: str, date: str = s.DATE) -> Column:
+    """Earliest date on which a return, rounded to four places, was smallest.
+
+    An extreme beyond a hundred million percent is looked up by its value alone.
+    """
+    packed = F.min_by(date, _return_and_days(value, F.unix_date(date)))
+    return F.when(F.abs(F.min(value)) < _RETURN_LIMIT, packed).otherwise(F.min_by(date, value))
+
+
+def date_of_max_return(value: str, date: str = s.DATE) -> Column:
+    """Earliest date on which a return, rounded to four places, was largest."""
+    packed = F.max_by(date, _return_and_days(value, -F.unix_date(date)))
+    return F.when(F.abs(F.max(value)) < _RETURN_LIMIT, packed).otherwise(F.max_by(date, value))
 
 
 def date_of_min(value: str, date: str = s.DATE) -> Column:

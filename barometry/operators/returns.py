@@ -88,9 +88,9 @@ def return_stats_columns(column: str = Period.DAY.return_column) -> list[Column]
     """Aggregates behind :func:`ticker_return_stats`, for use in a wider ``agg``."""
     return [
         F.min(column).alias(f"min_{column}"),
-        extremes.date_of_min(column).alias(f"min_{column}_date"),
+        extremes.date_of_min_return(column).alias(f"min_{column}_date"),
         F.max(column).alias(f"max_{column}"),
-        extremes.date_of_max(column).alias(f"max_{column}_date"),
+        extremes.date_of_max_return(column).alias(f"max_{column}_date"),
         F.stddev_samp(column).alias(f"std_{column}"),
     ]
 

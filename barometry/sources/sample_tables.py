@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as s
+from ..functions.extremes import first_by
 
 
 # Columns used here.  A given schema saves the job that would look for one.
@@ -72,27 +73,26 @@ def companies_from_customers(spark: SparkSession, folder: str) -> DataFrame:
 def bars_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """A supplier nation is a ticker; the shipped lines of a day make its bar.
 
-    Lines are ordered by order and line number, then price; prices are amounts with
-    two decimals, so the cents settle any tie.
+    Lines are ordered by order and line number (at most 7), then price; prices are
+    amounts with two decimals below 167,772, so 24 bits of cents settle any tie.
     """
-    line = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    cents = F.floor(F.col("l_extendedprice") * 100 + 0.5)
     lines = _table(spark, folder, "lineitem").select(
         "l_suppkey",
         F.to_date("l_shipdate").alias(s.DATE),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"),
-        s.packed(line, cents, 15).alias("position"),
+        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
+        F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
     )
     supplier = _table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
     days = (
         lines.join(supplier, "l_suppkey")
         .groupBy("s_nationkey", s.DATE)
         .agg(
-            F.min_by("price", "position").alias(s.OPEN),
+            first_by("price", F.col("line"), F.col("cents"), 25).alias(s.OPEN),
             F.max("price").alias(s.HIGH),
             F.min("price").alias(s.LOW),
-            F.max_by("price", "position").alias(s.CLOSE),
+            first_by("price", -F.col("line"), -F.col("cents"), 25).alias(s.CLOSE),
             F.sum("quantity").cast("bigint").alias(s.VOLUME),
         )
     )
