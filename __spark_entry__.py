@@ -178,20 +178,25 @@ def _rsi_zone(spark: SparkSession, folder: str) -> DataFrame:
 # Correlation --------------------------------------------------------------
 
 
+def _event_pairs(spark: SparkSession, folder: str, focus: list[str] | None = None) -> DataFrame:
+    return op.correlation_pairs(_events(spark, folder), focus, _customers(spark, folder))
+
+
 def _correlation_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(op.correlation_pairs(_events(spark, folder)), 6, "correlation")
+    return _rounded(_event_pairs(spark, folder), 6, "correlation")
 
 
 def _correlation_focus(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(op.correlation_pairs(_events(spark, folder), EVENT_FOCUS), 6, "correlation")
+    return _rounded(_event_pairs(spark, folder, EVENT_FOCUS), 6, "correlation")
 
 
 def _correlation_top(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(op.top_correlations(op.correlation_pairs(_events(spark, folder))), 6, "correlation")
+    return _rounded(op.top_correlations(_event_pairs(spark, folder)), 6, "correlation")
 
 
 def _correlated_partners(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(op.correlated_partners(op.correlation_pairs(_lines(spark, folder))), 6, "correlation")
+    pairs = op.correlation_pairs(_lines(spark, folder), None, _nations(spark, folder))
+    return _rounded(op.correlated_partners(pairs), 6, "correlation")
 
 
 # Profile ------------------------------------------------------------------
@@ -228,7 +233,8 @@ def _top_performers(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _insights_summary(spark: SparkSession, folder: str) -> DataFrame:
-    summary = plans.insights_summary(_lines(spark, folder), None, Period.YEAR, digits=6)
+    bars, companies = _lines(spark, folder), _nations(spark, folder)
+    summary = plans.insights_summary(bars, None, Period.YEAR, companies, digits=6)
     summary = _rounded(summary, 5, "last_sharpe", "last_rsi", "top_correlation")
     return _rounded(summary, 4, "last_ad_line")
 

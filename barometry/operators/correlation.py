@@ -13,24 +13,30 @@ from ..functions.periods import Period
 from .pearson import correlate_cell
 from .returns import with_return
 
-_FOCUS_BLOCK = 512  # focus tickers per block
+_BLOCK = 1024  # tickers per block, about
 _PAIRS = "ticker_a string, ticker_b string, correlation double"
 
 
-def correlation_pairs(bars: DataFrame, focus: Sequence[str] | None = None) -> DataFrame:
+def correlation_pairs(
+    bars: DataFrame, focus: Sequence[str] | None = None, universe: DataFrame | None = None
+) -> DataFrame:
     """Pearson correlation of the daily returns of every two tickers that share a date.
 
     ``focus`` limits the result to pairs with at least one of its tickers.  Pairs
     are named in alphabetical order.  Fewer than two common returns, or a constant
-    one, give null.
-
-    Tickers are hashed into blocks, and every pair of blocks is a cell of a grid
-    that grows with ``spark.sql.shuffle.partitions``.  A ticker's history, packed
-    into one row, goes to the cells of its block; pairs are formed and computed
-    inside a cell and never shuffled.  A join on the date would instead shuffle a
-    row per pair and date, over no more keys than there are dates.  Inside a cell
-    the arithmetic is done on arrays: the same grid with one row per pair and date
-    in a hash aggregate took five times as long.
+    one, give null.  ``universe`` is a table with a row per ticker, such as the
+    companies; with it the tickers of the bars need not be counted.
+
+    Tickers are hashed into blocks, and every pair of blocks is a cell of a grid.
+    A ticker's history, packed into one row, goes to the cells of its block; pairs
+    are formed and computed inside a cell and never shuffled.  The grid grows with
+    the number of tickers, so that a cell does not, and with the number of shuffle
+    partitions, so that all of them have work.
+
+    A join on the date would instead shuffle a row per pair and date, over no more
+    keys than there are dates.  Inside a cell the arithmetic is done on arrays: the
+    same grid with one row per pair and date in a hash aggregate took three times
+    as long.
     """
     returns = with_return(bars, Period.DAY)
     # One row per ticker; its length is bounded by the calendar.
@@ -38,32 +44,41 @@ def correlation_pairs(bars: DataFrame, focus: Sequence[str] | None = None) -> Da
         F.collect_list(F.unix_date(s.DATE)).alias("days"),
         F.collect_list(F.coalesce(Period.DAY.return_column, F.lit(float("nan")))).alias("values"),
     )
+    # The count only shapes the grid, so an estimate will do.
+    if universe is None:
+        tickers = bars.agg(F.approx_count_distinct(s.TICKER))
+    else:
+        tickers = universe.agg(F.count(F.lit(1)))
+    needed = F.ceil(tickers.scalar() / _BLOCK).cast("int")
     partitions = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = _place_all(histories, partitions) if focus is None else _place_focus(histories, partitions, list(focus))
+    if focus is None:
+        placed = _place_all(histories, F.greatest(F.lit(math.ceil(2 * math.sqrt(partitions))), needed))
+    else:
+        down = max(1, math.ceil(len(focus) / _BLOCK))
+        across = F.greatest(F.lit(math.ceil(2 * partitions / down)), needed)
+        placed = _place_focus(histories, list(focus), F.lit(down), across)
     # The number of partitions is explicit so that small input is not merged into
     # one task: the work grows with the square of what a cell receives.
     cells = placed.select("cell", "left", "mirrored", s.TICKER, "days", "values").repartition(partitions, "cell")
     return cells.groupBy("cell").applyInArrow(correlate_cell, _PAIRS)
 
 
-def _block(blocks: int) -> Column:
-    return F.pmod(F.xxhash64(s.TICKER), F.lit(blocks)).cast("int")
+def _block(blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(s.TICKER), blocks).cast("int")
 
 
 def _cell(low: Column, high: Column) -> Column:
     """Number of the cell of two blocks, ``low`` not above ``high``."""
-    return (high * (high + 1) / 2).cast("int") + low
+    return F.shiftright(high.cast("bigint") * (high + 1), 1) + low
 
 
-def _place_all(histories: DataFrame, partitions: int) -> DataFrame:
+def _place_all(histories: DataFrame, blocks: Column) -> DataFrame:
     """Send a ticker to every cell of its block: left of later blocks, right of earlier ones.
 
-    There are about two cells per partition, which evens out the hashing.  In the
-    cell of a block with itself every pair turns up in both orders.
+    In the cell of a block with itself every pair turns up in both orders.
     """
-    blocks = math.ceil(2 * math.sqrt(partitions))
     rows = histories.withColumn("block", _block(blocks))
-    rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(blocks))))
+    rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), blocks)))
     block, slot = F.col("block"), F.col("slot")
     return rows.withColumns(
         {
@@ -74,20 +89,19 @@ def _place_all(histories: DataFrame, partitions: int) -> DataFrame:
     )
 
 
-def _place_focus(histories: DataFrame, partitions: int, focus: list[str]) -> DataFrame:
+def _place_focus(histories: DataFrame, focus: list[str], down: Column, across: Column) -> DataFrame:
     """Send a ticker to one cell per block of focus tickers, a focus ticker also to its row of cells.
 
     A pair of two focus tickers turns up in both orders.
     """
-    down = max(1, math.ceil(len(focus) / _FOCUS_BLOCK))
-    across = max(1, math.ceil(2 * partitions / down))
     rows = histories.withColumn("mirrored", F.col(s.TICKER).isin(focus))
     last_slot = F.when(F.col("mirrored"), down + across - 1).otherwise(down - 1)
     rows = rows.withColumn("slot", F.explode(F.sequence(F.lit(0), last_slot)))
     slot = F.col("slot")
     left = slot >= down
-    cell = F.when(left, _block(down) * across + slot - down).otherwise(slot * across + _block(across))
-    return rows.withColumns({"left": left, "cell": cell})
+    in_row = _block(down).cast("bigint") * across + slot - down
+    in_column = slot.cast("bigint") * across + _block(across)
+    return rows.withColumns({"left": left, "cell": F.when(left, in_row).otherwise(in_column)})
 
 
 def top_correlations(pairs: DataFrame, n: int = 5) -> DataFrame:

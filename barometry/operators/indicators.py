@@ -119,7 +119,8 @@ def relative_strength(
     """RSI from simple means of gains and losses over the last ``n`` bars.
 
     A ticker's first bar counts as neither gain nor loss.  Without any loss in the
-    window the index is null.  ``min_periods`` blanks the first bars of a ticker.
+    window the index is null.  ``min_periods``, up to ``n``, blanks the first bars of
+    a ticker, whose window is shorter than that.
     """
     strength = with_strength(s.only_tickers(bars, tickers), n, min_periods)
     return strength.select(s.TICKER, s.DATE, rsi_name(n))
@@ -129,11 +130,11 @@ def with_strength(bars: DataFrame, n: int = 14, min_periods: int = 1) -> DataFra
     """Bars with ``gain``, ``loss``, ``avg_gain``, ``avg_loss`` and the index."""
     recent = _by_date().rowsBetween(1 - n, 0)
     change = F.col(s.CLOSE) - F.lag(s.CLOSE).over(_by_date())
-    df = bars.withColumn("change", change)
-    df = df.withColumn("gain", F.when(F.col("change") > 0, F.col("change")).otherwise(0.0))
-    df = df.withColumn("loss", F.when(F.col("change") < 0, F.abs("change")).otherwise(0.0))
-    df = df.withColumn("avg_gain", F.avg("gain").over(recent)).withColumn("avg_loss", F.avg("loss").over(recent))
+    moves = bars.withColumns(
+        {"gain": F.when(change > 0, change).otherwise(0.0), "loss": F.when(change < 0, -change).otherwise(0.0)}
+    )
+    means = moves.withColumns({"avg_gain": F.avg("gain").over(recent), "avg_loss": F.avg("loss").over(recent)})
     index = 100 - F.try_divide(F.lit(100.0), 1 + F.try_divide("avg_gain", "avg_loss"))
     if min_periods > 1:
         index = F.when(F.count(F.lit(1)).over(recent) >= min_periods, index)
-    return df.withColumn(rsi_name(n), index).drop("change")
+    return means.withColumn(rsi_name(n), index)

@@ -20,6 +20,15 @@ def daily_return(bars: DataFrame, tickers: Sequence[str] | DataFrame | None = No
     return bars.withColumn(Period.DAY.return_column, measures.percent_change(s.OPEN, s.CLOSE))
 
 
+def period_end_columns() -> list[Column]:
+    """Aggregates behind :func:`period_return`, for use in a wider ``agg``."""
+    return [
+        F.min(s.DATE).alias(PERIOD_START),
+        F.min_by(s.OPEN, s.DATE).alias("first_open"),
+        F.max_by(s.CLOSE, s.DATE).alias("last_close"),
+    ]
+
+
 def period_return(
     bars: DataFrame,
     period: Period,
@@ -36,11 +45,7 @@ def period_return(
     bars = s.only_tickers(bars, tickers)
     kept = [s.TICKER, *s.carried_columns(bars)]
     key = period_key(period, s.DATE, iso).alias("key")
-    ends = bars.groupBy(*kept, key).agg(
-        F.min(s.DATE).alias(PERIOD_START),
-        F.min_by(s.OPEN, s.DATE).alias("first_open"),
-        F.max_by(s.CLOSE, s.DATE).alias("last_close"),
-    )
+    ends = bars.groupBy(*kept, key).agg(*period_end_columns())
     return ends.select(
         *kept,
         label_of_key(period, "key").alias(period.label_column),
@@ -120,6 +125,23 @@ def return_trend(returns: DataFrame, period: Period) -> DataFrame:
     return returns.groupBy(s.TICKER).agg(last).withColumn("rising", F.col("last_return") > 0)
 
 
+def sharpe_column(
+    period: Period,
+    start: str,
+    n: int = 3,
+    annual_risk_free: float = 0.03,
+    risk_free_unit: str = "fraction",
+) -> Column:
+    """Window expression behind :func:`rolling_sharpe`; ``start`` orders the periods."""
+    if risk_free_unit not in ("fraction", "percent"):
+        raise ValueError("risk_free_unit must be 'fraction' or 'percent'")
+    rate = annual_risk_free / period.per_year * (100 if risk_free_unit == "percent" else 1)
+    value = period.return_column
+    recent = Window.partitionBy(s.TICKER).orderBy(start).rowsBetween(1 - n, 0)
+    ratio = F.try_divide(F.avg(value).over(recent) - F.lit(rate), F.stddev_samp(value).over(recent))
+    return F.when(F.count(value).over(recent) == n, ratio)
+
+
 def rolling_sharpe(
     returns: DataFrame,
     period: Period,
@@ -133,16 +155,8 @@ def rolling_sharpe(
     ("fraction") or times 100 ("percent").  Rows without a full window, or whose
     window has no spread, have no ratio and are left out.
     """
-    if risk_free_unit not in ("fraction", "percent"):
-        raise ValueError("risk_free_unit must be 'fraction' or 'percent'")
-    rate = annual_risk_free / period.per_year * (100 if risk_free_unit == "percent" else 1)
-    value, start = period.return_column, _start_column(returns)
-    recent = Window.partitionBy(s.TICKER).orderBy(start).rowsBetween(1 - n, 0)
-    ratio = F.try_divide(F.avg(value).over(recent) - F.lit(rate), F.stddev_samp(value).over(recent))
-    full = F.count(value).over(recent) == n
-    columns = [s.TICKER, *dict.fromkeys([period.label_column, start]), value]
-    return (
-        returns.select(*columns)
-        .withColumn("sharpe_ratio", F.when(full, ratio))
-        .filter(F.col("sharpe_ratio").isNotNull())
-    )
+    start = _start_column(returns)
+    columns = [s.TICKER, *dict.fromkeys([period.label_column, start]), period.return_column]
+    ratio = sharpe_column(period, start, n, annual_risk_free, risk_free_unit)
+    ratios = returns.select(*columns).withColumn("sharpe_ratio", ratio)
+    return ratios.filter(F.col("sharpe_ratio").isNotNull())

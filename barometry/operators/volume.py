@@ -38,8 +38,7 @@ def volume_by_period(
         F.round(F.stddev_samp(s.VOLUME), 4).alias("volume_volatility"),
     )
     label = F.col("key") if period is Period.DAY else label_of_key(period, "key")
-    mean_total = F.avg("total_volume").over(Window.partitionBy(s.TICKER))
-    with_mean = totals.withColumn("avg_total_volume_per_ticker", mean_total)
+    with_mean = totals.withColumn("avg_total_volume_per_ticker", _mean_total())
     return with_mean.select(
         s.TICKER,
         label.alias(period.label_column),
@@ -48,6 +47,15 @@ def volume_by_period(
     )
 
 
+def _mean_total() -> Column:
+    return F.avg("total_volume").over(Window.partitionBy(s.TICKER))
+
+
+def volume_ratio_column() -> Column:
+    """Window expression of the volume ratio, for periods that hold ``total_volume``."""
+    return F.round(F.try_divide("total_volume", _mean_total()), 4)
+
+
 def volume_describe_columns() -> list[Column]:
     """Aggregates behind :func:`volume_describe`, for use in a wider ``agg``."""
     return [

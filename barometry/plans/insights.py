@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from .. import schema as s
 from ..functions import measures
-from ..functions.periods import Period
+from ..functions.periods import Period, period_key
 from ..operators import correlation as c
 from ..operators import indicators as i
 from ..operators import returns as r
@@ -25,18 +25,20 @@ def insights(
     bars: DataFrame,
     tickers: Sequence[str] | DataFrame | None = None,
     window: Period = Period.WEEK,
+    companies: DataFrame | None = None,
     top_n: int = 5,
     scope: str = "portfolio",
 ) -> dict[str, DataFrame]:
     """The tables behind the page, each for all chosen tickers at once.
 
-    The window sets the look-back and the granularity of returns and volumes.
+    The window sets the look-back and the granularity of returns and volumes.  The
+    tables share ``bars``; persist the chosen part before if several are evaluated.
     """
     period = window.granularity
     recent = lookback(s.only_tickers(bars, tickers), window)
     returns = r.period_return(recent, period)
     averages = i.moving_average(recent, MEAN_DAYS)
-    best_pairs = c.top_correlations(c.correlation_pairs(recent), top_n)
+    best_pairs = c.top_correlations(c.correlation_pairs(recent, universe=companies), top_n)
     return {
         "bars": recent,
         "returns": returns,
@@ -57,38 +59,57 @@ def insights_summary(
     bars: DataFrame,
     tickers: Sequence[str] | DataFrame | None = None,
     window: Period = Period.WEEK,
+    companies: DataFrame | None = None,
     digits: int = 4,
 ) -> DataFrame:
     """One row per ticker with the latest or summary value of every insight.
 
-    The bars are laid out by ticker once; the daily windows, the period groups,
-    their windows and the final joins all use that layout.  ``digits`` is for the
-    deviations from the moving average.
+    Daily values, period values and partners each need one pass over their own
+    columns of the bars.  The bars are laid out by ticker, and the windows, the
+    period groups and the summaries of a pass all use that layout.  ``digits`` is
+    for the deviations from the moving average.
     """
-    period = window.granularity
     recent = cluster_by_ticker(lookback(s.only_tickers(bars, tickers), window))
+    parts = [_period_summary(recent, window.granularity), _daily_summary(recent, digits), _best_partner(recent, companies)]
+    return reduce(lambda left, right: left.join(right, s.TICKER, "left"), parts)
+
+
+def _period_summary(bars: DataFrame, period: Period) -> DataFrame:
+    """Latest return and Sharpe ratio, highest volume ratio."""
+    value, start = period.return_column, r.PERIOD_START
+    periods = bars.groupBy(s.TICKER, period_key(period, s.DATE).alias("key")).agg(
+        *r.period_end_columns(), F.sum(s.VOLUME).alias("total_volume")
+    )
+    periods = periods.withColumn(value, measures.percent_change("first_open", "last_close"))
+    periods = periods.withColumns(
+        {"sharpe_ratio": r.sharpe_column(period, start), "volume_ratio": v.volume_ratio_column()}
+    )
+    rated = F.when(F.col("sharpe_ratio").isNotNull(), F.col(start))
+    summary = periods.groupBy(s.TICKER).agg(
+        F.max_by(value, start).alias("last_return"),
+        F.max_by("sharpe_ratio", rated).alias("last_sharpe"),
+        F.max("volume_ratio").alias("max_volume_ratio"),
+    )
+    return summary.withColumns(
+        {"rising": F.col("last_return") > 0, "sharpe_band": measures.sharpe_band("last_sharpe")}
+    )
+
 
-    daily = i.with_strength(i.moving_average(recent, MEAN_DAYS), RSI_DAYS)
-    daily = i.accumulation_distribution(daily)
-    per_ticker = daily.groupBy(s.TICKER).agg(
+def _daily_summary(bars: DataFrame, digits: int) -> DataFrame:
+    """Deviations from the moving average, volume statistics, latest A/D line and RSI."""
+    daily = i.with_strength(i.moving_average(bars, MEAN_DAYS), RSI_DAYS)
+    summary = i.accumulation_distribution(daily).groupBy(s.TICKER).agg(
         *i.deviation_columns(MEAN_DAYS, digits),
         *v.volume_describe_columns(),
         F.max_by("ad_line", s.DATE).alias("last_ad_line"),
         F.max_by(i.rsi_name(RSI_DAYS), s.DATE).alias("last_rsi"),
     )
-    per_ticker = per_ticker.withColumn("rsi_zone", measures.rsi_zone("last_rsi"))
-
-    returns = r.period_return(recent, period)
-    start = r.PERIOD_START if r.PERIOD_START in returns.columns else s.DATE
-    sharpe = r.rolling_sharpe(returns, period).groupBy(s.TICKER)
-    sharpe = sharpe.agg(F.max_by("sharpe_ratio", start).alias("last_sharpe"))
-    sharpe = sharpe.withColumn("sharpe_band", measures.sharpe_band("last_sharpe"))
+    return summary.withColumn("rsi_zone", measures.rsi_zone("last_rsi"))
 
-    volume = v.volume_by_period(recent, period).groupBy(s.TICKER)
-    volume = volume.agg(F.max("volume_ratio").alias("max_volume_ratio"))
 
-    partner = c.correlated_partners(c.correlation_pairs(recent), k=1)
-    partner = partner.select(s.TICKER, F.col("partner").alias("top_partner"), F.col("correlation").alias("top_correlation"))
-
-    parts = [r.return_trend(returns, period), per_ticker, volume, sharpe, partner]
-    return reduce(lambda left, right: left.join(right, s.TICKER, "left"), parts)
+def _best_partner(bars: DataFrame, companies: DataFrame | None) -> DataFrame:
+    """The ticker whose returns correlate most."""
+    partners = c.correlated_partners(c.correlation_pairs(bars, universe=companies), k=1)
+    return partners.select(
+        s.TICKER, F.col("partner").alias("top_partner"), F.col("correlation").alias("top_correlation")
+    )

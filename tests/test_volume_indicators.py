@@ -1,0 +1,131 @@
+from __future__ import annotations
+
+import pytest
+
+from barometry import Period
+from barometry import operators as op
+from barometry.functions import rsi_zone, volume_signal
+from barometry.sources import union_bars
+from helpers import bars, closes, day, flat, table
+
+
+def volumes(spark, ticker, *dates_and_volumes):
+    return bars(spark, *[(ticker, d, 1, 1, 1, 1, v) for d, v in dates_and_volumes])
+
+
+def test_volume_by_month(spark):
+    df = volumes(
+        spark, "AA", ("2024-01-05", 10), ("2024-01-03", 30), ("2024-01-04", 10), ("2024-01-02", 30), ("2024-02-01", 40)
+    )
+    january, february = table(op.volume_by_period(df, Period.MONTH), "month_period")
+    assert (january["total_volume"], january["avg_volume"], january["volume_volatility"]) == (80, 20.0, 11.547)
+    assert (january["min_volume_date"], january["max_volume_date"]) == (day("2024-01-04"), day("2024-01-02"))
+    assert (january["avg_total_volume_per_ticker"], january["volume_ratio"]) == (60.0, 1.3333)
+    assert (february["volume_volatility"], february["volume_ratio"]) == (None, 0.6667)
+
+
+def test_volume_by_day(spark):
+    df = volumes(spark, "AA", ("2024-01-01", 10), ("2024-01-02", 30))
+    rows = table(op.volume_by_period(df, Period.DAY), "date")
+    assert [(r["date"], r["min_volume"], r["max_volume"], r["volume_volatility"]) for r in rows] == [
+        (day("2024-01-01"), 10, 10, None),
+        (day("2024-01-02"), 30, 30, None),
+    ]
+    assert [r["volume_ratio"] for r in rows] == [0.5, 1.5]
+
+
+def test_no_volume_gives_no_ratio(spark):
+    df = volumes(spark, "AA", ("2024-01-01", 0), ("2024-01-02", 0))
+    assert [r["volume_ratio"] for r in table(op.volume_by_period(df, Period.YEAR), "ticker")] == [None]
+
+
+def test_volume_extremes_beyond_the_short_form(spark):
+    """Volumes that fill a long are ordered as exactly as small ones."""
+    huge = 2**62
+    df = volumes(
+        spark, "AA", ("2024-01-04", huge), ("2024-01-03", 5), ("2024-01-02", huge + 1), ("2024-01-05", huge + 1), ("2024-01-06", 5)
+    )
+    row = op.volume_describe(df.unionByName(volumes(spark, "BB", ("2024-01-07", huge), ("2024-01-06", huge)))).orderBy("ticker").collect()
+    assert (row[0]["min_volume_date"], row[0]["max_volume_date"]) == (day("2024-01-03"), day("2024-01-02"))
+    assert (row[1]["min_volume_date"], row[1]["max_volume_date"]) == (day("2024-01-06"), day("2024-01-06"))
+
+
+def test_volume_signal(spark):
+    df = spark.createDataFrame([(1.5,), (1.0,), (0.5,), (None,)], "r double")
+    assert [row[0] for row in df.select(volume_signal("r")).collect()] == ["above usual", "usual", "below usual", None]
+
+
+def test_moving_average_and_deviation(spark):
+    df = flat(spark, "AA", [("2024-01-01", 3), ("2024-01-02", 6), ("2024-01-03", 0), ("2024-01-04", 3)])
+    averages = op.moving_average(df)
+    rows = table(averages, "date")
+    assert [r["daily_return_mavg_3d"] for r in rows] == [3.0, 4.5, 3.0, 3.0]
+    assert [r["daily_return_diff_3d"] for r in rows] == [0.0, 1.5, -3.0, 0.0]
+    assert op.deviation_summary(averages).first().asDict() == {
+        "ticker": "AA",
+        "min_deviation": -3.0,
+        "min_deviation_date": day("2024-01-03"),
+        "max_deviation": 1.5,
+        "max_deviation_date": day("2024-01-02"),
+        "mean_deviation": -0.375,
+    }
+
+
+def two_tickers(spark):
+    return bars(
+        spark,
+        ("A", "2024-01-01", 10, 12, 9, 11, 100),
+        ("A", "2024-01-02", 10, 12, 9, 12, 300),
+        ("A", "2024-01-03", 10, 10, 10, 10, 500),
+        ("B", "2024-01-01", 10, 12, 9, 10, 100),
+        ("B", "2024-01-02", 10, 11, 9, 10.7, 50),
+        ("B", "2024-01-03", 10, 12, 10, 10, 20),
+    )
+
+
+def test_portfolio_line(spark):
+    rows = table(op.accumulation_distribution(two_tickers(spark), True, "portfolio"), "ticker", "date")
+    assert [round(r["ad_line"], 4) + 0 for r in rows] == [0, 335, 315] * 2
+    assert [round(r["ad_oscillator"], 2) + 0 for r in rows] == [0, 167.5, 98.33] * 2
+
+
+def test_ticker_line(spark):
+    rows = table(op.accumulation_distribution(two_tickers(spark), True), "ticker", "date")
+    assert [round(r["ad_line"], 2) for r in rows] == [33.33, 333.33, 333.33, -33.33, 1.67, -18.33]
+    assert [round(r["ad_oscillator"], 2) for r in rows] == [0, 150, 100, 0, 17.5, -1.67]
+    with pytest.raises(ValueError, match="scope"):
+        op.accumulation_distribution(two_tickers(spark), scope="sector")
+
+
+def test_multiplier_without_range_or_prices(spark):
+    df = bars(
+        spark,
+        ("AA", "2024-01-01", 1, 1, 1, 1, 9),
+        ("AA", "2024-01-02", 1, None, 1, 1, 9),
+        ("AA", "2024-01-03", 1, 2, None, 1, 9),
+    )
+    assert [(r["mfm"], r["mfv"]) for r in table(op.money_flow(df), "date")] == [(0.0, 0.0)] * 3
+
+
+def test_rsi(spark):
+    df = closes(spark, "AA", "2024-01-01", [10, 12, 11, 11, 14])
+    rows = table(op.relative_strength(df, 3), "date")
+    assert list(rows[0]) == ["ticker", "date", "rsi_3d"]
+    assert [r["rsi_3d"] and round(r["rsi_3d"], 4) for r in rows] == [None, None, 66.6667, 66.6667, 75.0]
+    assert [r["rsi_3d"] is None for r in table(op.relative_strength(df, 3, min_periods=3), "date")] == [True] * 2 + [False] * 3
+
+
+def test_rsi_without_losses_is_unknown(spark):
+    rows = table(op.relative_strength(closes(spark, "AA", "2024-01-01", range(10, 30))), "date")
+    assert {r["rsi_14d"] for r in rows} == {None}
+
+
+def test_tickers_do_not_mix(spark):
+    both = union_bars([closes(spark, "AA", "2024-01-01", [10, 9, 10]), closes(spark, "BB", "2024-01-01", [50, 60, 40])])
+    alone = table(op.relative_strength(both, tickers=["AA"]), "date")
+    assert [r for r in table(op.relative_strength(both), "ticker", "date") if r["ticker"] == "AA"] == alone
+
+
+def test_rsi_zone(spark):
+    df = spark.createDataFrame([(70.1,), (70.0,), (30.0,), (29.9,), (None,)], "r double")
+    assert [row[0] for row in df.select(rsi_zone("r")).collect()] == ["overbought", "normal", "normal", "oversold", None]
