@@ -12,6 +12,9 @@ from pyspark import cloudpickle
 # of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+# A spread below this share of the sum of squares is computed anew, series by series.
+_CANCELLED = 1e-4
+
 
 def correlate_cell(table: pa.Table) -> pa.Table:
     """All pairs of a cell: a ticker of the left side with one of the right."""
@@ -22,23 +25,18 @@ def correlate_cell(table: pa.Table) -> pa.Table:
     order = np.unique(np.asarray(names.to_pylist(), dtype=object), return_inverse=True)[1]
     present, values = _matrix(table)
 
-    firsts, seconds, results = [], [], []
-    for a in lefts:
-        b = rights[(order[a] < order[rights]) | ((order[a] > order[rights]) & ~mirrored[rights])]
-        b = b[(present[a] & present[b]).any(axis=1)]
-        swapped = order[a] > order[b]
-        firsts.append(np.where(swapped, b, a))
-        seconds.append(np.where(swapped, a, b))
-        results.append(_pearson(values[a], values[b]))
-
-    def joined(parts: list[np.ndarray], dtype: type) -> np.ndarray:
-        return np.concatenate(parts) if parts else np.empty(0, dtype)
+    a_order, b_order = order[lefts][:, None], order[rights]
+    wanted = (a_order < b_order) | ((a_order > b_order) & ~mirrored[rights])
+    wanted &= present[lefts].astype(np.float32) @ present[rights].astype(np.float32).T > 0
+    i, j = np.nonzero(wanted)
+    correlation = _pearson_all(values[lefts], values[rights], wanted)[i, j]
 
-    correlation = joined(results, float)
+    a, b = lefts[i], rights[j]
+    swapped = order[a] > order[b]
     return pa.table(
         {
-            "ticker_a": names.take(pa.array(joined(firsts, np.int64))),
-            "ticker_b": names.take(pa.array(joined(seconds, np.int64))),
+            "ticker_a": names.take(pa.array(np.where(swapped, b, a))),
+            "ticker_b": names.take(pa.array(np.where(swapped, a, b))),
             "correlation": pa.array(correlation, mask=np.isnan(correlation)),
         }
     )
@@ -56,6 +54,34 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     return present, values
 
 
+def _pearson_all(x: np.ndarray, y: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Correlation of every row of ``x`` with every row of ``y`` over their common values.
+
+    Sums over the common values of all pairs are matrix products.  Where they cancel,
+    as for a series that is constant on the common dates, the pair is computed
+    from its values.
+    """
+
+    def prepared(v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        known = ~np.isnan(v)
+        mean = np.where(known, v, 0.0).sum(axis=1, keepdims=True) / np.maximum(known.sum(axis=1, keepdims=True), 1)
+        return known.astype(float), np.where(known, v - mean, 0.0)
+
+    (x_known, dx), (y_known, dy) = prepared(x), prepared(y)
+    n = np.maximum(x_known @ y_known.T, 1)
+    sum_x, sum_y = dx @ y_known.T, x_known @ dy.T
+    square_x, square_y = (dx * dx) @ y_known.T, x_known @ (dy * dy).T
+    spread_x, spread_y = square_x - sum_x * sum_x / n, square_y - sum_y * sum_y / n
+    cancelled = (spread_x <= _CANCELLED * square_x) | (spread_y <= _CANCELLED * square_y)
+    shared = dx @ dy.T - sum_x * sum_y / n
+    result = np.full(n.shape, np.nan)
+    np.divide(shared, np.sqrt(np.where(cancelled, 1.0, spread_x * spread_y)), out=result, where=~cancelled)
+    for row in np.flatnonzero((cancelled & wanted).any(axis=1)):
+        columns = np.flatnonzero(cancelled[row] & wanted[row])
+        result[row, columns] = _pearson(x[row], y[columns])
+    return result
+
+
 def _pearson(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Correlation of one series with each row of ``y`` over their common values.
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barometry import operators as op
+from barometry.operators.pearson import _pearson_all
 from barometry.sources import union_bars
 from helpers import bars, companies, flat, table
 
@@ -129,3 +130,14 @@ def test_correlation_is_bounded(market):
     df, _ = market
     low, high = op.correlation_pairs(df).agg(F.min("correlation"), F.max("correlation")).first()
     assert -1 - 1e-9 <= low <= high <= 1 + 1e-9
+
+
+def test_cancelling_sums_are_computed_from_the_values():
+    """A series that is almost constant on the common dates, but not elsewhere."""
+    x = np.array([[1e6, -3e6, 5, 5.0001, 5.0002, 5.0001, np.nan], [1e7, 2e7, 7, 7, 7, 7, 7]])
+    y = np.array([[np.nan, np.nan, 1, 2, 3, 2, 9], [4, 1, 3, 5, 1, 0, 2]])
+    found = _pearson_all(x, y, np.ones((2, 2), bool))
+    assert found[0, 0] == pytest.approx(1, abs=1e-9)
+    assert np.isnan(found[1, 0])
+    assert found[0, 1] == pytest.approx(np.corrcoef(x[0, :6], y[1, :6])[0, 1])
+    assert found[1, 1] == pytest.approx(np.corrcoef(x[1], y[1])[0, 1])
