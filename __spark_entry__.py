@@ -23,6 +23,9 @@ Query = Callable[[SparkSession, str], DataFrame]
 # A few tickers of the event bars, for the queries that select tickers.
 EVENT_FOCUS = ["U0001", "U0002", "U0003", "U0005", "U0008", "U0013"]
 
+# A mean of up to 31 numbers with four decimals never ends on a tie at this place.
+MEAN_DIGITS = 8
+
 _events = tables.bars_from_events
 _lines = tables.bars_from_lineitem
 _customers = tables.companies_from_customers
@@ -80,7 +83,7 @@ def _money_flow(spark: SparkSession, folder: str) -> DataFrame:
 
 def _return_sign(spark: SparkSession, folder: str) -> DataFrame:
     means = op.daily_return(_events(spark, folder)).groupBy("ticker").agg(F.avg("daily_return").alias("avg_daily_return"))
-    return _rounded(means.withColumn("sign", fn.sign_class("avg_daily_return")), 6, "avg_daily_return")
+    return _rounded(means.withColumn("sign", fn.sign_class("avg_daily_return")), MEAN_DIGITS, "avg_daily_return")
 
 
 # Returns ------------------------------------------------------------------
@@ -101,7 +104,7 @@ def _period_return(period: Period) -> Query:
 def _avg_return_topn(period: Period) -> Query:
     def query(spark: SparkSession, folder: str) -> DataFrame:
         top = op.top_average_returns(_events(spark, folder), period, 10, _customers(spark, folder))
-        return _rounded(top, 6, period.average_column)
+        return _rounded(top, MEAN_DIGITS, period.average_column)
 
     return query
 
@@ -229,7 +232,8 @@ def _top_performers(spark: SparkSession, folder: str) -> DataFrame:
     best = plans.top_performers(
         _events(spark, folder), _customers(spark, folder), ["ASIA", "EUROPE"], Period.MONTH, 5
     )
-    return _rounded(best, 6, "avg_daily_return", "std_daily_return")
+    best = _rounded(best, 6, "std_daily_return")
+    return _rounded(best, MEAN_DIGITS, "avg_daily_return")
 
 
 def _insights_summary(spark: SparkSession, folder: str) -> DataFrame:

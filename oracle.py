@@ -51,20 +51,26 @@ RSI = """strength AS (
     FROM (SELECT *, close - lag(close) OVER (PARTITION BY ticker ORDER BY date) AS change FROM bars)
     WINDOW w AS (PARTITION BY ticker ORDER BY date ROWS BETWEEN 13 PRECEDING AND CURRENT ROW)))"""
 
-PAIRS = """pairs AS (
-  SELECT a.ticker AS ticker_a, b.ticker AS ticker_b,
-         covar_pop(a.daily_return, b.daily_return)
-         / nullif(stddev_pop(a.daily_return) * stddev_pop(b.daily_return), 0) AS correlation
-  FROM daily a JOIN daily b ON a.date = b.date AND a.ticker < b.ticker
-  GROUP BY 1, 2)"""
+
+
+def pairs(condition: str) -> str:
+    """Correlation of ``ticker_a`` and ``ticker_b`` over the dates on which both returns are known."""
+    return f"""SELECT ticker_a, ticker_b,
+         covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS correlation
+  FROM (SELECT a.ticker AS ticker_a, b.ticker AS ticker_b,
+               CASE WHEN b.daily_return IS NOT NULL THEN a.daily_return END AS x,
+               CASE WHEN a.daily_return IS NOT NULL THEN b.daily_return END AS y
+        FROM daily a JOIN daily b ON a.date = b.date AND {condition})
+  GROUP BY 1, 2"""
+
+
+PAIRS = f"pairs AS ({pairs('a.ticker < b.ticker')})"
 
 # Every direction of a pair is computed anew here; the Spark side turns pairs around.
-PARTNERS = """partners AS (
-  SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY correlation DESC NULLS LAST, partner) AS rank
-  FROM (SELECT a.ticker AS ticker, b.ticker AS partner,
-               covar_pop(a.daily_return, b.daily_return)
-               / nullif(stddev_pop(a.daily_return) * stddev_pop(b.daily_return), 0) AS correlation
-        FROM daily a JOIN daily b ON a.date = b.date AND a.ticker <> b.ticker GROUP BY 1, 2))"""
+PARTNERS = f"""partners AS (
+  SELECT ticker_a AS ticker, ticker_b AS partner, correlation,
+         CAST(row_number() OVER (PARTITION BY ticker_a ORDER BY correlation DESC NULLS LAST, ticker_b) AS INTEGER) AS rank
+  FROM ({pairs('a.ticker <> b.ticker')}))"""
 
 # The days off are found by listing all days of the span.
 COVERAGE = """ends AS (
@@ -213,7 +219,7 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
     missing = ("open", "high", "low", "close", "date", "volume")
     missing_columns = ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}_missing" for c in missing)
     missing_total = " + ".join(f"count(*) FILTER ({c} IS NULL)" for c in missing)
-    tail = """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS row FROM bars)
+    tail = """SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY ticker ORDER BY date DESC) AS INTEGER) AS row FROM bars)
         WHERE row <= 5"""
 
     found = {
@@ -260,7 +266,7 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
         "return_sign": chain(
             EVENTS,
             DAILY,
-            f"""SELECT ticker, round(avg(daily_return), 6) AS avg_daily_return, {sign('avg(daily_return)')} AS sign
+            f"""SELECT ticker, round(avg(daily_return), 8) AS avg_daily_return, {sign('avg(daily_return)')} AS sign
             FROM daily GROUP BY 1""",
         ),
         "daily_return": chain(LINES, DAILY, "SELECT ticker, date, daily_return FROM daily"),
@@ -385,9 +391,9 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
             CUSTOMERS,
             recent("month"),
             instead(DAILY, "recent"),
-            f"""SELECT * REPLACE (round(avg_daily_return, 6) AS avg_daily_return) FROM (
+            f"""SELECT * REPLACE (round(avg_daily_return, 8) AS avg_daily_return) FROM (
               SELECT *, {sign('avg_daily_return')} AS sign,
-                     row_number() OVER (ORDER BY avg_daily_return DESC, ticker) AS rank FROM (
+                     CAST(row_number() OVER (ORDER BY avg_daily_return DESC, ticker) AS INTEGER) AS rank FROM (
                 SELECT ticker, company, sector, avg(daily_return) AS avg_daily_return, {STATS}
                 FROM daily JOIN companies USING (ticker) WHERE sector IN ('ASIA', 'EUROPE') GROUP BY 1, 2, 3))
             WHERE rank <= 5""",
@@ -437,8 +443,8 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
             EVENTS,
             CUSTOMERS,
             returns(period),
-            f"""SELECT ticker, company, sector, round(mean, 6) AS avg_{name}, rank FROM (
-              SELECT *, row_number() OVER (ORDER BY mean DESC NULLS LAST, ticker) AS rank FROM (
+            f"""SELECT ticker, company, sector, round(mean, 8) AS avg_{name}, rank FROM (
+              SELECT *, CAST(row_number() OVER (ORDER BY mean DESC NULLS LAST, ticker) AS INTEGER) AS rank FROM (
                 SELECT ticker, company, sector, avg({name}) AS mean
                 FROM returns JOIN companies USING (ticker) GROUP BY 1, 2, 3)) WHERE rank <= 10""",
         )
