@@ -28,21 +28,36 @@ def volume_by_period(
         # Daily groups do not shrink the input.  One layout by ticker serves both
         # the grouping and the window; otherwise every bar would move twice.
         bars = bars.repartition(s.TICKER)
+        # All bars of a group have its date.
+        extreme_dates = []
+        label, min_date, max_date = F.col("key"), F.col("key"), F.col("key")
+    else:
+        extreme_dates = [
+            extremes.date_of_min_count(s.VOLUME).alias("min_volume_date"),
+            extremes.date_of_max_count(s.VOLUME).alias("max_volume_date"),
+        ]
+        label = label_of_key(period, "key")
+        min_date, max_date = F.col("min_volume_date"), F.col("max_volume_date")
     totals = bars.groupBy(s.TICKER, period_key(period, s.DATE, iso).alias("key")).agg(
         F.sum(s.VOLUME).alias("total_volume"),
         F.min(s.VOLUME).alias("min_volume"),
         F.max(s.VOLUME).alias("max_volume"),
-        extremes.date_of_min_count(s.VOLUME).alias("min_volume_date"),
-        extremes.date_of_max_count(s.VOLUME).alias("max_volume_date"),
+        *extreme_dates,
         F.round(F.avg(s.VOLUME), 4).alias("avg_volume"),
         F.round(F.stddev_samp(s.VOLUME), 4).alias("volume_volatility"),
     )
-    label = F.col("key") if period is Period.DAY else label_of_key(period, "key")
     with_mean = totals.withColumn("avg_total_volume_per_ticker", _mean_total())
     return with_mean.select(
         s.TICKER,
         label.alias(period.label_column),
-        *[name for name in with_mean.columns if name not in (s.TICKER, "key")],
+        "total_volume",
+        "min_volume",
+        "max_volume",
+        min_date.alias("min_volume_date"),
+        max_date.alias("max_volume_date"),
+        "avg_volume",
+        "volume_volatility",
+        "avg_total_volume_per_ticker",
         F.round(F.try_divide("total_volume", "avg_total_volume_per_ticker"), 4).alias("volume_ratio"),
     )
 
