@@ -38,6 +38,8 @@ def correlation_pairs(
     same grid with one row per pair and date in a hash aggregate took three times
     as long.
     """
+    # A bar without a ticker or date shares its date with none.
+    bars = bars.filter(F.col(s.TICKER).isNotNull() & F.col(s.DATE).isNotNull())
     returns = with_return(bars, Period.DAY)
     # One row per ticker; its length is bounded by the calendar.
     histories = returns.groupBy(s.TICKER).agg(

@@ -108,6 +108,13 @@ def test_edges(spark):
     assert ("AA", "ZERO") in found and ("AA", "ONCE") in found and ("AA", "OTHER") not in found
 
 
+def test_bars_without_date_or_ticker_are_no_part_of_a_pair(spark):
+    df = union_bars([flat(spark, t, [("2024-01-01", 1), ("2024-01-02", r), ("2024-01-03", 0)]) for t, r in (("AA", 2), ("BB", 3))])
+    nameless = df.filter("ticker = 'AA'").withColumn("ticker", F.lit(None).cast("string"))
+    timeless = df.limit(2).withColumn("date", F.lit(None).cast("date"))
+    assert pairs_of(union_bars([df, nameless, timeless])) == pairs_of(df)
+
+
 def test_single_ticker_has_no_pairs(spark):
     assert pairs_of(flat(spark, "AA", [("2024-01-01", 1)])) == {}
 
