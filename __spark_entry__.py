@@ -18,6 +18,14 @@ from barometry import plans, schema, sources
 from barometry.functions import Period
 from barometry.sources import sample_tables as tables
 
+# The operators on texts are a part of their own and may be absent.
+try:
+    from barometry.llm import queries as texts
+except ModuleNotFoundError as missing:
+    if missing.name not in {"barometry.llm", "barometry.llm.queries", "corpus_pipeline"}:
+        raise
+    texts = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 # A few tickers of the event bars, for the queries that select tickers.
@@ -304,8 +312,8 @@ def queries() -> dict[str, Query]:
             found[f"period_return_{period.value}"] = _period_return(period)
     for period, suffix in {Period.DAY: "", Period.WEEK: "_week", Period.MONTH: "_month"}.items():
         found[f"avg_return_topn{suffix}"] = _avg_return_topn(period)
-    return found
+    return found | (texts.queries() if texts else {})
 
 
 def oracle_sql() -> dict[str, str]:
-    return oracle.statements(EVENT_FOCUS)
+    return oracle.statements(EVENT_FOCUS) | (texts.oracle_sql() if texts else {})

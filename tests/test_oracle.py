@@ -38,11 +38,12 @@ def rows_of(columns, rows):
     return sorted(rows, key=lambda row: tuple((v is None, str(v)) for v in row))
 
 
-def test_every_query_has_a_statement():
-    assert set(QUERIES) == set(SQL)
+def test_every_query_over_bars_has_a_statement():
+    assert set(SQL) <= set(QUERIES)
+    assert all(name.startswith("op") or name == "pipeline" for name in set(QUERIES) - set(SQL))
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(spark, duck, name):
     frame = QUERIES[name](spark, FOLDER)
     relation = duck.execute(SQL[name])
