@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .exact_dedup import exact_duplicates
 from .token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,8 +18,15 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_duplicates(documents(spark, folder)).drop("n_chars_text")
+
+
 def queries() -> dict[str, Query]:
-    return {"op1_token_counts": op1_token_counts}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op7_exact_dedup": op7_exact_dedup,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
