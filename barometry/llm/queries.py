@@ -9,6 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
 from .exact_dedup import exact_duplicates
+from .license_scan import scan_licenses
+from .quality import score_quality
+from .sharding import shard_documents
 from .token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -18,14 +21,29 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return scan_licenses(documents(spark, folder))
+
+
+def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    return shard_documents(documents(spark, folder))
+
+
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder)).drop("n_chars_text")
 
 
+def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
+    return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op3_license_scan": op3_license_scan,
+        "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
+        "op10_quality": op10_quality,
     }
 
 
