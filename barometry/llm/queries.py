@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
+from .packing import pack_documents
 from .quality import score_quality
 from .sharding import shard_documents
 from .token_count import count_tokens
@@ -33,6 +34,12 @@ def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact_duplicates(documents(spark, folder)).drop("n_chars_text")
 
 
+def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
+    # The rank file holds the same vocabulary as byte_bpe_50k.json, whose one special token is given.
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return pack_documents(documents(spark, folder), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -43,6 +50,7 @@ def queries() -> dict[str, Query]:
         "op3_license_scan": op3_license_scan,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_packing": op8_packing,
         "op10_quality": op10_quality,
     }
 
