@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents
+from .decontamination import find_contamination
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
 from .packing import pack_documents
@@ -26,6 +27,10 @@ def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder))
 
 
+def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    return find_contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
@@ -48,6 +53,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op3_license_scan": op3_license_scan,
+        "op4_decontamination": op4_decontamination,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
