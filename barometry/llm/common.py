@@ -89,3 +89,63 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def binary_column(values: Iterable[bytes]) -> pa.Array:
     return pa.array(list(values), pa.binary())
+
+
+def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Consecutive rows that agree in the first ``keys`` columns (integers), one table per group."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch.column(i).to_numpy() for i in range(keys)]
+        changed = np.zeros(batch.num_rows, bool)
+        changed[0] = last is not None and last != tuple(c[0] for c in columns)
+        for column in columns:
+            changed[1:] |= column[1:] != column[:-1]
+        start = 0
+        for end in np.flatnonzero(changed):
+            if end > start:
+                held.append(batch.slice(start, end - start))
+            yield pa.Table.from_batches(held)
+            held, start = [], end
+        held.append(batch.slice(start))
+        last = tuple(c[-1] for c in columns)
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of every word between white space, of UTF-8 bytes."""
+    if not data:
+        return np.zeros(0, np.uint64)
+    codes = np.frombuffer(data, np.uint8)
+    inside = np.r_[False, ~_IS_SPACE[codes], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    # Every word as a polynomial in an odd number, brought down from its place in the text.
+    powers, inverse = _powers(len(codes))
+    sums = np.zeros(len(codes) + 1, np.uint64)
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+    value = (sums[ends] - sums[starts]) * inverse[starts]
+    return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[list(SPACES)] = True
+_BASE = 0xD6E8FEB86659FD93
+_POWERS: list[np.ndarray] = []
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, from 0 to n - 1 at least."""
+    if not _POWERS or len(_POWERS[0]) < n:
+        size = max(2 * n, 2**16)
+        _POWERS.clear()
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            factors = np.full(size, base, np.uint64)
+            factors[0] = 1
+            _POWERS.append(np.multiply.accumulate(factors))
+    return _POWERS[0][:n], _POWERS[1][:n]

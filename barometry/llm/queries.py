@@ -11,6 +11,7 @@ from .common import documents
 from .decontamination import find_contamination
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .quality import score_quality
 from .sharding import shard_documents
@@ -31,6 +32,10 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return find_contamination(documents(spark, folder), spark.read.parquet(f"{folder}/benchmark.parquet"))
 
 
+def op5_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return near_duplicates(documents(spark, folder), size=2).drop("row", "first")
+
+
 def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
     return shard_documents(documents(spark, folder))
 
@@ -54,6 +59,7 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
+        "op5_near_dedup": op5_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
