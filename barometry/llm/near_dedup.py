@@ -336,7 +336,7 @@ def _visit(chunks: DataFrame, visitors: DataFrame, size: int, percent: int) -> D
     homes = chunks.select("comp", "chunk").distinct()
     blocks = visitors.select("comp", "block").distinct()
     columns = ["comp", "chunk", "block", "visitor", "cluster", "text"]
-    coming = visitors.join(homes, "comp").withColumn("visitor", F.lit(True)).select(*columns)
+    coming = visitors.select("comp", "block", "cluster", "text").join(homes, "comp").withColumn("visitor", F.lit(True)).select(*columns)
     staying = chunks.join(blocks, "comp").withColumn("visitor", F.lit(False)).select(*columns)
     met = coming.unionByName(staying).repartition("comp", "chunk", "block")
     return met.sortWithinPartitions("comp", "chunk", "block").mapInArrow(_visits(size, percent), "a bigint, b bigint")
