@@ -105,8 +105,9 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     Of a group the row with the most characters (code points of the whole text) stays,
     then the one with the smallest ``doc_id``, a null id last; of rows that agree even in
     these exactly one.  A null text is an empty one, and all texts without anything but
-    white space are equal.  One row per input row: ``doc_id, keep_id, group_size, kept,
-    text_sha256`` (of the text without white space), and ``n_chars_text``.
+    white space are equal.  One row per input row: ``row`` (its number in the order of the
+    input), ``doc_id, keep_id, group_size, kept, text_sha256`` (of the text without white
+    space), and ``n_chars_text``.
 
     Blocks that occur often, and pairs of names, are gathered with their places before
     the shuffle, so that a task gets one row of them per slice of input and not per document.
@@ -131,6 +132,7 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     order = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row")
     groups = identified.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
     return identified.join(groups, ["blocks", "name"]).select(
+        "row",
         "doc_id",
         F.col("best.doc_id").alias("keep_id"),
         "group_size",

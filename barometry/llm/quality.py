@@ -167,3 +167,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) ->
     return scores.select(
         "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted")
     )
+
+
+def _good(model: Discriminant, threshold: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded_batches(batches, _SLICE):
+            x = np.array([statistics(text or "") for text in batch.column("text").to_pylist()])
+            yield batch.filter(pa.array(model.probability(x) >= threshold))
+
+    return run
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, as they are, whose score by :func:`score_quality` reaches ``threshold``.
+
+    Texts are measured once to learn and once to decide, so that none is shuffled.
+    """
+    model = fit(written(measure(docs)), labels)
+    return docs.mapInArrow(_good(model, threshold), docs.schema)

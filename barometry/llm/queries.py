@@ -7,6 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
+
 from .common import documents
 from .decontamination import find_contamination
 from .exact_dedup import exact_duplicates
@@ -41,7 +43,7 @@ def op6_sharding(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    return exact_duplicates(documents(spark, folder)).drop("n_chars_text")
+    return exact_duplicates(documents(spark, folder)).drop("row", "n_chars_text")
 
 
 def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -64,6 +66,7 @@ def queries() -> dict[str, Query]:
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
         "op10_quality": op10_quality,
+        "pipeline": corpus_pipeline.run,
     }
 
 
