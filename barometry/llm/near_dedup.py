@@ -350,7 +350,8 @@ def _confirmed(texts: DataFrame, members: DataFrame, size: int, percent: int) ->
     weight = members.groupBy("comp").agg(F.ceil(F.sum("n") / _CHUNK).cast("int").alias("chunks"))
     placed = members.join(weight, "comp")
     placed = placed.withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    rows = placed.join(texts, "row").select("comp", "chunk", "chunks", "node", "text")
+    # Sorted on both sides at every size: candidates are a share of the texts, so none is sent to all.
+    rows = placed.join(texts.hint("merge"), "row").select("comp", "chunk", "chunks", "node", "text")
     work = rows.repartition("comp", "chunk").sortWithinPartitions("comp", "chunk")
     one = work.select("comp", "chunk", "node", "text").mapInArrow(_local_clusters(size, percent), _FOUND)
     found = written(one.join(placed.select("node", "chunks", "row"), "node"))
@@ -359,7 +360,7 @@ def _confirmed(texts: DataFrame, members: DataFrame, size: int, percent: int) ->
     if many.isEmpty():
         return whole
     # Components of several chunks.
-    chunks = written(many.join(texts, "row").select("comp", "chunk", "node", "cluster", "central", "n", "text"))
+    chunks = written(many.join(texts.hint("merge"), "row").select("comp", "chunk", "node", "cluster", "central", "n", "text"))
     pivot = F.max(F.struct("central", "node"))["node"]
     pivots = chunks.join(chunks.groupBy("comp").agg(pivot.alias("node")), ["comp", "node"])
     first = written(_visit(chunks, pivots.withColumn("block", F.lit(0)), size, percent))
