@@ -15,6 +15,7 @@ from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack_documents
+from .pitman_yor import score_texts
 from .quality import score_quality
 from .sharding import shard_documents
 from .token_count import count_tokens
@@ -52,6 +53,10 @@ def op8_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack_documents(documents(spark, folder), ranks, public_tokenizers.PATTERN, {"<|endoftext|>": 50256})
 
 
+def op9_language_model(spark: SparkSession, folder: str) -> DataFrame:
+    return score_texts(documents(spark, folder))
+
+
 def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
@@ -65,6 +70,7 @@ def queries() -> dict[str, Query]:
         "op6_sharding": op6_sharding,
         "op7_exact_dedup": op7_exact_dedup,
         "op8_packing": op8_packing,
+        "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
         "pipeline": corpus_pipeline.run,
     }

@@ -23,11 +23,14 @@ _ROW = "__row"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """The documents but those whose number, in the order of the table, is in ``dropped (row)``."""
+def _without(docs: DataFrame, dropped: DataFrame, many: bool = True) -> DataFrame:
+    """The documents but those whose number, in the order of the table, is in ``dropped (row)``.
+
+    ``many``: what is dropped is a share of the documents, so that no task gets all of it.
+    """
     numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
-    left = numbered.join(dropped.select(F.col("row").alias(_ROW)).distinct(), _ROW, "left_anti")
-    return left.select(*docs.columns)
+    rows = dropped.select(F.col("row").alias(_ROW)).distinct()
+    return numbered.join(rows.hint("merge") if many else rows, _ROW, "left_anti").select(*docs.columns)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +51,8 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a copy of a benchmark item, edited or not."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
-    return _without(docs, find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row"))
+    found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
+    return _without(docs, found, many=False)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
