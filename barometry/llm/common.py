@@ -115,14 +115,19 @@ def groups(batches: Iterable[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def word_edges(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words between white space begin and end."""
+    inside = np.r_[False, ~_IS_SPACE[codes], False]
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
+
+
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of every word between white space, of UTF-8 bytes."""
     if not data:
         return np.zeros(0, np.uint64)
     codes = np.frombuffer(data, np.uint8)
-    inside = np.r_[False, ~_IS_SPACE[codes], False]
-    edges = np.flatnonzero(inside[1:] != inside[:-1])
-    starts, ends = edges[::2], edges[1::2]
+    starts, ends = word_edges(codes)
     if not len(starts):
         return np.zeros(0, np.uint64)
     # Every word as a polynomial in an odd number, brought down from its place in the text.
