@@ -131,7 +131,7 @@ def word_hashes(data: bytes) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     # Every word as a polynomial in an odd number, brought down from its place in the text.
-    powers, inverse = _powers(len(codes))
+    powers, inverse = powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
     np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
     value = (sums[ends] - sums[starts]) * inverse[starts]
@@ -144,7 +144,7 @@ _BASE = 0xD6E8FEB86659FD93
 _POWERS: list[np.ndarray] = []
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, from 0 to n - 1 at least."""
     if not _POWERS or len(_POWERS[0]) < n:
         size = max(2 * n, 2**16)

@@ -18,6 +18,7 @@ from .packing import pack_documents
 from .pitman_yor import score_texts
 from .quality import score_quality
 from .sharding import shard_documents
+from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +28,10 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return count_tokens(documents(spark, folder), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op2_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return remove_repeats(documents(spark, folder)).drop("removed")
+
+
 def op3_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return scan_licenses(documents(spark, folder))
 
@@ -64,6 +69,7 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_license_scan": op3_license_scan,
         "op4_decontamination": op4_decontamination,
         "op5_near_dedup": op5_near_dedup,
