@@ -131,9 +131,9 @@ def word_hashes(data: bytes) -> np.ndarray:
     if not len(starts):
         return np.zeros(0, np.uint64)
     # Every word as a polynomial in an odd number, brought down from its place in the text.
-    powers, inverse = powers(len(codes))
+    power, inverse = powers(len(codes))
     sums = np.zeros(len(codes) + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * powers, out=sums[1:])
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
     value = (sums[ends] - sums[starts]) * inverse[starts]
     return mixed(value + (ends - starts).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
