@@ -38,9 +38,9 @@ _GRAM = 20  # bytes of the short strings
 _WINDOW = LENGTH - _GRAM + 1  # of them in a string
 _SHIFT = np.uint64(16)  # anchors have 48 bits; equal ones by chance only cost time
 _HOT = 2000  # stretches from which on an anchor is split
-_CELL_BITS = 12  # 4096 rows of a partition are a cell
+_CELL_BITS = 11  # 2048 rows of a partition are a cell
 _SLICE = 2**20
-_INDEX = 2**21  # bytes of stretches in one index
+_INDEX = 2**20  # bytes of stretches in one index
 _NOBODY = 2**63 - 1  # in place of a null id: larger than any other
 
 
@@ -278,28 +278,34 @@ def _sent_stretches(bits: int):
 # The index ----------------------------------------------------------------
 
 
-def suffix_array(symbols: np.ndarray, depth: int) -> np.ndarray:
-    """Suffixes in order of their first ``depth`` symbols at least, by prefix doubling."""
-    n = len(symbols)
-    padded = np.zeros(n + 6, np.int64)
+def suffix_array(symbols: np.ndarray, number: np.ndarray, to_end: np.ndarray) -> np.ndarray:
+    """Suffixes in order, by prefix doubling.
+
+    The symbols are stretches (from 1 on), each followed by an end (0).  Ends are ordered
+    like their stretches, whose ``number`` every position has, so that no suffix is
+    compared beyond its end, ``to_end`` positions away.
+    """
+    n, width = len(symbols), 5
+    padded = np.zeros(n + width, np.int64)
     padded[:n] = symbols
-    # Six symbols of nine bits in one number to begin with.
+    # Five symbols of nine bits, and the number of the end if they reach it, in one number.
     rank = np.zeros(n, np.int64)
-    for k in range(6):
-        rank = rank << 9 | padded[k : k + n]
-    width = 6
-    order = np.argsort(rank)
+    for k in range(width):
+        rank = rank << 9 | np.where(to_end > k, padded[k : k + n], 0)
+    rank = rank << 18 | np.where(to_end < width, number, 0)
     while True:
-        sorted_rank = rank[order]
-        fresh = np.r_[0, np.cumsum(sorted_rank[1:] != sorted_rank[:-1])]
-        rank = np.empty(n, np.int64)
-        rank[order] = fresh
-        if width >= depth or fresh[-1] == n - 1:
+        order = np.argsort(rank)
+        step = rank[order]
+        fresh = np.empty(n, np.int64)
+        fresh[0] = 0
+        np.cumsum(step[1:] != step[:-1], out=fresh[1:])
+        if fresh[-1] == n - 1:
             return order
+        rank[order] = fresh
         following = np.zeros(n, np.int64)
         following[:-width] = rank[width:] + 1
-        rank = rank * (n + 1) + following
-        order = np.argsort(rank)
+        rank *= n + 1
+        rank += following
         width *= 2
 
 
@@ -316,13 +322,13 @@ class RunIndex:
     def __init__(self, contents: list[bytes]):
         self.sizes = np.array([len(c) for c in contents], np.int64)
         ends = np.cumsum(self.sizes + 1) - 1
-        symbols = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
+        codes = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8)
+        symbols = codes.astype(np.int64) + 1
         symbols[ends] = 0
         self.n = len(symbols)
-        order = suffix_array(symbols, int(self.sizes.max()) + 1)
-        # Suffixes that reach an end are equal from there on; any order among them will do,
-        # as long as ends and all that stands before them agree on it: the one of the text.
-        order = _settled(order, symbols, ends)
+        number = np.repeat(np.arange(len(contents)), self.sizes + 1)
+        to_end = ends[number] - np.arange(self.n)
+        order = suffix_array(symbols, number, to_end)
         last = symbols[order - 1]
         self.starts = np.flatnonzero(np.r_[True, last[1:] != last[:-1]])
         self.heads = last[self.starts]
@@ -331,10 +337,12 @@ class RunIndex:
         before = np.cumsum(lengths[by_symbol]) - lengths[by_symbol]
         self.leads = np.empty(len(self.starts), np.int64)
         self.leads[by_symbol] = before
-        stops = self.leads + lengths - 1
-        self.above = _agreement(symbols, order, self.leads)
-        self.below = np.r_[_agreement(symbols, order, np.minimum(stops + 1, self.n - 1))]
-        self.below[stops == self.n - 1] = 0
+        after = self.leads + lengths
+        agreement = _Agreement(codes, to_end)
+        self.above = agreement.of(order[self.leads], order[self.leads - 1])
+        self.above[self.leads == 0] = 0
+        self.below = agreement.of(order[after - 1], order[after % self.n])
+        self.below[after == self.n] = 0
 
     def matching_statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
         """From the ends backwards, one symbol of all stretches at a time: the stretches still
@@ -360,61 +368,46 @@ class RunIndex:
             open_, row, position, above, below = (x[more] for x in (open_, row, position, above, below))
 
 
-def _settled(order: np.ndarray, symbols: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Order suffixes that agree up to their ends by their place in the text."""
-    to_end = ends[np.searchsorted(ends, np.arange(len(symbols)))] - np.arange(len(symbols))
-    same = np.zeros(len(order), bool)
-    a, b = order[:-1], order[1:]
-    maybe = np.flatnonzero(to_end[a] == to_end[b])
-    same[maybe + 1] = _agree(symbols, a[maybe], b[maybe], to_end[a[maybe]])
-    group = np.cumsum(~same)
-    return order[np.lexsort((order, group))]
-
-
-def _agree(symbols: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
-    result = np.ones(len(a), bool)
-    for k in range(int(length.max(initial=0))):
-        at = np.flatnonzero(result & (length > k))
-        if not len(at):
-            break
-        result[at] = symbols[a[at] + k] == symbols[b[at] + k]
-    return result
-
-
-def _agreement(symbols: np.ndarray, order: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """How many symbols before an end the suffixes of rows share with those above, up to LENGTH."""
-    shared = np.zeros(len(rows), np.int64)
-    at = np.flatnonzero(rows > 0)
-    a, b = order[rows[at]], order[rows[at] - 1]
-    for _ in range(LENGTH):
-        inside = (a < len(symbols)) & (b < len(symbols))
-        a, b, at = a[inside], b[inside], at[inside]
-        equal = (symbols[a] == symbols[b]) & (symbols[a] > 0)
-        a, b, at = a[equal] + 1, b[equal] + 1, at[equal]
-        if not len(at):
-            break
-        shared[at] += 1
-    return shared
+class _Agreement:
+    """How many bytes two suffixes share before the end of either, up to ``LENGTH`` and a few more."""
+
+    def __init__(self, codes: np.ndarray, to_end: np.ndarray):
+        padded = np.zeros(len(codes) + LENGTH + 16, np.uint8)
+        padded[: len(codes)] = codes
+        # Eight bytes from each position on as one number, the first byte lowest.
+        self.words = np.zeros(len(padded) - 8, np.uint64)
+        for k in range(8):
+            self.words |= padded[k : k + len(self.words)].astype(np.uint64) << np.uint64(8 * k)
+        self.to_end = to_end
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        shared, rows = np.zeros(len(a), np.int64), np.arange(len(a))
+        for k in range(0, LENGTH, 8):
+            differ = self.words[a[rows] + k] ^ self.words[b[rows] + k]
+            # The lowest bit that differs is in the first byte that does.
+            low = differ & (~differ + np.uint64(1))
+            shared[rows] += np.where(differ == 0, 8, np.bitwise_count(low - np.uint64(1)) // 8)
+            rows = rows[differ == 0]
+        return np.minimum(shared, np.minimum(self.to_end[a], self.to_end[b]))
 
 
 def smallest_owners(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For every string of every stretch the smallest id whose stretch holds it."""
     index = RunIndex(contents)
+    strings = index.sizes - LENGTH + 1
+    first = np.cumsum(strings) - strings
     linked = np.zeros(index.n + 1, bool)  # does a row hold the same string as the row above
-    rows_of = [np.empty(size - LENGTH + 1, np.int64) for size in index.sizes]
-    flat = np.full(int((index.sizes - LENGTH + 1).sum()), -1)
-    first = np.cumsum(index.sizes - LENGTH + 1) - (index.sizes - LENGTH + 1)
+    rows = np.empty(strings.sum(), np.int64)
     for open_, position, row, match in index.matching_statistics():
-        whole = position <= index.sizes[open_] - LENGTH
+        whole = position < strings[open_]
         open_, position, row = open_[whole], position[whole], row[whole]
-        flat[first[open_] + position] = row
+        rows[first[open_] + position] = row
         linked[row] |= match[0][whole] >= LENGTH
         linked[row + 1] |= match[1][whole] >= LENGTH
-    string = np.cumsum(~linked[:-1]) - 1
-    owner = np.repeat(np.arange(len(contents)), index.sizes - LENGTH + 1)
+    string = (np.cumsum(~linked[:-1]) - 1)[rows]
     least = np.full(index.n, _NOBODY)
-    np.minimum.at(least, string[flat], docs[owner])
-    return np.split(least[string[flat]], np.cumsum([len(r) for r in rows_of])[:-1])
+    np.minimum.at(least, string, np.repeat(docs, strings))
+    return np.split(least[string], first[1:])
 
 
 def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -470,26 +463,33 @@ def _cut(bits: int):
                 key_of.update(zip(contents, keys.tolist(), strict=True))
             order = sorted(key_of, key=lambda content: (key_of[content], content))
             keys = np.array([key_of[content] for content in order], np.uint64)
-            owners: dict[bytes, np.ndarray] = {}
+            place: dict[bytes, int] = {}
+            least, base = [np.zeros(0, np.int64)], 0
             for part, own in _by_part(_part_of(keys, bits)):
                 values, times = _restored(cell.owners[part])
-                every = np.repeat(np.frombuffer(values, np.int64), np.frombuffer(times, np.int64))
-                sizes = [len(order[i]) - LENGTH + 1 for i in own]
-                owners.update(zip((order[i] for i in own), np.split(every, np.cumsum(sizes)[:-1]), strict=True))
-            covered = [None] * len(cell.texts)
-            for contents, text, where, _, _ in cell.repeated():
-                for content, i, start in zip(contents, text.tolist(), where.tolist(), strict=True):
-                    smaller = np.flatnonzero(owners[content] < cell.ids[i])
-                    if len(smaller):
-                        if covered[i] is None:
-                            covered[i] = np.zeros(len(cell.texts[i]) + 1, np.int64)
-                        covered[i][start + smaller] += 1
-                        covered[i][start + smaller + LENGTH] -= 1
+                least.append(np.repeat(np.frombuffer(values, np.int64), np.frombuffer(times, np.int64)))
+                contents = [order[i] for i in own]
+                sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
+                place.update(zip(contents, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
+                base += len(least[-1])
+            owners = np.concatenate(least)
+            # All texts in one row of bytes; a string that goes adds one from its start to its end.
+            length = np.array([len(text) for text in cell.texts], np.int64)
+            begin = np.cumsum(length + 1) - (length + 1)
+            covered = np.zeros(int((length + 1).sum()), np.int32)
+            for contents, text, where, strings, _ in cell.repeated():
+                at = np.fromiter(map(place.__getitem__, contents), np.int64, len(contents))
+                step = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
+                smaller = owners[np.repeat(at, strings) + step] < np.repeat(cell.ids[text], strings)
+                start = (np.repeat(begin[text] + where, strings) + step)[smaller]
+                np.add.at(covered, start, 1)
+                np.add.at(covered, start + LENGTH, -1)
+            gone_everywhere = np.cumsum(covered) > 0
             rows = []
             for i, text in enumerate(cell.texts):
-                removed, spans, kept = [], 0, text
-                if covered[i] is not None:
-                    gone = np.cumsum(covered[i][:-1]) > 0
+                removed, kept = [], text
+                gone = gone_everywhere[begin[i] : begin[i] + length[i]]
+                if gone.any():
                     edges = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                     removed = edges.reshape(-1, 2).tolist()
                     kept = np.frombuffer(text, np.uint8)[~gone].tobytes()
