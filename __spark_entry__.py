@@ -59,6 +59,29 @@ def _load_quality(spark: SparkSession, folder: str) -> DataFrame:
     return sources.load_quality(_events(spark, folder), _customers(spark, folder))
 
 
+def _bars_of_sector(spark: SparkSession, folder: str) -> DataFrame:
+    """Tickers chosen by a table instead of a list."""
+    return schema.only_tickers(_events(spark, folder), sources.companies_in_sectors(_customers(spark, folder), ["ASIA"]))
+
+
+def _normalise_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Every event as a vendor row of its own; every seventh has no number as its open."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    value = F.col("value")
+    raw = events.select(
+        F.col("ts").alias("when"),
+        F.col("user_id").cast("string").alias("ticker"),
+        F.when(F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(value).alias("open"),
+        *[value.alias(name) for name in ("high", "low", "close")],
+        F.get_json_object("props", "$.k").alias("volume"),
+    )
+    return sources.normalise_bars(raw, date="when")
+
+
+def _one_bar_per_day(spark: SparkSession, folder: str) -> DataFrame:
+    return sources.one_bar_per_day(_normalise_bars(spark, folder))
+
+
 def _bars_with_company(spark: SparkSession, folder: str) -> DataFrame:
     return sources.merge_companies(_events(spark, folder), _customers(spark, folder))
 
@@ -202,7 +225,11 @@ def _correlation_focus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _correlation_top(spark: SparkSession, folder: str) -> DataFrame:
-    return _rounded(op.top_correlations(_event_pairs(spark, folder)), 6, "correlation")
+    return _rounded(op.best_pairs(_events(spark, folder), 5, None, _customers(spark, folder)), 6, "correlation")
+
+
+def _best_partners(spark: SparkSession, folder: str) -> DataFrame:
+    return _rounded(op.best_partners(_lines(spark, folder), 3), 6, "correlation")
 
 
 def _correlated_partners(spark: SparkSession, folder: str) -> DataFrame:
@@ -236,17 +263,36 @@ def _dashboard(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(summary, 6, "missing_pct", "business_missing_pct", "mean_gap_days")
 
 
-def _top_performers(spark: SparkSession, folder: str) -> DataFrame:
-    best = plans.top_performers(
+def _dashboard_table(name: str) -> Query:
+    """A table of the page for the tickers of one sector."""
+
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        companies = _customers(spark, folder)
+        chosen = sources.companies_in_sectors(companies, ["ASIA"])
+        return plans.dashboard(_events(spark, folder), companies, chosen, Period.MONTH)[name]
+
+    return query
+
+
+def _best_performers(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.top_performers(
         _events(spark, folder), _customers(spark, folder), ["ASIA", "EUROPE"], Period.MONTH, 5
     )
+
+
+def _performer_returns(spark: SparkSession, folder: str) -> DataFrame:
+    return plans.performer_returns(_events(spark, folder), _best_performers(spark, folder), Period.MONTH)
+
+
+def _top_performers(spark: SparkSession, folder: str) -> DataFrame:
+    best = _best_performers(spark, folder)
     best = _rounded(best, 6, "std_daily_return")
     return _rounded(best, MEAN_DIGITS, "avg_daily_return")
 
 
 def _insights_summary(spark: SparkSession, folder: str) -> DataFrame:
     bars, companies = _lines(spark, folder), _nations(spark, folder)
-    summary = plans.insights_summary(bars, None, Period.YEAR, companies, digits=6)
+    summary = plans.insights_summary(bars, None, Period.YEAR, companies, digits=6, scope="ticker")
     summary = _rounded(summary, 5, "last_sharpe", "last_rsi", "top_correlation")
     return _rounded(summary, 4, "last_ad_line")
 
@@ -262,7 +308,10 @@ def queries() -> dict[str, Query]:
         "bars_events": _events,
         "bars_lineitem": _lines,
         "bars_subset": lambda spark, folder: schema.only_tickers(_events(spark, folder), EVENT_FOCUS),
+        "bars_of_sector": _bars_of_sector,
         "bars_union": _bars_union,
+        "normalise_bars": _normalise_bars,
+        "one_bar_per_day": _one_bar_per_day,
         "bars_with_company": _bars_with_company,
         "load_quality": _load_quality,
         "null_counts": lambda spark, folder: sources.null_counts(_lines(spark, folder)),
@@ -294,6 +343,7 @@ def queries() -> dict[str, Query]:
         "correlation_focus": _correlation_focus,
         "correlation_top": _correlation_top,
         "correlated_partners": _correlated_partners,
+        "best_partners": _best_partners,
         "price_describe": lambda spark, folder: op.price_describe(_events(spark, folder), digits=6),
         "coverage": _coverage,
         "mean_gap": _mean_gap,
@@ -301,6 +351,9 @@ def queries() -> dict[str, Query]:
         "history_tail": lambda spark, folder: op.history_tail(_lines(spark, folder), 5),
         "history_display": _history_display,
         "dashboard": _dashboard,
+        "dashboard_prices": _dashboard_table("prices"),
+        "dashboard_history": _dashboard_table("history"),
+        "performer_returns": _performer_returns,
         "top_performers": _top_performers,
         "insights_ticker_summary": _insights_summary,
     }

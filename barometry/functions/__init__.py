@@ -3,10 +3,9 @@
 from .extremes import (
     date_of_max,
     date_of_max_count,
-    date_of_max_return,
     date_of_min,
     date_of_min_count,
-    date_of_min_return,
+    mark_extremes,
 )
 from .measures import (
     display_date,
@@ -34,10 +33,9 @@ __all__ = [
     "add_period",
     "date_of_max",
     "date_of_max_count",
-    "date_of_max_return",
     "date_of_min",
     "date_of_min_count",
-    "date_of_min_return",
+    "mark_extremes",
     "display_date",
     "display_number",
     "label_of_key",

@@ -1,20 +1,20 @@
 """Aggregates that say on which date an extreme was reached.
 
-Of several such dates the earliest counts, whatever the order of the input.  The
-pair (value, date) orders the rows; where value and date fit together into one
-number, the aggregation buffer has a fixed width and Spark aggregates by hash.  A
-struct as the order would make it sort all rows first, at twice the time.
+Of several such dates the earliest counts, whatever the order of the input.  Integers
+and the date fit together into one number, which orders the rows.  Other values are
+compared as they are: the extreme of the ticker is marked first, and of the marked rows
+the earliest date is taken.  Both ways keep the aggregation buffer at a fixed width, so
+that Spark aggregates by hash; a struct as the order would make it sort all rows first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import schema as s
 
 _DATE_BITS = 23  # days since 1970 up to the year 9999, with their sign
-_RETURN_LIMIT = 1e8  # in percent; ten thousandths of it and the days fit into 63 bits
 
 
 def first_by(value: Column | str, major: Column, minor: Column, minor_bits: int) -> Column:
@@ -41,33 +41,28 @@ def date_of_max_count(value: str, date: str = s.DATE) -> Column:
     return first_by(date, -F.col(value), F.unix_date(date), _DATE_BITS)
 
 
-def _return_and_days(value: str, days: Column) -> Column:
-    number = F.floor(F.col(value) * 10000 + 0.5) * 2**_DATE_BITS + days
-    return F.when(F.abs(value) < _RETURN_LIMIT, number)
+def _marks(value: str) -> tuple[str, str]:
+    return f"__{value}_is_lowest", f"__{value}_is_highest"
 
 
-def date_of_min_return(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which a return, rounded to four places, was smallest.
+def mark_extremes(rows: DataFrame, value: str) -> DataFrame:
+    """``rows`` with marks on those that hold the smallest or largest ``value`` of their ticker.
 
-    An extreme beyond a hundred million percent is looked up by its value alone.
+    The window has no order, so it uses any layout by ticker that is there already, and
+    what is grouped by ticker afterwards needs no further one.
     """
-    packed = F.min_by(date, _return_and_days(value, F.unix_date(date)))
-    return F.when(F.abs(F.min(value)) < _RETURN_LIMIT, packed).otherwise(F.min_by(date, value))
-
-
-def date_of_max_return(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which a return, rounded to four places, was largest."""
-    packed = F.max_by(date, _return_and_days(value, -F.unix_date(date)))
-    return F.when(F.abs(F.max(value)) < _RETURN_LIMIT, packed).otherwise(F.max_by(date, value))
+    ticker = Window.partitionBy(s.TICKER)
+    lowest, highest = _marks(value)
+    return rows.withColumns(
+        {lowest: F.col(value) == F.min(value).over(ticker), highest: F.col(value) == F.max(value).over(ticker)}
+    )
 
 
 def date_of_min(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which a column of any ordered type was smallest."""
-    order = F.struct(F.col(value), F.unix_date(date))
-    return F.min_by(date, F.when(F.col(value).isNotNull(), order))
+    """Earliest date on which ``value`` was smallest, of rows from :func:`mark_extremes`."""
+    return F.min(F.when(F.col(_marks(value)[0]), F.col(date)))
 
 
 def date_of_max(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which a column of any ordered type was largest."""
-    order = F.struct(F.col(value), -F.unix_date(date))
-    return F.max_by(date, F.when(F.col(value).isNotNull(), order))
+    """Earliest date on which ``value`` was largest, of rows from :func:`mark_extremes`."""
+    return F.min(F.when(F.col(_marks(value)[1]), F.col(date)))

@@ -1,6 +1,6 @@
 """Operators: functions from DataFrame to DataFrame, without actions."""
 
-from .correlation import correlated_partners, correlation_pairs, top_correlations
+from .correlation import best_pairs, best_partners, correlated_partners, correlation_pairs, top_correlations
 from .indicators import (
     accumulation_distribution,
     deviation_summary,
@@ -22,6 +22,8 @@ from .volume import volume_by_period, volume_describe
 
 __all__ = [
     "accumulation_distribution",
+    "best_pairs",
+    "best_partners",
     "correlated_partners",
     "correlation_pairs",
     "coverage",

@@ -10,23 +10,33 @@ from pyspark.sql import functions as F
 
 from .. import schema as s
 from ..functions.periods import Period
-from .pearson import correlate_cell
+from .pearson import cell_function
 from .returns import with_return
 
-_BLOCK = 1024  # tickers per block, about
+_BLOCK = 1024  # tickers per block, at most and about
+_CELLS = 2**22  # tickers of a block times dates, about
 _PAIRS = "ticker_a string, ticker_b string, correlation double"
 
 
 def correlation_pairs(
-    bars: DataFrame, focus: Sequence[str] | None = None, universe: DataFrame | None = None
+    bars: DataFrame,
+    focus: Sequence[str] | None = None,
+    universe: DataFrame | None = None,
+    top: int | None = None,
+    partners: int | None = None,
 ) -> DataFrame:
     """Pearson correlation of the daily returns of every two tickers that share a date.
 
     ``focus`` limits the result to pairs with at least one of its tickers.  Pairs
     are named in alphabetical order.  Fewer than two common returns, or a constant
-    one, give null.  ``universe`` is a table with a row per ticker, such as the
+    one, give null.  Of several bars with one ticker and date the largest return
+    counts.  ``universe`` is a table with a row per ticker of the bars, such as the
     companies; with it the tickers of the bars need not be counted.
 
+    ``top`` and ``partners`` leave pairs out that are surely not among so many best
+    pairs, or best partners of a ticker: no more than so many leave a cell, or a
+    cell for a ticker.
+
     Tickers are hashed into blocks, and every pair of blocks is a cell of a grid.
     A ticker's history, packed into one row, goes to the cells of its block; pairs
     are formed and computed inside a cell and never shuffled.  The grid grows with
@@ -51,8 +61,11 @@ def correlation_pairs(
         tickers = bars.agg(F.approx_count_distinct(s.TICKER))
     else:
         tickers = universe.agg(F.count(F.lit(1)))
-    needed = F.ceil(tickers.scalar() / _BLOCK).cast("int")
-    partitions = int(bars.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Histories are as long as there are dates at most: a cell holds a matrix of both.
+    days = bars.agg(F.coalesce(F.date_diff(F.max(s.DATE), F.min(s.DATE)) + 1, F.lit(1))).scalar()
+    block = F.greatest(F.least(F.lit(_BLOCK), F.floor(F.lit(_CELLS) / days)), F.lit(16))
+    needed = F.greatest(F.ceil(tickers.scalar() / block), F.lit(1)).cast("int")
+    partitions = _partitions(bars)
     if focus is None:
         placed = _place_all(histories, F.greatest(F.lit(math.ceil(2 * math.sqrt(partitions))), needed))
     else:
@@ -62,7 +75,23 @@ def correlation_pairs(
     # The number of partitions is explicit so that small input is not merged into
     # one task: the work grows with the square of what a cell receives.
     cells = placed.select("cell", "left", "mirrored", s.TICKER, "days", "values").repartition(partitions, "cell")
-    return cells.groupBy("cell").applyInArrow(correlate_cell, _PAIRS)
+    return cells.groupBy("cell").applyInArrow(cell_function(top, partners), _PAIRS)
+
+
+def _partitions(df: DataFrame) -> int:
+    """Shuffle partitions of the session; some runtimes name no number."""
+    named = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    return int(named) if named.isdecimal() else 200
+
+
+def best_pairs(bars: DataFrame, n: int = 5, focus: Sequence[str] | None = None, universe: DataFrame | None = None) -> DataFrame:
+    """The ``n`` pairs with the highest correlation; no more leave a cell of the grid."""
+    return top_correlations(correlation_pairs(bars, focus, universe, top=n), n)
+
+
+def best_partners(bars: DataFrame, k: int, universe: DataFrame | None = None) -> DataFrame:
+    """The ``k`` best partners of every ticker; no more of each leave a cell of the grid."""
+    return correlated_partners(correlation_pairs(bars, None, universe, partners=k), k=k)
 
 
 def _block(blocks: Column) -> Column:

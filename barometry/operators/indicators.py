@@ -45,7 +45,7 @@ def moving_average(
 
 
 def deviation_columns(n: int = 3, digits: int = 4) -> list[Column]:
-    """Aggregates behind :func:`deviation_summary`, for use in a wider ``agg``."""
+    """Aggregates behind :func:`deviation_summary`, for a wider ``agg`` of marked rows."""
     column = difference_name(n)
     return [
         F.round(F.min(column), digits).alias("min_deviation"),
@@ -58,7 +58,8 @@ def deviation_columns(n: int = 3, digits: int = 4) -> list[Column]:
 
 def deviation_summary(averages: DataFrame, n: int = 3, digits: int = 4) -> DataFrame:
     """Extremes and mean of the distance from the moving average, per ticker."""
-    return averages.groupBy(s.TICKER).agg(*deviation_columns(n, digits))
+    marked = extremes.mark_extremes(averages, difference_name(n))
+    return marked.groupBy(s.TICKER).agg(*deviation_columns(n, digits))
 
 
 def money_flow(bars: DataFrame, tickers: Sequence[str] | DataFrame | None = None) -> DataFrame:
@@ -78,7 +79,8 @@ def accumulation_distribution(
     """Running sum of money-flow volume, and its distance from its running mean.
 
     ``scope="ticker"`` runs along each ticker.  ``scope="portfolio"`` runs along
-    the dates of all tickers together; rows of one date share one value.
+    the dates of all tickers together; rows of one date share one value.  Bars without a
+    date share one too, before all others.
     """
     flow = money_flow(bars, tickers)
     if scope == "ticker":
@@ -88,15 +90,15 @@ def accumulation_distribution(
         return flow
     if scope != "portfolio":
         raise ValueError("scope must be 'ticker' or 'portfolio'")
-    return flow.join(F.broadcast(_portfolio_line(flow, oscillator)), s.DATE)
+    line = _portfolio_line(flow, oscillator).withColumnRenamed(s.DATE, "line_date")
+    return flow.join(line, F.col(s.DATE).eqNullSafe(F.col("line_date"))).drop("line_date")
 
 
 def _portfolio_line(flow: DataFrame, oscillator: bool) -> DataFrame:
     """The line of all tickers together, one row per date.
 
-    The bars are first added up per date.  What the unpartitioned window and the
-    broadcast then see is one narrow row per calendar date, however many tickers
-    there are: 36,525 rows in a century, under 4 million in the whole range of the
+    The bars are first added up per date.  What the unpartitioned window then sees is
+    one narrow row per calendar date, however many tickers there are: 36,525 rows in a century, under 4 million in the whole range of the
     date type.
     """
     daily = flow.groupBy(s.DATE).agg(F.sum("mfv").alias("flow"), F.count(F.lit(1)).alias("bars"))

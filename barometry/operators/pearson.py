@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -16,8 +17,20 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CANCELLED = 1e-4
 
 
-def correlate_cell(table: pa.Table) -> pa.Table:
-    """All pairs of a cell: a ticker of the left side with one of the right."""
+def cell_function(top: int | None, partners: int | None) -> Callable[[pa.Table], pa.Table]:
+    """:func:`correlate_cell` as a function of the cell alone."""
+
+    def run(table: pa.Table) -> pa.Table:
+        return correlate_cell(table, top, partners)
+
+    return run
+
+
+def correlate_cell(table: pa.Table, top: int | None = None, partners: int | None = None) -> pa.Table:
+    """Pairs of a cell: a ticker of the left side with one of the right.
+
+    Of all, or the ``top`` best, or those with one of the ``partners`` best of a ticker.
+    """
     names = table["ticker"].combine_chunks()
     left = table["left"].to_numpy()
     mirrored = table["mirrored"].to_numpy()
@@ -33,15 +46,32 @@ def correlate_cell(table: pa.Table) -> pa.Table:
 
     a, b = lefts[i], rights[j]
     swapped = order[a] > order[b]
+    a, b = np.where(swapped, b, a), np.where(swapped, a, b)
+    kept = _best(order[a], order[b], correlation, top, partners)
+    a, b, correlation = a[kept], b[kept], correlation[kept]
     return pa.table(
         {
-            "ticker_a": names.take(pa.array(np.where(swapped, b, a))),
-            "ticker_b": names.take(pa.array(np.where(swapped, a, b))),
+            "ticker_a": names.take(pa.array(a)),
+            "ticker_b": names.take(pa.array(b)),
             "correlation": pa.array(correlation, mask=np.isnan(correlation)),
         }
     )
 
 
+def _best(a: np.ndarray, b: np.ndarray, value: np.ndarray, top: int | None, partners: int | None) -> np.ndarray:
+    """Which pairs are wanted; unknown values come last, and ties go by the tickers."""
+    falling = np.where(np.isnan(value), np.inf, -value)
+    if top is not None:
+        return np.lexsort((b, a, falling))[:top]
+    if partners is None:
+        return np.arange(len(value))
+    ticker, partner = np.r_[a, b], np.r_[b, a]
+    by_rank = np.lexsort((partner, np.r_[falling, falling], ticker))
+    first = np.flatnonzero(np.r_[True, np.diff(ticker[by_rank]) != 0][: len(by_rank)])
+    rank = np.arange(len(by_rank)) - np.repeat(first, np.diff(np.r_[first, len(by_rank)]))
+    return np.unique(by_rank[rank < partners] % max(len(value), 1))
+
+
 def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Rows of the table against the dates of the cell: is there a bar, and its return."""
     days = table["days"].combine_chunks()
@@ -50,7 +80,8 @@ def _matrix(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     present = np.zeros((len(days), len(dates)), bool)
     values = np.full(present.shape, np.nan)
     present[row, column] = True
-    values[row, column] = table["values"].combine_chunks().flatten().to_numpy()
+    # Of repeated bars the largest return counts, in whatever order they come.
+    np.fmax.at(values, (row, column), table["values"].combine_chunks().flatten().to_numpy())
     return present, values
 
 

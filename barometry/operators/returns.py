@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .. import schema as s
 from ..functions import extremes, measures
 from ..functions.periods import Period, label_of_key, period_key
+from ..sources.companies import one_row_per_ticker
 
 PERIOD_START = "period_start"
 
@@ -70,13 +71,15 @@ def top_average_returns(
     """The ``n`` tickers with the highest mean return, ranked; ties go by ticker.
 
     ``df`` holds returns or bars.  Without company attributes in it, ``companies``
-    supplies them: the mean is taken first, so only one row per ticker is joined.
+    supplies them: the mean is taken first, so only one row per ticker is joined.  Of
+    several companies of one ticker the smallest row counts.
     """
     returns = with_return(df, period)
     keys = [c for c in (s.TICKER, s.COMPANY, s.SECTOR) if c in returns.columns]
     means = returns.groupBy(*keys).agg(F.avg(period.return_column).alias(period.average_column))
     if companies is not None and len(keys) == 1:
-        means = means.join(companies.select(s.TICKER, s.COMPANY, s.SECTOR), s.TICKER)
+        companies = one_row_per_ticker(companies.select(s.TICKER, s.COMPANY, s.SECTOR))
+        means = means.join(companies, s.TICKER)
     return ranked(means, period.average_column, n)
 
 
@@ -90,12 +93,12 @@ def ranked(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def return_stats_columns(column: str = Period.DAY.return_column) -> list[Column]:
-    """Aggregates behind :func:`ticker_return_stats`, for use in a wider ``agg``."""
+    """Aggregates behind :func:`ticker_return_stats`, for a wider ``agg`` of marked rows."""
     return [
         F.min(column).alias(f"min_{column}"),
-        extremes.date_of_min_return(column).alias(f"min_{column}_date"),
+        extremes.date_of_min(column).alias(f"min_{column}_date"),
         F.max(column).alias(f"max_{column}"),
-        extremes.date_of_max_return(column).alias(f"max_{column}_date"),
+        extremes.date_of_max(column).alias(f"max_{column}_date"),
         F.stddev_samp(column).alias(f"std_{column}"),
     ]
 
@@ -103,7 +106,8 @@ def return_stats_columns(column: str = Period.DAY.return_column) -> list[Column]
 def ticker_return_stats(df: DataFrame) -> DataFrame:
     """Extremes of the daily return with their dates, its deviation and stability class."""
     column = Period.DAY.return_column
-    stats = with_return(df, Period.DAY).groupBy(s.TICKER).agg(*return_stats_columns(column))
+    rows = extremes.mark_extremes(with_return(df, Period.DAY), column)
+    stats = rows.groupBy(s.TICKER).agg(*return_stats_columns(column))
     return stats.withColumn("stability", measures.stability_class(f"std_{column}"))
 
 

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as s
 from ..functions.periods import Period
 from ..operators import profile
 from ..sources.bars import lookback
+from ..sources.companies import one_row_per_ticker
 
 
 def dashboard(
@@ -19,9 +21,10 @@ def dashboard(
     tickers: Sequence[str] | DataFrame | None = None,
     window: Period | None = Period.WEEK,
     k: int = 5,
+    as_of: dt.date | Column | None = None,
 ) -> dict[str, DataFrame]:
-    """The tables behind the page, each for all chosen tickers at once."""
-    recent = lookback(s.only_tickers(bars, tickers), window)
+    """The tables behind the page, each for all chosen tickers with a company at once."""
+    recent = lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of)
     return {
         "prices": recent.select(s.TICKER, s.DATE, *s.PRICES),
         "summary": dashboard_summary(recent, companies),
@@ -31,7 +34,7 @@ def dashboard(
 
 
 def dashboard_summary(bars: DataFrame, companies: DataFrame) -> DataFrame:
-    """Coverage, mean gap and price trend of each ticker, from one aggregation."""
+    """Coverage, mean gap and price trend of each ticker with a company, from one aggregation."""
     per_ticker = bars.groupBy(s.TICKER).agg(
         *profile.coverage_columns(),
         F.min_by(s.OPEN, s.DATE).alias("first_open"),
@@ -39,4 +42,4 @@ def dashboard_summary(bars: DataFrame, companies: DataFrame) -> DataFrame:
     )
     summary = profile.with_coverage(per_ticker)
     summary = summary.withColumn("rising", F.col("first_open") < F.col("last_close"))
-    return summary.join(companies.select(s.TICKER, s.COMPANY), s.TICKER, "left")
+    return summary.join(one_row_per_ticker(companies.select(s.TICKER, s.COMPANY)), s.TICKER)

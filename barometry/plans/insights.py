@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as s
-from ..functions import measures
+from ..functions import extremes, measures
 from ..functions.periods import Period, period_key
 from ..operators import correlation as c
 from ..operators import indicators as i
@@ -28,17 +29,20 @@ def insights(
     companies: DataFrame | None = None,
     top_n: int = 5,
     scope: str = "portfolio",
+    as_of: dt.date | Column | None = None,
 ) -> dict[str, DataFrame]:
     """The tables behind the page, each for all chosen tickers at once.
 
+    With ``companies`` only tickers that have one count.
+
     The window sets the look-back and the granularity of returns and volumes.  The
     tables share ``bars``; persist the chosen part before if several are evaluated.
     """
     period = window.granularity
-    recent = lookback(s.only_tickers(bars, tickers), window)
+    recent = lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of)
     returns = r.period_return(recent, period)
     averages = i.moving_average(recent, MEAN_DAYS)
-    best_pairs = c.top_correlations(c.correlation_pairs(recent, universe=companies), top_n)
+    best_pairs = c.best_pairs(recent, top_n)
     return {
         "bars": recent,
         "returns": returns,
@@ -61,6 +65,8 @@ def insights_summary(
     window: Period = Period.WEEK,
     companies: DataFrame | None = None,
     digits: int = 4,
+    scope: str = "portfolio",
+    as_of: dt.date | Column | None = None,
 ) -> DataFrame:
     """One row per ticker with the latest or summary value of every insight.
 
@@ -69,8 +75,9 @@ def insights_summary(
     period groups and the summaries of a pass all use that layout.  ``digits`` is
     for the deviations from the moving average.
     """
-    recent = cluster_by_ticker(lookback(s.only_tickers(bars, tickers), window))
-    parts = [_period_summary(recent, window.granularity), _daily_summary(recent, digits), _best_partner(recent, companies)]
+    chosen = s.only_tickers(s.only_tickers(bars, tickers), companies)
+    recent = cluster_by_ticker(lookback(chosen, window, as_of))
+    parts = [_period_summary(recent, window.granularity), _daily_summary(recent, digits, scope), _best_partner(recent)]
     return reduce(lambda left, right: left.join(right, s.TICKER, "left"), parts)
 
 
@@ -95,10 +102,11 @@ def _period_summary(bars: DataFrame, period: Period) -> DataFrame:
     )
 
 
-def _daily_summary(bars: DataFrame, digits: int) -> DataFrame:
+def _daily_summary(bars: DataFrame, digits: int, scope: str) -> DataFrame:
     """Deviations from the moving average, volume statistics, latest A/D line and RSI."""
     daily = i.with_strength(i.moving_average(bars, MEAN_DAYS), RSI_DAYS)
-    summary = i.accumulation_distribution(daily).groupBy(s.TICKER).agg(
+    daily = extremes.mark_extremes(daily, i.difference_name(MEAN_DAYS))
+    summary = i.accumulation_distribution(daily, scope=scope).groupBy(s.TICKER).agg(
         *i.deviation_columns(MEAN_DAYS, digits),
         *v.volume_describe_columns(),
         F.max_by("ad_line", s.DATE).alias("last_ad_line"),
@@ -107,9 +115,9 @@ def _daily_summary(bars: DataFrame, digits: int) -> DataFrame:
     return summary.withColumn("rsi_zone", measures.rsi_zone("last_rsi"))
 
 
-def _best_partner(bars: DataFrame, companies: DataFrame | None) -> DataFrame:
+def _best_partner(bars: DataFrame) -> DataFrame:
     """The ticker whose returns correlate most."""
-    partners = c.correlated_partners(c.correlation_pairs(bars, universe=companies), k=1)
+    partners = c.best_partners(bars, 1)
     return partners.select(
         s.TICKER, F.col("partner").alias("top_partner"), F.col("correlation").alias("top_correlation")
     )

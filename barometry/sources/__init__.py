@@ -1,6 +1,6 @@
 """Reading, checking and preparing the input tables."""
 
-from .bars import cluster_by_ticker, lookback, normalise_bars, read_bars, union_bars
+from .bars import cluster_by_ticker, lookback, normalise_bars, one_bar_per_day, read_bars, union_bars
 from .companies import (
     companies_in_sectors,
     distinct_values,
@@ -21,6 +21,7 @@ __all__ = [
     "merge_companies",
     "normalise_bars",
     "null_counts",
+    "one_bar_per_day",
     "one_row_per_ticker",
     "read_bars",
     "read_companies",

@@ -22,11 +22,28 @@ def read_bars(
 ) -> DataFrame:
     """Bars from any number of files or folders, read in one scan.
 
-    A list of tickers is pushed down to the scan.
+    A list of tickers is pushed down to the scan.  A price that is not a number is a
+    missing one.
     """
     reader = spark.read.schema(s.BARS).format(format).options(**options)
     paths = [paths] if isinstance(paths, str) else list(paths)
-    return s.only_tickers(reader.load(paths), tickers)
+    return _without_nan(s.only_tickers(reader.load(paths), tickers))
+
+
+def _without_nan(bars: DataFrame) -> DataFrame:
+    return bars.withColumns({name: F.nanvl(name, F.lit(None).cast("double")) for name in s.PRICES})
+
+
+def one_bar_per_day(bars: DataFrame) -> DataFrame:
+    """One row per ticker and date: of several the smallest by open, high, low, close, volume.
+
+    Missing values come first.  For tables in which a load may be repeated; every other
+    operator takes it for granted that there is one bar per ticker and date.
+    """
+    values = [name for name in bars.columns if name not in (s.TICKER, s.DATE)]
+    bar = F.struct(*(name for name in (*s.PRICES, s.VOLUME) if name in values), *(v for v in values if v not in (*s.PRICES, s.VOLUME)))
+    single = bars.groupBy(s.TICKER, s.DATE).agg(F.min(bar).alias("bar"))
+    return single.select(s.TICKER, s.DATE, "bar.*").select(*bars.columns)
 
 
 def normalise_bars(
@@ -38,12 +55,13 @@ def normalise_bars(
     """Vendor rows in the shape of the bar table.
 
     ``date`` names a date or timestamp column, of which the date is kept.
-    ``ticker`` fills the ticker column of a file that holds a single ticker.
+    ``ticker`` fills the ticker column of a file that holds a single ticker.  A price
+    that is not a number is a missing one.
     """
     symbol = F.col(s.TICKER) if ticker is None else F.lit(ticker)
     columns = [F.to_date(date).alias(s.DATE), symbol.alias(s.TICKER)]
     for name in s.PRICES:
-        price = F.col(name).cast("double")
+        price = F.nanvl(F.col(name).cast("double"), F.lit(None).cast("double"))
         columns.append((F.round(price, 2) if round_prices else price).alias(name))
     columns.append(F.col(s.VOLUME).cast("bigint").alias(s.VOLUME))
     return raw.select(*columns)

@@ -12,13 +12,21 @@ def load_quality(df: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """One row: row count, distinct tickers, and what looks wrong.
 
     ``expected`` is the table whose tickers the load should cover; by default the
-    loaded table itself.
+    loaded table itself.  ``repeated_bars`` counts the rows beyond one per ticker and date,
+    ``repeated_tickers`` the rows of ``expected`` beyond one per ticker if it is given.
     """
     known = df if expected is None else expected
     expected_tickers = known.agg(F.count_distinct(s.TICKER)).scalar()
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"),
+    repeated = F.lit(0).cast("bigint")
+    if expected is not None:
+        repeated = expected.agg(F.count(s.TICKER) - F.count_distinct(s.TICKER)).scalar()
+    # One row per ticker and date first: what is counted then are integers per group.
+    days = df.groupBy(s.TICKER, s.DATE).agg(F.count(F.lit(1)).alias("n"))
+    known = F.col(s.TICKER).isNotNull() & F.col(s.DATE).isNotNull()
+    counts = days.agg(
+        F.coalesce(F.sum("n"), F.lit(0)).alias("total_rows"),
         F.count_distinct(s.TICKER).alias("distinct_tickers"),
+        F.coalesce(F.sum(F.when(known, F.col("n") - 1)), F.lit(0)).alias("repeated_bars"),
     )
     return counts.select(
         "total_rows",
@@ -26,6 +34,8 @@ def load_quality(df: DataFrame, expected: DataFrame | None = None) -> DataFrame:
         (F.col("total_rows") == 0).alias("is_empty"),
         ((F.col("total_rows") > 0) & (F.col("distinct_tickers") == 0)).alias("has_no_ticker"),
         (F.col("total_rows") < expected_tickers).alias("fewer_rows_than_tickers"),
+        "repeated_bars",
+        repeated.alias("repeated_tickers"),
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import schema as s
-from ..functions.extremes import first_by
 
 
 # Columns used here.  A given schema saves the job that would look for one.
@@ -73,28 +72,33 @@ def companies_from_customers(spark: SparkSession, folder: str) -> DataFrame:
 def bars_from_lineitem(spark: SparkSession, folder: str) -> DataFrame:
     """A supplier nation is a ticker; the shipped lines of a day make its bar.
 
-    Lines are ordered by order and line number (at most 7), then price; prices are
-    amounts with two decimals below 167,772, so 24 bits of cents settle any tie.
+    Lines are ordered by order and line number, then price.  Lines with the same numbers
+    become one first, so that one decimal of both numbers orders what is left.  The bars
+    are laid out by nation and date for both steps.
     """
     lines = _table(spark, folder, "lineitem").select(
         "l_suppkey",
         F.to_date("l_shipdate").alias(s.DATE),
         F.col("l_extendedprice").alias("price"),
         F.col("l_quantity").alias("quantity"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"),
-        F.floor(F.col("l_extendedprice") * 100 + 0.5).alias("cents"),
+        "l_orderkey",
+        "l_linenumber",
     )
     supplier = _table(spark, folder, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
-    days = (
+    day = ["s_nationkey", s.DATE]
+    single = (
         lines.join(supplier, "l_suppkey")
-        .groupBy("s_nationkey", s.DATE)
-        .agg(
-            first_by("price", F.col("line"), F.col("cents"), 25).alias(s.OPEN),
-            F.max("price").alias(s.HIGH),
-            F.min("price").alias(s.LOW),
-            first_by("price", -F.col("line"), -F.col("cents"), 25).alias(s.CLOSE),
-            F.sum("quantity").cast("bigint").alias(s.VOLUME),
-        )
+        .repartition(*day)
+        .groupBy(*day, "l_orderkey", "l_linenumber")
+        .agg(F.min("price").alias("lowest"), F.max("price").alias("highest"), F.sum("quantity").alias("quantity"))
+        .withColumn("line", s.packed(F.col("l_orderkey"), F.col("l_linenumber"), 10))
+    )
+    days = single.groupBy(*day).agg(
+        F.min_by("lowest", "line").alias(s.OPEN),
+        F.max("highest").alias(s.HIGH),
+        F.min("lowest").alias(s.LOW),
+        F.max_by("highest", "line").alias(s.CLOSE),
+        F.sum("quantity").cast("bigint").alias(s.VOLUME),
     )
     nation = _table(spark, folder, "nation").select(F.col("n_nationkey").alias("s_nationkey"), F.col("n_name").alias(s.TICKER))
     return days.join(nation, "s_nationkey").select(*s.BAR_COLUMNS)

@@ -24,6 +24,12 @@ LINES = """bars AS (
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey
   GROUP BY 1, 2)"""
 
+VENDOR = """SELECT CAST(ts AS DATE) AS date, CAST(user_id AS VARCHAR) AS ticker,
+       CASE WHEN event_id % 7 <> 0 THEN value END AS open, value AS high, value AS low, value AS close,
+       CAST(json_extract_string(props, '$.k') AS BIGINT) AS volume FROM events"""
+
+ASIAN = "(SELECT * FROM bars WHERE ticker IN (SELECT ticker FROM companies WHERE sector = 'ASIA'))"
+
 CUSTOMERS = """companies AS (
   SELECT c_name AS company, printf('U%04d', c_custkey) AS ticker,
          c_mktsegment AS industry, r_name AS sector
@@ -146,7 +152,7 @@ volumes AS (
   FROM (SELECT *, avg(total_volume) OVER (PARTITION BY ticker) AS avg_total_volume_per_ticker FROM totals))"""
 
 
-def recent(window: str) -> str:
+def recent(window: str, source: str = "bars") -> str:
     """Subquery ``recent``: the latest part of the bars."""
     if window in ("day", "week"):
         count = {"day": 1, "week": 5}[window]
@@ -154,7 +160,7 @@ def recent(window: str) -> str:
     else:
         months = {"month": 1, "quarter": 3, "year": 12}[window]
         limit = f"date > (SELECT max(date) FROM bars) - INTERVAL {months} MONTH"
-    return f"recent AS (SELECT * FROM bars WHERE {limit})"
+    return f"recent AS ({instead(f'SELECT * FROM bars WHERE {limit}', source)})"
 
 
 def chain(*links: str) -> str:
@@ -227,6 +233,14 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
         "bars_events": chain(EVENTS, "SELECT * FROM bars"),
         "bars_lineitem": chain(LINES, "SELECT * FROM bars"),
         "bars_subset": chain(EVENTS, f"SELECT * FROM bars WHERE ticker IN {focus}"),
+        "bars_of_sector": chain(
+            EVENTS,
+            CUSTOMERS,
+            "SELECT * FROM bars WHERE ticker IN (SELECT ticker FROM companies WHERE sector = 'ASIA')",
+        ),
+        "normalise_bars": VENDOR,
+        "one_bar_per_day": f"""SELECT * FROM ({VENDOR}) QUALIFY row_number() OVER (
+          PARTITION BY ticker, date ORDER BY open NULLS FIRST, high, low, close, volume) = 1""",
         "bars_union": f"SELECT * FROM ({chain(EVENTS, 'SELECT * FROM bars')}) UNION ALL "
         f"SELECT * FROM ({chain(LINES, 'SELECT * FROM bars')})",
         "bars_with_company": chain(EVENTS, CUSTOMERS, "SELECT * FROM bars JOIN companies USING (ticker)"),
@@ -235,7 +249,10 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
             CUSTOMERS,
             """SELECT count(*) AS total_rows, count(DISTINCT ticker) AS distinct_tickers, count(*) = 0 AS is_empty,
             count(*) > 0 AND count(DISTINCT ticker) = 0 AS has_no_ticker,
-            count(*) < (SELECT count(DISTINCT ticker) FROM companies) AS fewer_rows_than_tickers FROM bars""",
+            count(*) < (SELECT count(DISTINCT ticker) FROM companies) AS fewer_rows_than_tickers,
+            count(*) FILTER (ticker IS NOT NULL AND date IS NOT NULL)
+              - count(DISTINCT (ticker, date)) FILTER (ticker IS NOT NULL AND date IS NOT NULL) AS repeated_bars,
+            (SELECT count(ticker) - count(DISTINCT ticker) FROM companies) AS repeated_tickers FROM bars""",
         ),
         "null_counts": chain(
             LINES,
@@ -345,6 +362,12 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
             f"""SELECT ticker_a, ticker_b, round(correlation, 6) AS correlation FROM pairs
             WHERE ticker_a IN {focus} OR ticker_b IN {focus}""",
         ),
+        "best_partners": chain(
+            LINES,
+            DAILY,
+            PARTNERS,
+            "SELECT ticker, partner, round(correlation, 6) AS correlation, rank FROM partners WHERE rank <= 3",
+        ),
         "correlation_top": chain(
             EVENTS,
             DAILY,
@@ -386,6 +409,22 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
                   FROM recent GROUP BY 1) e USING (ticker)
             LEFT JOIN companies USING (ticker)""",
         ),
+        "dashboard_prices": chain(EVENTS, CUSTOMERS, recent("month", ASIAN), "SELECT ticker, date, open, high, low, close FROM recent"),
+        "dashboard_history": chain(
+            EVENTS,
+            CUSTOMERS,
+            recent("month", ASIAN),
+            f"SELECT * EXCLUDE (volume) FROM ({instead(tail, 'recent')})",
+        ),
+        "performer_returns": chain(
+            EVENTS,
+            CUSTOMERS,
+            recent("month"),
+            instead(DAILY, "recent"),
+            """SELECT ticker, date, daily_return FROM daily WHERE ticker IN (
+              SELECT ticker FROM daily JOIN companies USING (ticker) WHERE sector IN ('ASIA', 'EUROPE')
+              GROUP BY 1 ORDER BY avg(daily_return) DESC, ticker LIMIT 5)""",
+        ),
         "top_performers": chain(
             EVENTS,
             CUSTOMERS,

@@ -60,12 +60,14 @@ def test_insights(market):
     }
 
 
-@pytest.mark.parametrize("window", [Period.WEEK, Period.MONTH, Period.YEAR])
-def test_summary_agrees_with_the_single_tables(spark, window):
+@pytest.mark.parametrize(
+    ("window", "scope"), [(Period.WEEK, "ticker"), (Period.MONTH, "portfolio"), (Period.YEAR, "ticker")]
+)
+def test_summary_agrees_with_the_single_tables(spark, window, scope):
     bars = registry.queries()["bars_lineitem"](spark, SMALL).persist()
-    page = plans.insights(bars, None, window, scope="ticker")
+    page = plans.insights(bars, None, window, scope=scope)
     period = window.granularity
-    summary = {r["ticker"]: r for r in plans.insights_summary(bars, None, window).collect()}
+    summary = {r["ticker"]: r for r in plans.insights_summary(bars, None, window, scope=scope).collect()}
 
     trend = {r["ticker"]: (r["last_return"], r["rising"]) for r in page["trend"].collect()}
     assert trend == {t: (r["last_return"], r["rising"]) for t, r in summary.items()}

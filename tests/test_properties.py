@@ -45,9 +45,12 @@ OPERATORS = {
 
 
 def rows_of(df):
-    """Rows as text with twelve digits: sums of another order differ in the last."""
+    """Rows as text with nine digits: sums of another order differ in the last ones."""
+
     def text(value):
-        return f"{value + 0.0:.9g}" if isinstance(value, float) and abs(value) > 1e-9 else str(value or 0)
+        if isinstance(value, float):
+            return f"{value:.9g}" if abs(value) > 1e-9 else "0"
+        return str(value)
 
     return sorted(tuple(text(v) for v in row) for row in df.collect())
 

@@ -105,11 +105,11 @@ def test_sector_choice(spark, shop):
 
 def test_quality_of_loads(spark, shop):
     df = closes(spark, "AA", "2024-01-01", [1, 2])
-    assert tuple(sources.load_quality(df).first()) == (2, 1, False, False, False)
-    assert tuple(sources.load_quality(df, shop).first()) == (2, 1, False, False, True)
-    assert tuple(sources.load_quality(df.limit(0), shop).first()) == (0, 0, True, False, True)
+    assert tuple(sources.load_quality(df).first()) == (2, 1, False, False, False, 0, 0)
+    assert tuple(sources.load_quality(df, shop).first()) == (2, 1, False, False, True, 0, 0)
+    assert tuple(sources.load_quality(df.limit(0), shop).first()) == (0, 0, True, False, True, 0, 0)
     nameless = df.withColumn("ticker", F.lit(None).cast("string"))
-    assert tuple(sources.load_quality(nameless).first()) == (2, 0, False, True, False)
+    assert tuple(sources.load_quality(nameless).first()) == (2, 0, False, True, False, 0, 0)
 
 
 def test_missing_values_are_counted_per_ticker(spark):
