@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 
+from . import oracle
 from .common import documents
 from .decontamination import find_contamination
 from .exact_dedup import exact_duplicates
@@ -83,4 +84,8 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op3_license_scan": oracle.license_scan(),
+        "op6_sharding": oracle.sharding(),
+        "op7_exact_dedup": oracle.exact_dedup(),
+    }
