@@ -136,6 +136,23 @@ def lead(group: np.ndarray, sketches: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return leads, np.concatenate(froms), np.concatenate(tos)
 
 
+def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges that connect the same nodes: from the smallest node of each component to its others."""
+    nodes, place = np.unique(np.r_[a, b], return_inverse=True)
+    a, b = place[: len(a)], place[len(a) :]
+    root = np.arange(len(nodes))
+    while True:
+        least = np.minimum(root[a], root[b])
+        before = root.copy()
+        np.minimum.at(root, a, least)
+        np.minimum.at(root, b, least)
+        root = root[root]
+        if (root == before).all():
+            break
+    others = np.flatnonzero(root != np.arange(len(nodes)))
+    return nodes[root[others]], nodes[others]
+
+
 _EDGE = ["key", "node", "other", "sketch"]
 
 
@@ -172,8 +189,8 @@ def _local_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             _, group = np.unique(keys, return_inverse=True)
             leads, froms, tos = lead(group, sketch[owner])
             kept = owner[leads]
-            edges = np.unique(np.stack([owner[froms], owner[tos]], axis=1), axis=0)
-            yield _bucket_rows(keys[leads], node[kept], sketch[kept][:, :0], node[edges[:, 0]], node[edges[:, 1]])
+            edges = spanning(node[owner[froms]], node[owner[tos]])
+            yield _bucket_rows(keys[leads], node[kept], sketch[kept][:, :0], *edges)
 
 
 def _shared(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,8 +219,7 @@ def _global_leaders(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         sketch = _sketches(batch["sketch"])
         _, group = np.unique(keys, return_inverse=True)
         _, froms, tos = lead(group, sketch)
-        edges = np.unique(np.stack([node[froms], node[tos]], axis=1), axis=0)
-        yield pa.record_batch([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
+        yield pa.record_batch([pa.array(x) for x in spanning(node[froms], node[tos])], ["a", "b"])
 
 
 def groups_of_keys(batches: Iterable[pa.RecordBatch], size: int = 50_000) -> Iterator[pa.Table]:

@@ -10,7 +10,7 @@ import pytest
 from barometry.llm import near_dedup
 from barometry.llm.common import words_of
 from barometry.llm.components import components
-from barometry.llm.near_dedup import estimate, min_hashes, near_duplicates, odd_sketch
+from barometry.llm.near_dedup import estimate, min_hashes, near_duplicates, odd_sketch, spanning
 
 
 def brute_force(rows, size):
@@ -76,3 +76,8 @@ def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(50, 60), (61, 60), (70, 70), (60, 50)]
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert found == {**dict.fromkeys(range(41), 0), 50: 50, 60: 50, 61: 50}
+
+
+def test_spanning_edges_connect_the_same_nodes():
+    a, b = np.array([5, 5, 9, 3, 20, 7]), np.array([9, 3, 3, 9, 21, 7])
+    assert set(zip(*(x.tolist() for x in spanning(a, b)), strict=True)) == {(3, 5), (3, 9), (20, 21)}
