@@ -130,7 +130,10 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     # Written, since both uses below must see the same names.
     identified = written(about.filter("blocks = 1").select(*kept_columns).unionByName(long.select(*kept_columns)))
     order = F.struct((-F.col("points")).alias("p"), F.col("doc_id").isNull().alias("n"), "doc_id", "row")
-    groups = identified.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    # Written, so that the join below deals out both sides itself and can split a large group.
+    groups = written(
+        identified.groupBy("blocks", "name").agg(F.count(F.lit(1)).alias("group_size"), F.min(order).alias("best"))
+    )
     return identified.join(groups, ["blocks", "name"]).select(
         "row",
         "doc_id",

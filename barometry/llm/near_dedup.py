@@ -425,7 +425,8 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     rows = signed.filter("n > 0").join(classes, "digest").select("row", "doc_id", "n", "class").unionByName(lone)
     rows = written(rows)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("x"), "doc_id", "row"))
-    best = rows.groupBy("class").agg(first.alias("best"))
+    # Written, so that the join below deals out both sides itself and can split a large class.
+    best = written(rows.groupBy("class").agg(first.alias("best")))
     return rows.join(best, "class").select(
         "row",
         "doc_id",
