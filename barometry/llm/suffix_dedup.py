@@ -37,7 +37,7 @@ LENGTH = 50  # bytes of a string
 _GRAM = 20  # bytes of the short strings
 _WINDOW = LENGTH - _GRAM + 1  # of them in a string
 _SHIFT = np.uint64(16)  # anchors have 48 bits; equal ones by chance only cost time
-_HOT = 2000  # stretches from which on an anchor is split
+_HOT = 4000  # distinct stretches, added up over cells, from which on an anchor is split
 _CELL_BITS = 11  # 2048 rows of a partition are a cell
 _SLICE = 2**20
 _INDEX = 2**20  # bytes of stretches in one index
@@ -47,25 +47,25 @@ _NOBODY = 2**63 - 1  # in place of a null id: larger than any other
 # Anchors ------------------------------------------------------------------
 
 
-def anchors(codes: np.ndarray) -> np.ndarray:
-    """The anchor of the string that starts at each byte."""
+def anchors(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The anchor of the string that starts at each byte, and sums that give hashes of any stretch."""
     n = len(codes)
-    power, inverse = powers(n)
+    power, inverse = powers(n + 1)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power, out=sums[1:])
+    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[:n], out=sums[1:])
     least = mixed((sums[_GRAM:] - sums[:-_GRAM]) * inverse[: n - _GRAM + 1]) >> _SHIFT
     width = 1
     while 2 * width <= _WINDOW:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
     rest = _WINDOW - width
-    return np.minimum(least[: len(least) - rest], least[rest:])
+    return np.minimum(least[: len(least) - rest], least[rest:]), sums, inverse
 
 
-def stretches(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def stretches(texts: list[bytes]) -> Iterator[tuple[bytes, *tuple[np.ndarray, ...]]]:
     """Slices of the texts with their stretches: the bytes, and for each stretch its text,
     where the slice's bytes of it start (and where that is in the text), how many strings it has,
-    and its anchor.
+    its anchor, and a hash of what it holds.
     """
     pieces: list[tuple[int, int, bytes]] = []
     size = 0
@@ -83,7 +83,7 @@ def stretches(texts: list[bytes]) -> Iterator[tuple[bytes, np.ndarray, np.ndarra
 
 def _stretched(pieces: list[tuple[int, int, bytes]]):
     data = b"".join(piece for *_, piece in pieces)
-    least = anchors(np.frombuffer(data, np.uint8))
+    least, sums, inverse = anchors(np.frombuffer(data, np.uint8))
     length = np.array([len(piece) for *_, piece in pieces])
     begin = np.cumsum(length) - length
     # Only strings inside of a piece count.
@@ -101,7 +101,9 @@ def _stretched(pieces: list[tuple[int, int, bytes]]):
     size = np.minimum(np.repeat(size, parts) - number * _WINDOW, _WINDOW)
     owner = np.array([i for i, *_ in pieces])[piece[starts]]
     offset = at[starts] - begin[piece[starts]] + np.array([s for _, s, _ in pieces])[piece[starts]]
-    return data, owner, at[starts], offset, size, value[starts]
+    begin = at[starts]
+    held = mixed((sums[begin + size + LENGTH - 1] - sums[begin]) * inverse[begin])
+    return data, owner, begin, offset, size, value[starts], held
 
 
 # Cells --------------------------------------------------------------------
@@ -147,25 +149,31 @@ _ANCHORS, _TEXTS, _REPEATED, _STRETCHES, _OWNERS = range(5)
 
 
 def _named_anchors(bits: int):
-    """Anchors of each cell: how many stretches they have, and whether in several rows."""
+    """Anchors of each cell: how many distinct stretches they have, and whether in several rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1):
             cell = table["cell"][0].as_py()
-            values, owners = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+            values, owners, contents = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             base = 0
             for batch in table.to_batches():
                 texts = [text.encode() for text in batch.column("text").to_pylist()]
-                for _, owner, _, _, _, anchor in stretches(texts):
+                for _, owner, _, _, _, anchor, held in stretches(texts):
                     values.append(anchor)
                     owners.append(base + owner)
+                    contents.append(held)
                 base += len(texts)
-            value, owner = np.concatenate(values), np.concatenate(owners)
-            order = np.lexsort((owner, value))
-            value, owner = value[order], owner[order]
-            first = np.flatnonzero(np.r_[True, value[1:] != value[:-1]]) if len(value) else np.zeros(0, int)
-            count = np.diff(np.r_[first, len(value)])
-            several = owner[first] != owner[np.minimum(first + count, len(owner)) - 1] if len(first) else first
+            value, owner, held = (np.concatenate(x) for x in (values, owners, contents))
+            order = np.lexsort((held, value))
+            value, owner, held = value[order], owner[order], held[order]
+            fresh = np.r_[True, value[1:] != value[:-1]][: len(value)]
+            first = np.flatnonzero(fresh)
+            count, several = np.zeros(0, np.int64), np.zeros(0, bool)
+            if len(first):
+                # Copies of a stretch are sent once.
+                other = fresh | np.r_[True, held[1:] != held[:-1]]
+                count = np.add.reduceat(other.astype(np.int64), first)
+                several = np.minimum.reduceat(owner, first) != np.maximum.reduceat(owner, first)
             known = value[first]
             rows = []
             for part, own in _by_part(_part_of(known, bits)):
@@ -228,7 +236,7 @@ class Cell:
         """Slices with their repeated stretches: contents, texts, offsets, numbers of strings, keys."""
         if not len(self.anchors):
             return
-        for data, owner, at, offset, size, anchor in stretches(self.texts):
+        for data, owner, at, offset, size, anchor, _ in stretches(self.texts):
             place = np.minimum(np.searchsorted(self.anchors, anchor), len(self.anchors) - 1)
             kept = np.flatnonzero(self.anchors[place] == anchor)
             hot = self.hot[place[kept]]
