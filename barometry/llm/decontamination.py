@@ -1,8 +1,9 @@
-"""Benchmark items in training texts: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark items in training texts: n-gram seeds, then Smith-Waterman alignment.
 
-Every item names its word n-grams; those that are rare in the corpus are its seeds.  A
-text that holds a seed is aligned with the item around it, word by word, so that edited
-and partly rewritten copies score high and chance hits low.
+Every word n-gram of an item is a seed, frequent ones too: of an edited copy they may be
+all that is left.  A text that holds a seed is aligned with the item around it, word by
+word, so that edited and partly rewritten copies score high and chance hits low.  A chance
+hit costs little: it is not aligned where too few words of the item stand around it.
 """
 
 from __future__ import annotations
@@ -24,7 +25,6 @@ from .common import bounded_batches
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 N = 3  # words of a seed
-RARE = 0.75  # share of an item's n-grams, from the rarest on, that are seeds
 THRESHOLD = 0.4  # of the score of a full copy; chance alignments stay below
 MATCH, MISMATCH, GAP = 2, -1, -1
 _BLOCK = 2**22  # bytes of items that are searched for in one pass over the texts
@@ -62,21 +62,6 @@ class Items:
         keys, starts = np.unique(every[order], return_index=True)
         return cls(ids, words, vocabulary, keys, np.r_[starts, len(every)], owner[order], offset[order])
 
-    def restricted(self, frequency: np.ndarray) -> Items:
-        """Only the places whose n-gram is among the rarer ones of its item."""
-        per_place = np.repeat(frequency, np.diff(self.starts))
-        order = np.lexsort((self.offsets, per_place, self.items))
-        sizes = np.bincount(self.items, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-        kept = np.zeros(len(order), bool)
-        kept[order] = rank < np.ceil(RARE * np.repeat(sizes, sizes))
-        key = np.repeat(np.arange(len(self.keys)), np.diff(self.starts))[kept]
-        present, starts = np.unique(key, return_index=True)
-        return Items(
-            self.ids, self.words, self.vocabulary, self.keys[present],
-            np.r_[starts, len(key)], self.items[kept], self.offsets[kept],
-        )
-
 
 def grams(words: np.ndarray, base: int) -> np.ndarray:
     """The n-gram that starts at each word as a number; -1 if it holds an unknown word."""
@@ -115,18 +100,6 @@ def _hits(words: np.ndarray, items: Items) -> tuple[np.ndarray, np.ndarray]:
     return at[found], place[found]
 
 
-def _frequencies(items: Items):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(items.keys), np.int64)
-        for batch in bounded_batches(batches, _SLICE):
-            for text in batch.column(0).to_pylist():
-                total[np.unique(_hits(numbered(text, items.vocabulary), items)[1])] += 1
-        seen = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(seen), pa.array(total[seen])], ["gram", "n"])
-
-    return run
-
-
 def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     """Best local alignment score of ``a`` in ``b``, and where it ends in either."""
     column = np.arange(len(b) + 1) * -GAP
@@ -156,6 +129,7 @@ def align(item: np.ndarray, words: np.ndarray) -> tuple[int, int, int]:
 
 def _aligned(items: Items, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        present = np.zeros(len(items.vocabulary) + 1, bool)  # the last one is for words of no item
         for batch in bounded_batches(batches, _SLICE):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -171,13 +145,21 @@ def _aligned(items: Items, threshold: float):
                 for own in np.split(np.arange(len(item)), np.flatnonzero(np.diff(item)) + 1):
                     wanted = items.words[item[own[0]]]
                     size = len(wanted)
-                    margin = size // 2 + 2
+                    # No alignment over the threshold has more words of the text between those of the item.
+                    margin = max(math.ceil(MATCH * (1 - threshold) * size / -GAP), 0) + 1
                     # Seeds whose stretches overlap are aligned together.
                     first = begin[own]
                     best = (0, 0, 0)
                     for part in np.split(first, np.flatnonzero(np.diff(first) > size + 2 * margin) + 1):
                         low = max(int(part[0]) - margin, 0)
-                        found = align(wanted, words[low : int(part[-1]) + size + margin])
+                        around = words[low : int(part[-1]) + size + margin]
+                        # At best every word of the item that stands here is a match.
+                        present[around] = True
+                        most = int(present[wanted].sum())
+                        present[around] = False
+                        if MATCH * most / (MATCH * size) < threshold:
+                            continue
+                        found = align(wanted, around)
                         if found[0] > best[0]:
                             best = (found[0], low + found[1], low + found[2])
                     score = best[0] / (MATCH * size)
@@ -202,7 +184,8 @@ def find_contamination(
     copy), ``first_word`` and ``last_word`` of it in the text, counted in words (runs of
     letters and digits) from 0.  Null texts hold nothing, null items are in nothing, and
     so are items of fewer than three words.  Repeated rows of either side repeat no pair
-    of an item; a repeated text has its own.
+    of an item; a repeated text has its own.  Every text that holds three words of an item
+    in a row is aligned with it; an alignment without such words is not looked for.
 
     Items are searched for in blocks of bounded size, each in a pass over all texts: a
     task holds one block, however large the benchmark.
@@ -217,11 +200,6 @@ def find_contamination(
     found = None
     for i in range(blocks):
         items = Items.of([tuple(row) for row in wanted.filter(block == i).orderBy("item_id", "text").collect()])
-        counts = rows.select("text").mapInArrow(_frequencies(items), "gram bigint, n bigint")
-        frequency = np.zeros(len(items.keys), np.int64)
-        # One number for each n-gram of the block.
-        for gram, n in counts.groupBy("gram").agg(F.sum("n")).collect():
-            frequency[gram] = n
-        pairs = rows.mapInArrow(_aligned(items.restricted(frequency), threshold), schema)
+        pairs = rows.mapInArrow(_aligned(items, threshold), schema)
         found = pairs if found is None else found.unionByName(pairs)
     return found if found is not None else spark.createDataFrame([], schema)

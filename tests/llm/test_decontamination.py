@@ -48,3 +48,38 @@ def test_edited_copies_are_found_and_others_left_alone(spark, monkeypatch):
         found = [tuple(r)[:3] for r in find_contamination(spark.createDataFrame(docs, schema), benchmark).collect()]
         assert {(d, i) for d, i, _ in found if d < 3000} == copies
         assert sorted(f for f in found if f[0] >= 3000) == [(3001, 0, 1.0), (3001, 0, 1.0)]
+
+
+def test_the_only_grams_that_edits_leave_are_seeds(spark):
+    """Two intact 3-grams among ten; the others occur nowhere in the corpus."""
+    item = [f"w{i}" for i in range(12)]
+    copy = ["x" if i in (3, 6, 10) else word for i, word in enumerate(item)]
+    docs = spark.createDataFrame([(1, " ".join(["far", *copy, "away"]))], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(5, " ".join(item))], "item_id long, text string")
+    assert [tuple(r) for r in find_contamination(docs, benchmark).collect()] == [(1, 5, 0.625, 1, 12)]
+
+
+def test_short_heavily_edited_items_against_all_alignments(spark):
+    rng = random.Random(11)
+    words = [f"v{i}" for i in range(60)]
+    items = [[rng.choice(words) for _ in range(rng.randint(3, 14))] for _ in range(25)]
+    docs = []
+    for i, item in enumerate(items * 4):
+        copy = []
+        for word in item:
+            kind = rng.random()
+            copy += [word] if kind < 0.55 else [f"e{i}"] if kind < 0.75 else [] if kind < 0.85 else [word, *["y"] * rng.randint(1, 9)]
+        docs.append([*["far"] * rng.randint(0, 5), *copy, *rng.sample(words, 4)])
+    number = {}
+    code = lambda text: np.array([number.setdefault(word, len(number)) for word in text])
+    grams = lambda text: {tuple(text[i : i + 3]) for i in range(len(text) - 2)}
+    expected = {}
+    for d, doc in enumerate(docs):
+        for i, item in enumerate(items):
+            score = smith_waterman(code(item), code(doc)) / (MATCH * len(item))
+            if score >= decontamination.THRESHOLD and grams(item) & grams(doc):
+                expected[d, i] = score
+    assert len(expected) > 40 and min(expected.values()) < 0.5
+    rows = spark.createDataFrame([(d, " ".join(doc)) for d, doc in enumerate(docs)], "doc_id long, text string")
+    benchmark = spark.createDataFrame([(i, " ".join(item)) for i, item in enumerate(items)], "item_id long, text string")
+    assert {(d, i): score for d, i, score, *_ in find_contamination(rows, benchmark).collect()} == expected
