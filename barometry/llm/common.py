@@ -11,11 +11,13 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, of UTF-8 bytes
 _ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
+NOBODY = 2**63 - 1  # in place of a null id: larger than any other
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -76,6 +78,60 @@ def bounded_batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa
             yield batch.slice(start, end - start)
 
 
+def compressed(*arrays: np.ndarray | bytes) -> bytes:
+    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
+    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
+    whole = head + b"".join(parts)
+    return np.int64(len(whole)).tobytes() + pa.compress(whole, "zstd", asbytes=True)
+
+
+def restored(blob: bytes) -> list[bytes]:
+    size = int(np.frombuffer(blob, np.int64, 1)[0])
+    whole = pa.decompress(blob[8:], size, "zstd", asbytes=True)
+    n = int(np.frombuffer(whole, np.int64, 1)[0])
+    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(whole, np.int64, n, 8))
+    return [whole[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def packed_cells(rows: DataFrame, most: int, size: int) -> DataFrame:
+    """``cell, data``: consecutive ``rows (doc_id, flag, text)`` in cells, one row each.
+
+    A cell ends after ``most`` rows or ``size`` bytes of text.  Written, since a scan of the
+    rows may be cut otherwise each time: all later steps read the same cells.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, held, n = TaskContext.get().partitionId() << 33, [], 0
+        for batch in batches:
+            for doc_id, flag, text in zip(*(column.to_pylist() for column in batch.columns), strict=True):
+                held.append((doc_id, flag, text.encode()))
+                n += len(held[-1][2])
+                if len(held) >= most or n >= size:
+                    yield _cell(cell, held)
+                    cell, held, n = cell + 1, [], 0
+        if held:
+            yield _cell(cell, held)
+
+    return written(rows.mapInArrow(run, "cell bigint, data binary"))
+
+
+def _cell(cell: int, held: list[tuple]) -> pa.RecordBatch:
+    ids, flags, texts = zip(*held, strict=True)
+    number = np.array([x if x is not None else NOBODY for x in ids], np.int64)
+    known = np.array([x is not None for x in ids])
+    length = np.array([len(text) for text in texts], np.int64)
+    data = compressed(number, known, np.array(flags, bool), length, b"".join(texts))
+    return pa.record_batch([pa.array([cell]), pa.array([data], pa.binary())], ["cell", "data"])
+
+
+def cell_rows(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    """Ids (``NOBODY`` for null), whether they are known, flags and texts of a cell."""
+    number, known, flags, length, whole = restored(data)
+    ends = np.cumsum(np.frombuffer(length, np.int64)).tolist()
+    texts = [whole[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+    return np.frombuffer(number, np.int64), np.frombuffer(known, bool), np.frombuffer(flags, bool), texts
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """64-bit finaliser: spreads the bits of ``x`` over the whole number."""
     x = x.astype(np.uint64)

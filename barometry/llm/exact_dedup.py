@@ -19,7 +19,7 @@ from pyspark import TaskContext, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, binary_column, bounded_batches, texts, written
+from .common import SPACES, binary_column, bounded_batches, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -99,20 +99,21 @@ def _give_names(gathered: DataFrame, fields: list[tuple[str, str]]) -> DataFrame
     return gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_named(fields), schema)
 
 
-def exact_duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
+def exact_duplicates(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFrame:
     """Which document stays of each group of texts equal up to white space.
 
     Of a group the row with the most characters (code points of the whole text) stays,
     then the one with the smallest ``doc_id``, a null id last; of rows that agree even in
     these exactly one.  A null text is an empty one, and all texts without anything but
-    white space are equal.  One row per input row: ``row`` (its number in the order of the
-    input), ``doc_id, keep_id, group_size, kept, text_sha256`` (of the text without white
+    white space are equal.  One row per input row: ``row`` (the column ``row`` of the input, or a
+    number in the order of this scan), ``doc_id, keep_id, group_size, kept, text_sha256`` (of the text without white
     space), and ``n_chars_text``.
 
     Blocks that occur often, and pairs of names, are gathered with their places before
     the shuffle, so that a task gets one row of them per slice of input and not per document.
     """
-    rows = texts(docs).select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    number = F.col(row) if row else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     first = written(_give_names(rows.mapInArrow(_blocks(block), "key binary, places binary"), _ABOUT))
     longest = first.agg(F.max("blocks")).first()[0] or 1
     names = first.filter("blocks > 1").select("row", "slot", "name")

@@ -391,13 +391,13 @@ def _confirmed(texts: DataFrame, members: DataFrame, size: int, percent: int) ->
     return whole.unionByName(joined.select("node", F.coalesce("root", "cluster").alias("root")))
 
 
-def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, row: str | None = None) -> DataFrame:
     """Components of texts linked by ``100 * shared shingles >= percent * all shingles`` of two texts.
 
     Words stand between white space, A-Z in lower case; a shingle is ``size`` words, and a
     text of fewer words is one shingle.  A text without words, a null one too, has none and
-    is linked with nothing.  One row per input row: ``row`` (its number in the order of the
-    input), ``doc_id, n_shingles, component_id`` (smallest id of the component, of a text
+    is linked with nothing.  One row per input row: ``row`` (the column ``row`` of a
+    table whose rows have fixed numbers, or a number in the order of this scan), ``doc_id, n_shingles, component_id`` (smallest id of the component, of a text
     without links its own), ``kept`` (whether it is that one) and ``first`` (true for one
     row of each component, also where ids are null or repeat).
 
@@ -405,10 +405,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     of a million cases and more similar ones in fewer; found links are exact.
     """
     texts = docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
+    if not row:
+        # Written, since another scan might be cut otherwise and number its rows anew.
+        texts = written(texts)
     fields = "row bigint, doc_id bigint, n bigint, digest binary, bands binary, sketch binary"
     signed = written(texts.mapInArrow(_signed(size), fields))
     sets = signed.filter("n > 0").groupBy("digest").agg(

@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import groups, mixed, powers, written
+from .common import NOBODY, cell_rows, compressed, groups, mixed, packed_cells, powers, restored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -38,10 +38,9 @@ _GRAM = 20  # bytes of the short strings
 _WINDOW = LENGTH - _GRAM + 1  # of them in a string
 _SHIFT = np.uint64(16)  # anchors have 48 bits; equal ones by chance only cost time
 _HOT = 4000  # distinct stretches, added up over cells, from which on an anchor is split
-_CELL_BITS = 11  # 2048 rows of a partition are a cell
+_CELL = 2**11, 2**23  # rows and bytes after which a cell ends
 _SLICE = 2**20
 _INDEX = 2**20  # bytes of stretches in one index
-_NOBODY = 2**63 - 1  # in place of a null id: larger than any other
 
 
 # Anchors ------------------------------------------------------------------
@@ -110,21 +109,6 @@ def _stretched(pieces: list[tuple[int, int, bytes]]):
 # Cells --------------------------------------------------------------------
 
 
-def _compressed(*arrays: np.ndarray | bytes) -> bytes:
-    parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
-    head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
-    whole = head + b"".join(parts)
-    return np.int64(len(whole)).tobytes() + pa.compress(whole, "zstd", asbytes=True)
-
-
-def _restored(blob: bytes) -> list[bytes]:
-    size = int(np.frombuffer(blob, np.int64, 1)[0])
-    whole = pa.decompress(blob[8:], size, "zstd", asbytes=True)
-    n = int(np.frombuffer(whole, np.int64, 1)[0])
-    ends = 8 * (n + 1) + np.cumsum(np.frombuffer(whole, np.int64, n, 8))
-    return [whole[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
-
-
 _MESSAGE = "part bigint, cell bigint, kind int, data binary"
 
 
@@ -153,17 +137,12 @@ def _named_anchors(bits: int):
     """Anchors of each cell: how many distinct stretches they have, and whether in several rows."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in groups(batches, 1):
-            cell = table["cell"][0].as_py()
+        for cell, data in ((c.as_py(), d.as_py()) for b in batches for c, d in zip(*b.columns, strict=True)):
             values, owners, contents = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            base = 0
-            for batch in table.to_batches():
-                texts = [text.encode() for text in batch.column("text").to_pylist()]
-                for _, owner, _, _, _, anchor, held in stretches(texts):
-                    values.append(anchor)
-                    owners.append(base + owner)
-                    contents.append(held)
-                base += len(texts)
+            for _, owner, _, _, _, anchor, held in stretches(cell_rows(data)[3]):
+                values.append(anchor)
+                owners.append(owner)
+                contents.append(held)
             value, owner, held = (np.concatenate(x) for x in (values, owners, contents))
             order = np.lexsort((held, value))
             value, owner, held = value[order], owner[order], held[order]
@@ -180,7 +159,7 @@ def _named_anchors(bits: int):
             for part, own in _by_part(_part_of(known, bits)):
                 steps = np.diff(known[own], prepend=np.uint64(0))
                 note = np.minimum(count[own], 2**15 - 1).astype(np.uint16) | (several[own].astype(np.uint16) << np.uint16(15))
-                rows.append((part, cell, _ANCHORS, _compressed(steps, note)))
+                rows.append((part, cell, _ANCHORS, compressed(steps, note)))
             yield _messages(rows)
 
     return run
@@ -190,7 +169,7 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
     """For each cell its anchors that several rows have, and which of them are to be split."""
     for table in groups(batches, 1):
         part, cells = table["part"][0].as_py(), table["cell"].to_pylist()
-        found = [_restored(blob.as_py()) for blob in table["data"]]
+        found = [restored(blob.as_py()) for blob in table["data"]]
         values = [np.cumsum(np.frombuffer(steps, np.uint64), dtype=np.uint64) for steps, _ in found]
         notes = [np.frombuffer(note, np.uint16) for _, note in found]
         every, note = np.concatenate(values), np.concatenate(notes)
@@ -202,21 +181,10 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for cell, value, a, b in zip(cells, values, bounds[:-1], bounds[1:], strict=True):
             own = several[place[a:b]]
             if own.any():
-                rows.append((part, cell, _REPEATED, _compressed(value[own], hot[place[a:b]][own])))
+                rows.append((part, cell, _REPEATED, compressed(value[own], hot[place[a:b]][own])))
         yield _messages(rows)
 
 
-def _packed_texts(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of each cell as one message."""
-    for table in groups(batches, 1):
-        ids = table["doc_id"]
-        known = np.array(ids.is_valid())
-        number = np.array([x if x is not None else _NOBODY for x in ids.to_pylist()], np.int64)
-        texts = [text.encode() for text in table["text"].to_pylist()]
-        length = np.array([len(text) for text in texts], np.int64)
-        yield _messages([(0, table["cell"][0].as_py(), _TEXTS, _compressed(number, known, length, b"".join(texts)))])
-
-
 class Cell:
     """The texts of a cell, and its stretches with repeated anchors, always in the same order."""
 
@@ -224,11 +192,8 @@ class Cell:
         by_kind: dict[int, list[tuple[int, bytes]]] = {}
         for part, kind, data in zip(table["part"].to_pylist(), table["kind"].to_pylist(), table["data"], strict=True):
             by_kind.setdefault(kind, []).append((part, data.as_py()))
-        number, known, length, data = _restored(by_kind[_TEXTS][0][1])
-        self.ids, self.known = np.frombuffer(number, np.int64), np.frombuffer(known, bool)
-        ends = np.cumsum(np.frombuffer(length, np.int64))
-        self.texts = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-        found = [_restored(blob) for _, blob in sorted(by_kind.get(_REPEATED, []))]
+        self.ids, self.known, _, self.texts = cell_rows(by_kind[_TEXTS][0][1])
+        found = [restored(blob) for _, blob in sorted(by_kind.get(_REPEATED, []))]
         self.anchors = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(v, np.uint64) for v, _ in found)])
         self.hot = np.concatenate([np.zeros(0, bool), *(np.frombuffer(h, bool) for _, h in found)])
         self.owners = dict(by_kind.get(_OWNERS, []))
@@ -268,7 +233,7 @@ def _sent_stretches(bits: int):
             key_of: dict[bytes, int] = {}
             for contents, text, _, _, keys in cell.repeated():
                 for content, key, doc in zip(contents, keys.tolist(), cell.ids[text].tolist(), strict=True):
-                    if doc < least.get(content, _NOBODY + 1):
+                    if doc < least.get(content, NOBODY + 1):
                         least[content], key_of[content] = doc, key
             # By key: stretches with one key are neighbours, in the part's index too.
             order = sorted(least, key=lambda content: (key_of[content], content))
@@ -278,7 +243,7 @@ def _sent_stretches(bits: int):
             rows = []
             for part, own in _by_part(_part_of(keys, bits)):
                 data = b"".join(order[i] for i in own)
-                rows.append((part, table["cell"][0].as_py(), _STRETCHES, _compressed(keys[own], docs[own], length[own], data)))
+                rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(keys[own], docs[own], length[own], data)))
             yield _messages(rows)
 
     return run
@@ -414,7 +379,7 @@ def smallest_owners(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]
         linked[row] |= match[0][whole] >= LENGTH
         linked[row + 1] |= match[1][whole] >= LENGTH
     string = (np.cumsum(~linked[:-1]) - 1)[rows]
-    least = np.full(index.n, _NOBODY)
+    least = np.full(index.n, NOBODY)
     np.minimum.at(least, string, np.repeat(docs, strings))
     return np.split(least[string], first[1:])
 
@@ -427,11 +392,11 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key_of: dict[bytes, int] = {}
         orders = []
         for blob in table["data"]:
-            keys, docs, length, data = _restored(blob.as_py())
+            keys, docs, length, data = restored(blob.as_py())
             ends = np.cumsum(np.frombuffer(length, np.uint8), dtype=np.int64).tolist()
             own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
             for content, key, doc in zip(own, np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
-                if doc < least.get(content, _NOBODY + 1):
+                if doc < least.get(content, NOBODY + 1):
                     least[content], key_of[content] = doc, key
             orders.append(own)
         found: dict[bytes, np.ndarray] = {}
@@ -453,7 +418,7 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             values = np.concatenate([found[content] for content in own])
             # Neighbours mostly agree.
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            rows.append((part, cell, _OWNERS, _compressed(values[first], np.diff(np.r_[first, len(values)]))))
+            rows.append((part, cell, _OWNERS, compressed(values[first], np.diff(np.r_[first, len(values)]))))
         yield _messages(rows)
 
 
@@ -475,7 +440,7 @@ def _cut(bits: int):
             place: dict[bytes, int] = {}
             least, base = [np.zeros(0, np.int64)], 0
             for part, own in _by_part(_part_of(keys, bits)):
-                values, times = _restored(cell.owners[part])
+                values, times = restored(cell.owners[part])
                 least.append(np.repeat(np.frombuffer(values, np.int64), np.frombuffer(times, np.int64)))
                 contents = [order[i] for i in own]
                 sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
@@ -526,8 +491,8 @@ def remove_repeats(docs: DataFrame, part_bits: int = 8) -> DataFrame:
     with the input, so that the stretches of a part fit into a task.
     """
     rows = docs.select(
-        F.shiftright(F.monotonically_increasing_id(), _CELL_BITS).alias("cell"),
         F.col("doc_id").cast("bigint").alias("doc_id"),
+        F.lit(False).alias("flag"),
         F.coalesce("text", F.lit("")).alias("text"),
     )
 
@@ -535,9 +500,10 @@ def remove_repeats(docs: DataFrame, part_bits: int = 8) -> DataFrame:
         other = [name for name in ("part", "cell", "kind", "data") if name != first]
         return df.select(first, *other).repartition(first).sortWithinPartitions(first, second, "kind")
 
-    named = rows.select("cell", "text").mapInArrow(_named_anchors(part_bits), _MESSAGE)
+    cells = packed_cells(rows, *_CELL)
+    named = cells.mapInArrow(_named_anchors(part_bits), _MESSAGE)
     repeated = by(named, "part", "cell").mapInArrow(_repeated_anchors, _MESSAGE)
-    packed = rows.mapInArrow(_packed_texts, _MESSAGE)
+    packed = cells.select(F.lit(0).cast("bigint").alias("part"), "cell", F.lit(_TEXTS).alias("kind"), "data")
     repeated = written(repeated)
     sent = by(packed.unionByName(repeated), "cell", "part").mapInArrow(_sent_stretches(part_bits), _MESSAGE)
     owners = by(sent, "part", "cell").mapInArrow(_owners, _MESSAGE)

@@ -23,14 +23,18 @@ _ROW = "__row"
 ORACLE_SQL = None
 
 
-def _without(docs: DataFrame, dropped: DataFrame, many: bool = True) -> DataFrame:
-    """The documents but those whose number, in the order of the table, is in ``dropped (row)``.
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The documents with numbers that stay: written, since each scan would number them anew."""
+    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+
+
+def _without(numbered: DataFrame, dropped: DataFrame, many: bool = True) -> DataFrame:
+    """The documents but those whose number is in ``dropped (row)``.
 
     ``many``: what is dropped is a share of the documents, so that no task gets all of it.
     """
-    numbered = docs.withColumn(_ROW, F.monotonically_increasing_id())
     rows = dropped.select(F.col("row").alias(_ROW)).distinct()
-    return numbered.join(rows.hint("merge") if many else rows, _ROW, "left_anti").select(*docs.columns)
+    return numbered.join(rows.hint("merge") if many else rows, _ROW, "left_anti").drop(_ROW)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,17 +44,20 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts equal up to white space."""
-    return _without(docs, exact_duplicates(docs).filter("not kept"))
+    docs = _numbered(docs)
+    return _without(docs, exact_duplicates(docs, row=_ROW).filter("not kept"))
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a similarity of 0.8 of their five-word shingles."""
-    return _without(docs, near_duplicates(docs).filter("not first"))
+    docs = _numbered(docs)
+    return _without(docs, near_duplicates(docs, row=_ROW).filter("not first"))
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a copy of a benchmark item, edited or not."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), "text")
+    docs = _numbered(docs)
+    rows = docs.select(F.col(_ROW).alias("row"), "text")
     found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
     return _without(docs, found, many=False)
 
