@@ -115,6 +115,14 @@ def packed_cells(rows: DataFrame, most: int, size: int) -> DataFrame:
     return written(rows.mapInArrow(run, "cell bigint, data binary"))
 
 
+def parts_for(rows: DataFrame, size: int, least: int) -> int:
+    """A power of two: ``least`` parts, or so many that each has at most ``size`` bytes of the texts on average."""
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    while least * size < total:
+        least *= 2
+    return least
+
+
 def _cell(cell: int, held: list[tuple]) -> pa.RecordBatch:
     ids, flags, texts = zip(*held, strict=True)
     number = np.array([x if x is not None else NOBODY for x in ids], np.int64)

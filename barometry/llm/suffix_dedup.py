@@ -29,7 +29,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOBODY, cell_rows, compressed, groups, mixed, packed_cells, powers, restored, written
+from .common import NOBODY, cell_rows, compressed, groups, mixed, packed_cells, parts_for, powers, restored, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -39,6 +39,7 @@ _WINDOW = LENGTH - _GRAM + 1  # of them in a string
 _SHIFT = np.uint64(16)  # anchors have 48 bits; equal ones by chance only cost time
 _HOT = 4000  # distinct stretches, added up over cells, from which on an anchor is split
 _CELL = 2**11, 2**23  # rows and bytes after which a cell ends
+_PARTS, _PART = 2**8, 2**27  # parts at least, and bytes of text from which on there are more
 _SLICE = 2**20
 _INDEX = 2**20  # bytes of stretches in one index
 
@@ -479,7 +480,7 @@ def _cut(bits: int):
 _RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"]
 
 
-def remove_repeats(docs: DataFrame, part_bits: int = 8) -> DataFrame:
+def remove_repeats(docs: DataFrame, part_bits: int | None = None) -> DataFrame:
     """Every text without the bytes of its strings that also start in a row with a smaller id.
 
     Texts are UTF-8 bytes, a null one is empty.  A null id is larger than any other, and
@@ -487,8 +488,8 @@ def remove_repeats(docs: DataFrame, part_bits: int = 8) -> DataFrame:
     overlap, and never cross rows.  One row per input row: ``doc_id, n_bytes, n_removed,
     n_spans, kept_sha256`` and ``removed``, the first byte and the end of each span.
 
-    The messages of a cell to a part are one row each; ``2 ** part_bits`` parts should grow
-    with the input, so that the stretches of a part fit into a task.
+    The messages of a cell to a part are one row each; there are ``2 ** part_bits`` parts,
+    by default as many as the bytes of the texts ask for, so that a part fits into a task.
     """
     rows = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
@@ -500,6 +501,8 @@ def remove_repeats(docs: DataFrame, part_bits: int = 8) -> DataFrame:
         other = [name for name in ("part", "cell", "kind", "data") if name != first]
         return df.select(first, *other).repartition(first).sortWithinPartitions(first, second, "kind")
 
+    if part_bits is None:
+        part_bits = parts_for(rows, _PART, _PARTS).bit_length() - 1
     cells = packed_cells(rows, *_CELL)
     named = cells.mapInArrow(_named_anchors(part_bits), _MESSAGE)
     repeated = by(named, "part", "cell").mapInArrow(_repeated_anchors, _MESSAGE)
