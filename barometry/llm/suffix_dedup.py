@@ -13,8 +13,8 @@ three steps, each an exchange between cells (blocks of consecutive rows) and par
    strings that match over the whole length are one, and the smallest id of each goes back.
 3. Cells mark the strings that have a smaller id than their document, and cut them out.
 
-An anchor with very many stretches is split: its strings are sent one by one, by their
-own hash.
+An anchor with very many stretches is resolved by exact grouping and not by the index: its
+strings are sent one by one, by their own hash, and equal ones are merged where they meet.
 """
 
 from __future__ import annotations
