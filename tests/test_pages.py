@@ -5,8 +5,7 @@ import pytest
 import __spark_entry__ as registry
 from barometry import Period, plans
 from barometry.sources import union_bars
-from conftest import SMALL
-from helpers import closes, companies, day, flat, table
+from helpers import SMALL, closes, companies, day, flat, table
 
 
 @pytest.fixture(scope="module")

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as registry
 from barometry import Period
 from barometry import operators as op
-from conftest import SMALL
+from helpers import SMALL
 
 # Queries over texts are a part of their own, with tests of their own.
 QUERIES = {name: query for name, query in registry.queries().items() if not re.match(r"op\d+_|pipeline$", name)}
