@@ -68,8 +68,9 @@ def shard_documents(
         (F.octet_length("text") + OVERHEAD).cast("bigint").alias("size"),
         F.crc32(F.col("text").cast("binary")).alias("text_crc32"),
     )
-    mix = F.coalesce("doc_id", F.lit(0)) + F.col("text_crc32")
-    placed = written(place(rows, shards, weights).withColumn("slice", F.pmod(mix, F.lit(slices)).cast("int")))
+    # Each part modulo the slices first, since the sum of both need not fit into a bigint.
+    parts = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(slices)) + F.pmod("text_crc32", F.lit(slices))
+    placed = written(place(rows, shards, weights).withColumn("slice", F.pmod(parts, F.lit(slices)).cast("int")))
     before = Window.partitionBy("shard").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     # One row per shard and slice, whatever the number of documents.
     starts = placed.groupBy("shard", "slice").agg(F.count(F.lit(1)).alias("n"))

@@ -36,3 +36,13 @@ def test_shards_are_won_by_weight_and_keep_their_records(spark):
 def test_weights_are_checked(spark):
     with pytest.raises(ValueError, match="one positive weight"):
         place(spark.range(1).withColumnRenamed("id", "doc_id"), 3, [1, 1, 1])
+
+
+def test_ids_at_both_ends_of_the_range(spark):
+    ids = [-(2**63), -(2**63) + 1, -1, 0, 2**63 - 2, 2**63 - 1]
+    docs = spark.createDataFrame([(i, f"text {i % 3}") for i in ids] * 2, "doc_id long, text string")
+    found = shard_documents(docs, shards=3, slices=5).collect()
+    assert sorted(r.doc_id for r in found) == sorted(ids * 2)
+    for shard in {r.shard for r in found}:
+        slots = sorted(r.slot for r in found if r.shard == shard)
+        assert slots == list(range(len(slots)))
