@@ -11,16 +11,19 @@ import corpus_pipeline
 
 from . import oracle
 from .common import documents
+from .conversation_repair import damage, repair_report
 from .decontamination import find_contamination
 from .exact_dedup import exact_duplicates
 from .license_scan import scan_licenses
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .pitman_yor import score_texts
+from .prefix_trie import conversation_paths, prefix_trie, share_openings
 from .quality import score_quality
 from .sharding import shard_documents
 from .suffix_dedup import remove_repeats
 from .token_count import count_tokens
+from .url_filter import judge_urls
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -67,6 +70,19 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return score_quality(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
+def op11_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_report(damage(spark.read.parquet(f"{folder}/conversations.parquet")))
+
+
+def op12_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    return judge_urls(spark.read.parquet(f"{folder}/pages.parquet"))
+
+
+def op13_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = spark.read.parquet(f"{folder}/conversations.parquet")
+    return prefix_trie(share_openings(conversation_paths(turns)))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -79,6 +95,9 @@ def queries() -> dict[str, Query]:
         "op8_packing": op8_packing,
         "op9_language_model": op9_language_model,
         "op10_quality": op10_quality,
+        "op11_conversation_repair": op11_conversation_repair,
+        "op12_url_filter": op12_url_filter,
+        "op13_prefix_trie": op13_prefix_trie,
         "pipeline": corpus_pipeline.run,
     }
 
@@ -88,4 +107,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_license_scan": oracle.license_scan(),
         "op6_sharding": oracle.sharding(),
         "op7_exact_dedup": oracle.exact_dedup(),
+        "op11_conversation_repair": oracle.conversation_repair(),
+        "op13_prefix_trie": oracle.prefix_trie(),
     }
