@@ -5,7 +5,7 @@ from .extremes import (
     date_of_max_count,
     date_of_min,
     date_of_min_count,
-    mark_extremes,
+    ordered_bits,
 )
 from .measures import (
     display_date,
@@ -35,12 +35,12 @@ __all__ = [
     "date_of_max_count",
     "date_of_min",
     "date_of_min_count",
-    "mark_extremes",
     "display_date",
     "display_number",
     "label_of_key",
     "lookback_text",
     "money_flow_multiplier",
+    "ordered_bits",
     "parse_date",
     "percent_change",
     "period_key",

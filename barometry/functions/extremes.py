@@ -1,20 +1,26 @@
 """Aggregates that say on which date an extreme was reached.
 
-Of several such dates the earliest counts, whatever the order of the input.  Integers
-and the date fit together into one number, which orders the rows.  Other values are
-compared as they are: the extreme of the ticker is marked first, and of the marked rows
-the earliest date is taken.  Both ways keep the aggregation buffer at a fixed width, so
-that Spark aggregates by hash; a struct as the order would make it sort all rows first.
+Of several such dates the earliest counts, whatever the order of the input.  The value
+and the date make one number, which orders the rows: a long for integers and rounded
+returns, else a decimal of the bits of the double.  Both keep the aggregation buffer at a
+fixed width, so that Spark aggregates by hash, before the shuffle already; a struct as the
+order would make it sort all rows first.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from decimal import Decimal
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import schema as s
 
 _DATE_BITS = 23  # days since 1970 up to the year 9999, with their sign
+_DATE_SHIFT = 2 ** (_DATE_BITS - 1)
+_NO_DATE = _DATE_SHIFT - 1  # after all dates
+_DECIMAL_STEP = Decimal(10**8)
+_LOWEST = -1022  # the least exponent of a double with all its digits
 
 
 def first_by(value: Column | str, major: Column, minor: Column, minor_bits: int) -> Column:
@@ -41,28 +47,53 @@ def date_of_max_count(value: str, date: str = s.DATE) -> Column:
     return first_by(date, -F.col(value), F.unix_date(date), _DATE_BITS)
 
 
-def _marks(value: str) -> tuple[str, str]:
-    return f"__{value}_is_lowest", f"__{value}_is_highest"
+def ordered_bits(value: Column | str) -> Column:
+    """A bigint that orders like a double: 0 for both zeros, NaN above all.
+
+    It is the sign and the 63 other bits of the number, found by arithmetic that is exact:
+    division by a power of two and multiplication by 2**52 round nothing.
+    """
+    value = F.col(value) if isinstance(value, str) else value
+    size = F.abs(value)
+    finite = size < float("inf")  # not so for NaN, which is above all numbers
+    guess = F.greatest(F.floor(F.log2(F.when(finite & (size > 0), size))), F.lit(_LOWEST))
+    power = F.pow(F.lit(2.0), guess)  # the logarithm may be off by a little
+    exponent = guess + F.when(size >= power * 2, 1).when((size < power) & (guess > _LOWEST), -1).otherwise(0)
+    digits = (size / F.pow(F.lit(2.0), exponent) * float(2**52)).cast("bigint")
+    bits = (exponent - _LOWEST) * 2**52 + digits
+    bits = F.when(size == 0, 0).when(finite, bits).when(F.isnan(size), 2**63 - 1).otherwise(2047 * 2**52)
+    return F.when(value < 0, -bits).when(value.isNotNull(), bits)
+
+
+def _tenthousandths(value: Column) -> tuple[Column, Column]:
+    """Whether a double is a modest multiple of 1/10000, as rounded returns are, and how many."""
+    units = F.round(value * 10000.0)
+    return (units / 10000.0 == value) & (F.abs(units) < float(2 ** (62 - _DATE_BITS))), units
 
 
-def mark_extremes(rows: DataFrame, value: str) -> DataFrame:
-    """``rows`` with marks on those that hold the smallest or largest ``value`` of their ticker.
+def _date_of(value: str, date: str, sign: int) -> Column:
+    """Date of the smallest value, or with -1 as ``sign`` of the largest.
 
-    The window has no order, so it uses any layout by ticker that is there already, and
-    what is grouped by ticker afterwards needs no further one.
+    Returns with four decimals and the date fit into one long.  Other numbers go by their
+    bits into a decimal.  Which of the two holds the extreme follows from the extreme.
     """
-    ticker = Window.partitionBy(s.TICKER)
-    lowest, highest = _marks(value)
-    return rows.withColumns(
-        {lowest: F.col(value) == F.min(value).over(ticker), highest: F.col(value) == F.max(value).over(ticker)}
-    )
+    number = F.col(value).cast("double")
+    modest, units = _tenthousandths(number)
+    days = F.coalesce(F.unix_date(date), F.lit(_NO_DATE)) + _DATE_SHIFT
+    bits = (ordered_bits(number) * sign).cast("decimal(19,0)")
+    short = F.min(F.when(modest, units.cast("bigint") * (sign * 2**_DATE_BITS) + days))
+    long = F.min(F.when(~modest, bits * _DECIMAL_STEP + days.cast("decimal(8,0)")))
+    extreme = F.min(number) if sign > 0 else F.max(number)
+    last = F.pmod(long, F.lit(_DECIMAL_STEP)).cast("bigint")
+    found = F.when(_tenthousandths(extreme)[0], F.pmod(short, F.lit(2**_DATE_BITS))).otherwise(last) - _DATE_SHIFT
+    return F.date_from_unix_date(F.when(found != _NO_DATE, found).cast("int"))
 
 
 def date_of_min(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which ``value`` was smallest, of rows from :func:`mark_extremes`."""
-    return F.min(F.when(F.col(_marks(value)[0]), F.col(date)))
+    """Earliest date on which a double column was smallest; null if that row has none."""
+    return _date_of(value, date, 1)
 
 
 def date_of_max(value: str, date: str = s.DATE) -> Column:
-    """Earliest date on which ``value`` was largest, of rows from :func:`mark_extremes`."""
-    return F.min(F.when(F.col(_marks(value)[1]), F.col(date)))
+    """Earliest date on which a double column was largest; null if that row has none."""
+    return _date_of(value, date, -1)

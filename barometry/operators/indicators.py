@@ -45,7 +45,7 @@ def moving_average(
 
 
 def deviation_columns(n: int = 3, digits: int = 4) -> list[Column]:
-    """Aggregates behind :func:`deviation_summary`, for a wider ``agg`` of marked rows."""
+    """Aggregates behind :func:`deviation_summary`, for a wider ``agg``."""
     column = difference_name(n)
     return [
         F.round(F.min(column), digits).alias("min_deviation"),
@@ -58,8 +58,7 @@ def deviation_columns(n: int = 3, digits: int = 4) -> list[Column]:
 
 def deviation_summary(averages: DataFrame, n: int = 3, digits: int = 4) -> DataFrame:
     """Extremes and mean of the distance from the moving average, per ticker."""
-    marked = extremes.mark_extremes(averages, difference_name(n))
-    return marked.groupBy(s.TICKER).agg(*deviation_columns(n, digits))
+    return averages.groupBy(s.TICKER).agg(*deviation_columns(n, digits))
 
 
 def money_flow(bars: DataFrame, tickers: Sequence[str] | DataFrame | None = None) -> DataFrame:

@@ -93,7 +93,7 @@ def ranked(df: DataFrame, column: str, n: int) -> DataFrame:
 
 
 def return_stats_columns(column: str = Period.DAY.return_column) -> list[Column]:
-    """Aggregates behind :func:`ticker_return_stats`, for a wider ``agg`` of marked rows."""
+    """Aggregates behind :func:`ticker_return_stats`, for a wider ``agg``."""
     return [
         F.min(column).alias(f"min_{column}"),
         extremes.date_of_min(column).alias(f"min_{column}_date"),
@@ -106,8 +106,7 @@ def return_stats_columns(column: str = Period.DAY.return_column) -> list[Column]
 def ticker_return_stats(df: DataFrame) -> DataFrame:
     """Extremes of the daily return with their dates, its deviation and stability class."""
     column = Period.DAY.return_column
-    rows = extremes.mark_extremes(with_return(df, Period.DAY), column)
-    stats = rows.groupBy(s.TICKER).agg(*return_stats_columns(column))
+    stats = with_return(df, Period.DAY).groupBy(s.TICKER).agg(*return_stats_columns(column))
     return stats.withColumn("stability", measures.stability_class(f"std_{column}"))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import schema as s
-from ..functions import extremes, measures
+from ..functions import measures
 from ..functions.periods import Period
 from ..operators import returns as r
 from ..sources.bars import lookback
@@ -32,7 +32,7 @@ def top_performers(
     """
     value = Period.DAY.return_column
     chosen = in_sectors(one_row_per_ticker(companies.select(s.TICKER, s.COMPANY, s.SECTOR)), sectors)
-    returns = extremes.mark_extremes(r.daily_return(lookback(bars, window, as_of), chosen), value)
+    returns = r.daily_return(lookback(bars, window, as_of), chosen)
     per_ticker = returns.groupBy(s.TICKER).agg(
         F.avg(value).alias(Period.DAY.average_column), *r.return_stats_columns(value)
     )

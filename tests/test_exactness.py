@@ -12,6 +12,7 @@ import pytest
 from helpers import bars, companies, day, table
 from pyspark.sql import functions as F
 
+from barometry import functions as fn
 from barometry import operators as op
 from barometry import plans, sources
 from barometry.functions import Period
@@ -61,6 +62,46 @@ def test_unrounded_returns_keep_their_own_dates(spark):
     assert (stats.min_daily_return, stats.min_daily_return_date) == (1.00002, day("2024-01-02"))
 
 
+ODD = [0.0, -0.0, 5e-324, 2.2250738585072014e-308, 2.225073858507201e-308, 1.0, 1.0000000000000002, 0.9999999999999999, 2.0**52]
+ODD += [1.7976931348623157e308, math.inf, 8.0, 7.999999999999999, 1e-5, 1e22, 3.0e-300, 2.0**1023, 0.1, 1 / 3, 2.0**-1074 * 3]
+
+
+def test_bits_order_like_the_doubles(spark):
+    rng = np.random.default_rng(3)
+    any_bits = rng.integers(-(2**63), 2**63 - 1, 3000).view(np.float64)
+    close = 2.0 ** rng.integers(-1070, 1020, 500) * (1 + rng.integers(-2, 3, 500) * 2.0**-52)
+    numbers = [float(x) for x in [*any_bits, *close, *ODD, *(-x for x in ODD)] if x == x]
+    rows = spark.createDataFrame([(x,) for x in [*numbers, math.nan, None]], "x double")
+    found = {(math.inf, 1) if r.x != r.x else (r.x, 0): r.bits for r in rows.withColumn("bits", fn.ordered_bits("x")).filter("x is not null").collect()}
+    in_order = [found[x] for x in sorted(found)]
+    assert all(a < b for a, b in zip(in_order, in_order[1:], strict=False))
+    for x in numbers:
+        assert found[x, 0] == int(np.float64(abs(x)).view(np.int64)) * (1 if x > 0 else -1)
+    assert rows.filter("x is null").select(fn.ordered_bits("x")).first()[0] is None
+
+
+def test_dates_of_extremes_against_a_sort(spark):
+    rng = np.random.default_rng(4)
+    kinds = [1.25, -3.0, 1 / 3, 1e14, -1e300, math.nan, math.inf, -math.inf, 0.0, -0.0, None, 5e-324]
+    rows = []
+    for ticker in range(60):
+        for _ in range(int(rng.integers(1, 8))):
+            date = None if rng.random() < 0.1 else dt.date(1, 1, 1) + dt.timedelta(int(rng.integers(0, 3650000)))
+            rows.append((str(ticker), date, kinds[int(rng.integers(0, len(kinds)))]))
+    stats = spark.createDataFrame(rows, "ticker string, date date, daily_return double").groupBy("ticker")
+    found = stats.agg(fn.date_of_min("daily_return").alias("low"), fn.date_of_max("daily_return").alias("high")).collect()
+    assert len(found) == 60
+    for row in found:
+        known = [(math.inf if v != v else v, v != v, d) for t, d, v in rows if t == row.ticker and v is not None]
+
+        def earliest(extreme, known=known):
+            dates = [d for *v, d in known if v == extreme and d is not None]
+            return min(dates) if dates else None
+
+        expected = [earliest(list(pick(known, key=lambda x: x[:2])[:2])) for pick in (min, max)] if known else [None, None]
+        assert [row.low, row.high] == expected
+
+
 def test_plans_aggregate_by_hash(spark):
     given = bars(spark, ("A", "2024-01-01", 1, 1, 1, 1, 1))
     for df in (op.deviation_summary(op.moving_average(given)), op.ticker_return_stats(given)):
