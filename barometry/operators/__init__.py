@@ -1,6 +1,15 @@
 """Operators: functions from DataFrame to DataFrame, without actions."""
 
-from .correlation import best_pairs, best_partners, correlated_partners, correlation_pairs, top_correlations
+from .correlation import (
+    best_pairs,
+    best_partners,
+    co_moments,
+    correlated_partners,
+    correlation_of_moments,
+    correlation_pairs,
+    merge_moments,
+    top_correlations,
+)
 from .indicators import (
     accumulation_distribution,
     deviation_summary,
@@ -24,7 +33,9 @@ __all__ = [
     "accumulation_distribution",
     "best_pairs",
     "best_partners",
+    "co_moments",
     "correlated_partners",
+    "correlation_of_moments",
     "correlation_pairs",
     "coverage",
     "daily_return",
@@ -32,6 +43,7 @@ __all__ = [
     "deviation_summary",
     "history_tail",
     "mean_gap",
+    "merge_moments",
     "money_flow",
     "moving_average",
     "period_return",

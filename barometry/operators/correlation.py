@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 
 from .. import schema as s
 from ..functions.periods import Period
-from .pearson import cell_function
+from .pearson import cell_function, moments_of_cell
 from .returns import with_return
 
 _BLOCK = 1024  # tickers per block, at most and about
 _CELLS = 2**22  # tickers of a block times dates, about
 _PAIRS = "ticker_a string, ticker_b string, correlation double"
+MOMENTS = ("shared", "n", "sum_a", "sum_b", "sum_aa", "sum_bb", "sum_ab")
+_MOMENTS = "ticker_a string, ticker_b string, shared bigint, n bigint, " + ", ".join(
+    f"{name} decimal(38,0)" for name in MOMENTS[2:]
+)
 
 
 def correlation_pairs(
@@ -48,6 +53,11 @@ def correlation_pairs(
     same grid with one row per pair and date in a hash aggregate took three times
     as long.
     """
+    return _cells(bars, focus, universe).applyInArrow(cell_function(top, partners), _PAIRS)
+
+
+def _cells(bars: DataFrame, focus: Sequence[str] | None, universe: DataFrame | None) -> GroupedData:
+    """The grid: histories of tickers, grouped by the cell that forms their pairs."""
     # A bar without a ticker or date shares its date with none.
     bars = bars.filter(F.col(s.TICKER).isNotNull() & F.col(s.DATE).isNotNull())
     returns = with_return(bars, Period.DAY)
@@ -56,15 +66,14 @@ def correlation_pairs(
         F.collect_list(F.unix_date(s.DATE)).alias("days"),
         F.collect_list(F.coalesce(Period.DAY.return_column, F.lit(float("nan")))).alias("values"),
     )
-    # The count only shapes the grid, so an estimate will do.
-    if universe is None:
-        tickers = bars.agg(F.approx_count_distinct(s.TICKER))
-    else:
-        tickers = universe.agg(F.count(F.lit(1)))
+    # Both only shape the grid, so an estimate of the tickers will do; one pass gives both.
+    span = F.coalesce(F.date_diff(F.max(s.DATE), F.min(s.DATE)) + 1, F.lit(1)).alias("days")
+    counted = F.approx_count_distinct(s.TICKER).alias("tickers")
+    shape = bars.agg(F.struct(span, *([counted] if universe is None else [])).alias("shape")).scalar()
+    tickers = shape["tickers"] if universe is None else universe.agg(F.count(F.lit(1))).scalar()
     # Histories are as long as there are dates at most: a cell holds a matrix of both.
-    days = bars.agg(F.coalesce(F.date_diff(F.max(s.DATE), F.min(s.DATE)) + 1, F.lit(1))).scalar()
-    block = F.greatest(F.least(F.lit(_BLOCK), F.floor(F.lit(_CELLS) / days)), F.lit(16))
-    needed = F.greatest(F.ceil(tickers.scalar() / block), F.lit(1)).cast("int")
+    block = F.greatest(F.least(F.lit(_BLOCK), F.floor(F.lit(_CELLS) / shape["days"])), F.lit(16))
+    needed = F.greatest(F.ceil(tickers / block), F.lit(1)).cast("int")
     partitions = _partitions(bars)
     if focus is None:
         placed = _place_all(histories, F.greatest(F.lit(math.ceil(2 * math.sqrt(partitions))), needed))
@@ -75,7 +84,41 @@ def correlation_pairs(
     # The number of partitions is explicit so that small input is not merged into
     # one task: the work grows with the square of what a cell receives.
     cells = placed.select("cell", "left", "mirrored", s.TICKER, "days", "values").repartition(partitions, "cell")
-    return cells.groupBy("cell").applyInArrow(cell_function(top, partners), _PAIRS)
+    return cells.groupBy("cell")
+
+
+def co_moments(bars: DataFrame, focus: Sequence[str] | None = None, universe: DataFrame | None = None) -> DataFrame:
+    """Sums from which the correlation of every two tickers follows, and which add up over dates.
+
+    Per pair of :func:`correlation_pairs`: ``shared``, the dates with a bar of both, ``n``,
+    those with a return of both, and over these the sums of the returns, their squares and
+    products.  Returns are counted in ten-thousandths of a percent, to which daily returns
+    are rounded, so that all sums are whole numbers and exact.  Stored sums of old
+    dates and those of new ones give what all dates together would: see :func:`merge_moments`.
+    A return of 100 million percent or more is an error.
+    """
+    return _cells(bars, focus, universe).applyInArrow(moments_of_cell, _MOMENTS)
+
+
+def merge_moments(parts: Sequence[DataFrame]) -> DataFrame:
+    """The sums over tables of :func:`co_moments` whose dates do not overlap, in any order."""
+    both = reduce(DataFrame.unionByName, parts)
+    return both.groupBy("ticker_a", "ticker_b").agg(*[F.sum(name).alias(name) for name in MOMENTS])
+
+
+def correlation_of_moments(moments: DataFrame) -> DataFrame:
+    """``ticker_a, ticker_b, correlation`` of stored sums; null for fewer than two returns or a constant one.
+
+    Spreads are differences of whole numbers, so that a constant is exactly that.
+    """
+    n = F.col("n").cast("decimal(18,0)")
+
+    def spread(product: str, left: str, right: str) -> Column:
+        return n * F.col(product) - F.col(left) * F.col(right)
+
+    a, b = spread("sum_aa", "sum_a", "sum_a"), spread("sum_bb", "sum_b", "sum_b")
+    value = spread("sum_ab", "sum_a", "sum_b").cast("double") / (F.sqrt(a.cast("double")) * F.sqrt(b.cast("double")))
+    return moments.select("ticker_a", "ticker_b", F.when((a > 0) & (b > 0), value).alias("correlation"))
 
 
 def _partitions(df: DataFrame) -> int:

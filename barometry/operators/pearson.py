@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Callable
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -31,16 +32,7 @@ def correlate_cell(table: pa.Table, top: int | None = None, partners: int | None
 
     Of all, or the ``top`` best, or those with one of the ``partners`` best of a ticker.
     """
-    names = table["ticker"].combine_chunks()
-    left = table["left"].to_numpy()
-    mirrored = table["mirrored"].to_numpy()
-    lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
-    order = np.unique(np.asarray(names.to_pylist(), dtype=object), return_inverse=True)[1]
-    present, values = _matrix(table)
-
-    a_order, b_order = order[lefts][:, None], order[rights]
-    wanted = (a_order < b_order) | ((a_order > b_order) & ~mirrored[rights])
-    wanted &= present[lefts].astype(np.float32) @ present[rights].astype(np.float32).T > 0
+    names, order, lefts, rights, present, values, wanted = _sides(table)
     i, j = np.nonzero(wanted)
     correlation = _pearson_all(values[lefts], values[rights], wanted)[i, j]
 
@@ -58,6 +50,99 @@ def correlate_cell(table: pa.Table, top: int | None = None, partners: int | None
     )
 
 
+def _sides(table: pa.Table) -> tuple:
+    """Tickers of a cell, their order by name, those of both sides, their matrices, and which pairs are wanted."""
+    names = table["ticker"].combine_chunks()
+    left = table["left"].to_numpy()
+    mirrored = table["mirrored"].to_numpy()
+    lefts, rights = np.flatnonzero(left), np.flatnonzero(~left)
+    order = np.unique(np.asarray(names.to_pylist(), dtype=object), return_inverse=True)[1]
+    present, values = _matrix(table)
+    a_order, b_order = order[lefts][:, None], order[rights]
+    wanted = (a_order < b_order) | ((a_order > b_order) & ~mirrored[rights])
+    wanted &= _counted(present[lefts], present[rights]) > 0
+    return names, order, lefts, rights, present, values, wanted
+
+
+def _counted(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a.astype(np.float32) @ b.astype(np.float32).T
+
+
+def moments_of_cell(table: pa.Table) -> pa.Table:
+    """Counts and exact sums of a cell's pairs; the first ticker of a pair is the first by name."""
+    names, order, lefts, rights, present, values, wanted = _sides(table)
+    i, j = np.nonzero(wanted)
+    swapped = order[lefts[i]] > order[rights[j]]
+    known = ~np.isnan(values)
+    whole = np.rint(np.where(known, values, 0.0) * 1e4)
+    if whole.size and np.abs(whole).max() >= 2.0 ** (2 * _LIMB):
+        raise ValueError("a return of 100 million percent or more")
+    x, y = _limbs(whole[lefts]), _limbs(whole[rights])
+    one_x, one_y = [known[lefts].astype(float)], [known[rights].astype(float)]
+    sums = {
+        "n": _exact(one_x, one_y, i, j),
+        "a": _exact(x, one_y, i, j),
+        "b": _exact(one_x, y, i, j),
+        "aa": _exact_squares(x, one_y, i, j),
+        "bb": _exact_squares(y, one_x, j, i),
+        "ab": _exact(x, y, i, j),
+    }
+    for one, other in (("a", "b"), ("aa", "bb")):
+        first, second = sums[one], sums[other]
+        sums[one], sums[other] = np.where(swapped, second, first), np.where(swapped, first, second)
+    a, b = np.where(swapped, rights[j], lefts[i]), np.where(swapped, lefts[i], rights[j])
+    return pa.table(
+        {
+            "ticker_a": names.take(pa.array(a)),
+            "ticker_b": names.take(pa.array(b)),
+            "shared": pa.array(_counted(present[lefts], present[rights])[i, j].astype(np.int64)),
+            "n": pa.array(sums["n"].astype(np.int64)),
+            **{f"sum_{k}": _decimals(sums[k]) for k in ("a", "b", "aa", "bb", "ab")},
+        }
+    )
+
+
+_LIMB = 20  # bits; products of two limbs over _DATES dates are whole numbers of 53 bits
+_DATES = 2**13
+
+
+def _limbs(whole: np.ndarray) -> list[np.ndarray]:
+    """Numbers as sums of limbs times powers of 2**20; the last limb has the sign."""
+    found = []
+    while whole.size and np.abs(whole).max() >= 2.0**_LIMB:
+        high = np.floor(whole / 2.0**_LIMB)
+        found.append(whole - high * 2.0**_LIMB)
+        whole = high
+    return [*found, whole]
+
+
+def _exact(x: list[np.ndarray], y: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Sums over the dates of the products of rows ``i`` of ``x`` and ``j`` of ``y``, as whole numbers."""
+    total = np.zeros(len(i), object if len(x) + len(y) > 2 else np.int64)
+    for p, a in enumerate(x):
+        for q, b in enumerate(y):
+            for start in range(0, a.shape[1], _DATES):
+                part = (a[:, start : start + _DATES] @ b[:, start : start + _DATES].T)[i, j].astype(np.int64)
+                total = total + (part if total.dtype != object else part.astype(object) * 2 ** (_LIMB * (p + q)))
+    return total
+
+
+def _exact_squares(x: list[np.ndarray], known: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The same of the squares of ``x`` where the other has a value."""
+    total = np.zeros(len(i), object if len(x) > 1 else np.int64)
+    for p, a in enumerate(x):
+        for q, b in enumerate(x):
+            part = _exact([a * b], known, i, j)
+            total = total + (part if total.dtype != object else part.astype(object) * 2 ** (_LIMB * (p + q)))
+    return total
+
+
+def _decimals(sums: np.ndarray) -> pa.Array:
+    if sums.dtype != object:
+        return pa.array(sums).cast(pa.decimal128(19, 0)).cast(pa.decimal128(38, 0))
+    return pa.array([Decimal(int(x)) for x in sums], pa.decimal128(38, 0))
+
+
 def _best(a: np.ndarray, b: np.ndarray, value: np.ndarray, top: int | None, partners: int | None) -> np.ndarray:
     """Which pairs are wanted; unknown values come last, and ties go by the tickers."""
     falling = np.where(np.isnan(value), np.inf, -value)

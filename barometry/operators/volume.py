@@ -17,17 +17,19 @@ def volume_by_period(
     period: Period,
     tickers: Sequence[str] | DataFrame | None = None,
     iso: bool = False,
+    laid_out: bool = False,
 ) -> DataFrame:
     """Volume statistics per ticker and period.
 
     ``volume_ratio`` compares a period's total with the mean total of its ticker,
-    a window over the already aggregated periods.
+    a window over the already aggregated periods.  ``laid_out`` says that the bars of a
+    ticker are together already, as those of a :class:`~barometry.sources.BarStore` are.
     """
     bars = s.only_tickers(bars, tickers)
     if period is Period.DAY:
         # Daily groups do not shrink the input.  One layout by ticker serves both
         # the grouping and the window; otherwise every bar would move twice.
-        bars = bars.repartition(s.TICKER)
+        bars = bars if laid_out else bars.repartition(s.TICKER)
         # All bars of a group have its date.
         extreme_dates = []
         label, min_date, max_date = F.col("key"), F.col("key"), F.col("key")

@@ -24,7 +24,11 @@ def dashboard(
     as_of: dt.date | Column | None = None,
 ) -> dict[str, DataFrame]:
     """The tables behind the page, each for all chosen tickers with a company at once."""
-    recent = lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of)
+    return dashboard_tables(lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of), companies, k)
+
+
+def dashboard_tables(recent: DataFrame, companies: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+    """The tables of :func:`dashboard` of bars that are all within the look-back."""
     return {
         "prices": recent.select(s.TICKER, s.DATE, *s.PRICES),
         "summary": dashboard_summary(recent, companies),

@@ -35,11 +35,18 @@ def insights(
 
     With ``companies`` only tickers that have one count.
 
-    The window sets the look-back and the granularity of returns and volumes.  The
-    tables share ``bars``; persist the chosen part before if several are evaluated.
+    The window sets the look-back and the granularity of returns and volumes.  Each table
+    derives its bars anew; :class:`~barometry.plans.Page` has them derived once.
     """
-    period = window.granularity
     recent = lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of)
+    return insight_tables(recent, window, top_n, scope)
+
+
+def insight_tables(
+    recent: DataFrame, window: Period, top_n: int = 5, scope: str = "portfolio", laid_out: bool = False
+) -> dict[str, DataFrame]:
+    """The tables of :func:`insights` of bars that are all within the look-back."""
+    period = window.granularity
     returns = r.period_return(recent, period)
     averages = i.moving_average(recent, MEAN_DAYS)
     best_pairs = c.best_pairs(recent, top_n)
@@ -48,7 +55,7 @@ def insights(
         "returns": returns,
         "trend": r.return_trend(returns, period),
         "sharpe": r.rolling_sharpe(returns, period),
-        "volume": v.volume_by_period(recent, period),
+        "volume": v.volume_by_period(recent, period, laid_out=laid_out),
         "volume_summary": v.volume_describe(recent),
         "moving_average": averages,
         "deviation": i.deviation_summary(averages, MEAN_DAYS),
@@ -76,7 +83,15 @@ def insights_summary(
     for the deviations from the moving average.
     """
     chosen = s.only_tickers(s.only_tickers(bars, tickers), companies)
-    recent = cluster_by_ticker(lookback(chosen, window, as_of))
+    return summary_of_layout(cluster_by_ticker(lookback(chosen, window, as_of)), window, digits, scope)
+
+
+def summary_of_layout(recent: DataFrame, window: Period, digits: int = 4, scope: str = "portfolio") -> DataFrame:
+    """:func:`insights_summary` of bars that are all within the look-back and laid out by ticker.
+
+    Read from a stored table, the three passes take their columns of it, and nothing is
+    laid out again.
+    """
     parts = [_period_summary(recent, window.granularity), _daily_summary(recent, digits, scope), _best_partner(recent)]
     return reduce(lambda left, right: left.join(right, s.TICKER, "left"), parts)
 

@@ -10,8 +10,11 @@ from .companies import (
     read_companies,
 )
 from .quality import load_quality, null_counts
+from .store import BarStore, Scratch
 
 __all__ = [
+    "BarStore",
+    "Scratch",
     "cluster_by_ticker",
     "companies_in_sectors",
     "distinct_values",

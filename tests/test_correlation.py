@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import datetime as dt
 import itertools
 import math
 
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from barometry import operators as op
 from barometry.operators.pearson import _pearson_all
 from barometry.sources import union_bars
-from helpers import bars, companies, flat, table
+from helpers import bars, closes, companies, flat, table
 
 
 def pairs_of(df, *args, **kwargs):
@@ -148,3 +149,37 @@ def test_cancelling_sums_are_computed_from_the_values():
     assert np.isnan(found[1, 0])
     assert found[0, 1] == pytest.approx(np.corrcoef(x[0, :6], y[1, :6])[0, 1])
     assert found[1, 1] == pytest.approx(np.corrcoef(x[1], y[1])[0, 1])
+
+
+def test_moments_of_old_and_new_dates_add_up_to_those_of_all(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for ticker in "ABCDEFG":
+        for i in range(60):
+            if rng.random() < 0.8:
+                close = None if rng.random() < 0.1 else 100 if ticker == "G" else float(rng.choice([90, 101.37, 250, 1e8]))
+                rows.append((ticker, (dt.date(2024, 1, 1) + dt.timedelta(i)).isoformat(), 100, 100, 100, close, 1))
+    given = bars(spark, *rows)
+    old, new = given.filter("date < '2024-02-05'"), given.filter("date >= '2024-02-05'")
+    whole = op.co_moments(given)
+    merged = op.merge_moments([op.co_moments(new), op.co_moments(old)])
+    in_order = lambda df: sorted(map(tuple, df.select(*whole.columns).collect()))
+    assert in_order(merged) == in_order(whole)
+    expected = {(r.ticker_a, r.ticker_b): r.correlation for r in op.correlation_pairs(given).collect()}
+    found = {(r.ticker_a, r.ticker_b): r.correlation for r in op.correlation_of_moments(merged).collect()}
+    assert found == pytest.approx(expected, abs=1e-9) and found["A", "G"] is None
+    by_hand = {}
+    known = {(t, d): round((c - 100) * 10000) for t, d, _, _, _, c, _ in rows if c is not None}
+    for t, d, *_ in rows:
+        for u in "ABCDEFG":
+            if t < u and (t, d) in known and (u, d) in known:
+                x, y = known[t, d], known[u, d]
+                sums = by_hand.setdefault((t, u), [0] * 6)
+                by_hand[t, u] = [a + b for a, b in zip(sums, [1, x, y, x * x, y * y, x * y], strict=True)]
+    assert {(r[0], r[1]): [int(x) for x in r[3:]] for r in in_order(whole)} == by_hand
+
+
+def test_returns_too_large_for_exact_sums_are_an_error(spark):
+    given = closes(spark, "A", "2024-01-01", [1, 2]).union(bars(spark, ("B", "2024-01-01", 1e-3, 1, 1, 1e9, 1)))
+    with pytest.raises(Exception, match="100 million percent"):
+        op.co_moments(given).collect()

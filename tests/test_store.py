@@ -1,0 +1,147 @@
+"""Stored bars: what they give, what of them is read, and what is planned on them."""
+
+from __future__ import annotations
+
+import datetime as dt
+import os
+import re
+import uuid
+
+import pytest
+from helpers import SMALL, bars, day, table
+
+import __spark_entry__ as registry
+from barometry import Period, plans, sources
+from barometry import operators as op
+from barometry.sources.store import BarStore, Scratch
+
+
+@pytest.fixture(scope="module")
+def given(spark):
+    return registry.queries()["bars_lineitem"](spark, SMALL).persist()
+
+
+@pytest.fixture(scope="module")
+def store(spark, given):
+    with Scratch(spark) as scratch:
+        yield scratch.store(given, 3, Period.YEAR)
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def rows_of(df):
+    return sorted(map(tuple, df.collect()), key=str)
+
+
+def test_bars_come_back(given, store):
+    assert rows_of(store.bars()) == rows_of(given)
+    assert rows_of(store.bars(["FRANCE"], dt.date(1995, 5, 5))) == rows_of(given.filter("ticker = 'FRANCE' and date >= '1995-05-05'"))
+
+
+def test_a_bucket_of_a_partition_is_one_file(store):
+    files = [name for folder, _, names in os.walk(store.path.removeprefix("file:")) for name in names if name.endswith(".parquet") and "part=" in folder]
+    years = store.spark.sql(f"SHOW PARTITIONS {store.table}").count()
+    assert len(files) <= 3 * years
+
+
+def test_what_runs_along_a_ticker_plans_no_exchange(store):
+    stored = store.bars()
+    frames = [
+        op.moving_average(stored),
+        op.accumulation_distribution(stored, True),
+        op.relative_strength(stored),
+        op.rolling_sharpe(op.daily_return(stored), Period.DAY),
+        op.ticker_return_stats(stored),
+        op.deviation_summary(op.moving_average(stored)),
+        op.period_return(stored, Period.MONTH),
+        op.volume_by_period(stored, Period.MONTH),
+        op.volume_by_period(stored, Period.DAY, laid_out=True),
+        op.price_describe(stored),
+        op.coverage(stored),
+        op.history_tail(stored),
+        op.date_gaps(stored),
+    ]
+    assert [plan_of(df).count("Exchange") for df in frames] == [0] * len(frames)
+
+
+def test_two_stored_tables_join_without_an_exchange(spark, store, given):
+    with Scratch(spark) as scratch:
+        other = scratch.store(given, 3).bars().select("ticker", "date", "close")
+        spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
+        joined = store.bars().drop("close").hint("merge").join(other, ["ticker", "date"])
+        plan, n = plan_of(joined), joined.count()
+        spark.conf.unset("spark.sql.requireAllClusterKeysForCoPartition")
+        assert "Exchange" not in plan and n == given.count()
+        totals = other.groupBy("ticker").agg({"close": "max"})
+        assert "Exchange" not in plan_of(store.bars().hint("merge").join(totals, "ticker"))
+
+
+@pytest.mark.parametrize("window", [*Period, None])
+@pytest.mark.parametrize("as_of", [None, dt.date(1995, 3, 31), dt.date(1800, 1, 1)])
+def test_lookback_equals_that_of_any_table(given, store, window, as_of):
+    assert rows_of(store.lookback(window, as_of)) == rows_of(sources.lookback(given, window, as_of))
+
+
+def test_lookback_reads_the_partitions_it_needs(store):
+    plan = plan_of(store.lookback(Period.QUARTER))
+    last = store.last_date()
+    assert "Subquery" not in plan and plan.count("FileScan") == 1
+    wanted = re.search(r"PartitionFilters: \[[^\]]*\(part#\d+ >= (\d+)\)", plan)
+    assert int(wanted[1]) in (last.year, last.year - 1)
+    assert "GreaterThanOrEqual(date" in plan
+
+
+def test_last_dates_reach_back_over_partitions(spark):
+    rows = [("A", f"2024-0{m}-28", 1, 1, 1, 1, 1) for m in range(1, 8)] + [("B", "2023-01-01", 1, 1, 1, 1, 1)]
+    with Scratch(spark) as scratch:
+        small = scratch.store(bars(spark, *rows), 2, Period.MONTH)
+        assert [r["date"].month for r in table(small.lookback(Period.WEEK), "date")] == [3, 4, 5, 6, 7]
+        assert small.last_date(day("2024-02-01")) == day("2024-01-28")
+
+
+@pytest.mark.parametrize("by", [Period.MONTH, Period.DAY, None])
+def test_append_and_reopen(spark, by):
+    first = bars(spark, ("A", "2024-01-30", 1, 1, 1, 1, 1), ("B", "2024-01-31", 1, 1, 1, 1, 1))
+    more = bars(spark, ("A", "2024-01-31", 2, 2, 2, 2, 2), ("C", "2024-02-01", 2, 2, 2, 2, 2))
+    with Scratch(spark) as scratch:
+        made = scratch.store(first, 2, by)
+        made.append(more)
+        name = f"again_{uuid.uuid4().hex}"
+        again = BarStore.open(spark, name, made.path, 2, by)
+        assert rows_of(again.bars()) == rows_of(first.union(more)) == rows_of(made.bars())
+        assert again.last_date() == day("2024-02-01")
+        assert "Exchange" not in plan_of(op.relative_strength(again.bars()))
+        spark.sql(f"DROP TABLE {name}")
+
+
+def test_empty_table_and_rows_without_date(spark):
+    nothing = bars(spark)
+    undated = bars(spark, ("A", "2024-01-30", 1, 1, 1, 1, 1)).selectExpr("cast(null as date) date", "ticker", "open", "high", "low", "close", "volume")
+    with Scratch(spark) as scratch:
+        for rows in (nothing, undated):
+            made = scratch.store(rows, 2, Period.MONTH)
+            assert made.last_date() is None
+            assert made.lookback(Period.WEEK).collect() == made.lookback(Period.YEAR).collect() == []
+            assert made.bars().count() == rows.count()
+
+
+def test_scratch_leaves_nothing(spark):
+    with Scratch(spark) as scratch:
+        scratch.write(spark.range(3))
+        made = scratch.store(bars(spark, ("A", "2024-01-30", 1, 1, 1, 1, 1)))
+        assert spark.catalog.tableExists(made.table)
+    assert not spark.catalog.tableExists(made.table) and not os.path.exists(scratch.folder.removeprefix("file:"))
+
+
+def test_page_derives_its_bars_once(spark, given):
+    with plans.Page(given, None, window=Period.YEAR) as page:
+        summary = page.insights_summary()
+        plan = plan_of(summary)
+        # Exchanges are those of the grid of pairs and of what comes out of it.
+        assert plan.count("InMemoryTableScan") == 0 and plan.count("hashpartitioning(ticker") <= 1
+        expected = plans.insights_summary(given, None, Period.YEAR)
+        assert rows_of(summary.drop("top_correlation")) == rows_of(expected.drop("top_correlation"))
+        assert {k: v.count() for k, v in page.insights().items()} == {k: v.count() for k, v in plans.insights(given, None, Period.YEAR).items()}
+    assert not spark.catalog.tableExists(page.store.table)
