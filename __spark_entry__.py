@@ -6,6 +6,7 @@ Final numeric columns are rounded on both sides, inputs never.
 
 from __future__ import annotations
 
+import atexit
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -86,6 +87,89 @@ def _bars_with_company(spark: SparkSession, folder: str) -> DataFrame:
     return sources.merge_companies(_events(spark, folder), _customers(spark, folder))
 
 
+# What queries write for themselves, by the query's name: the next run of a query removes
+# what its last one has written, and the end of the program the rest.
+_OPEN: dict[str, sources.Scratch | plans.Page] = {}
+
+
+def _owned(name: str, made: sources.Scratch | plans.Page) -> sources.Scratch | plans.Page:
+    _closed(name)
+    _OPEN[name] = made
+    return made
+
+
+def _closed(name: str) -> None:
+    last = _OPEN.pop(name, None)
+    # Of a session that has ended the tables cannot be removed through it any more.
+    if last is not None and last.spark.sparkContext._jsc is not None:
+        last.close()
+
+
+@atexit.register
+def _close_all() -> None:
+    for name in list(_OPEN):
+        _closed(name)
+
+
+def _companies_csv(spark: SparkSession, folder: str) -> DataFrame:
+    """Companies through a file with semicolons and a header, as the reader takes them."""
+    scratch = _owned("companies_csv", sources.Scratch(spark))
+    path = f"{scratch.folder}/companies"
+    columns = [schema.TICKER, schema.COMPANY, schema.INDUSTRY, schema.SECTOR]
+    _customers(spark, folder).select(*columns).write.csv(path, sep=";", header=True)
+    return sources.read_companies(spark, path)
+
+
+def _bars_csv(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = _owned("bars_csv", sources.Scratch(spark))
+    path = f"{scratch.folder}/bars"
+    _events(spark, folder).write.csv(path, header=True)
+    return sources.read_bars(spark, path, "csv", header=True)
+
+
+def _bars_parquet(spark: SparkSession, folder: str) -> DataFrame:
+    scratch = _owned("bars_parquet", sources.Scratch(spark))
+    path = f"{scratch.folder}/bars"
+    _events(spark, folder).write.parquet(path)
+    return sources.read_bars(spark, path, tickers=EVENT_FOCUS)
+
+
+def _load_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of a load from text in which the lines of every seventh date are spoilt."""
+    scratch = _owned("load_report", sources.Scratch(spark))
+    bars = _events(spark, folder)
+    spoilt = F.unix_date(schema.DATE) % 7 == 0
+    texts = [F.when(spoilt & (F.lit(name) == schema.OPEN), "?").otherwise(F.col(name).cast("string")) for name in schema.BAR_COLUMNS]
+    bars.select(F.concat_ws(",", *texts)).write.text(f"{scratch.folder}/lines")
+    loaded = sources.read_bars(spark, f"{scratch.folder}/lines", "csv", corrupt=sources.CORRUPT)
+    check = sources.LoadCheck()
+    scratch.write(check.watch(loaded))
+    return check.report(spark)
+
+
+def _store(spark: SparkSession, folder: str, name: str, buckets: int = 4) -> sources.BarStore:
+    return _owned(name, sources.Scratch(spark)).store(_lines(spark, folder), buckets, Period.YEAR)
+
+
+def _stored_bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of the bars written, half appended."""
+    scratch, bars = _owned("stored_bars", sources.Scratch(spark)), _lines(spark, folder)
+    early = F.year(schema.DATE) % 2 == 0
+    store = scratch.store(bars.filter(early), 4, Period.YEAR)
+    store.append(bars.filter(~early))
+    return store.bars()
+
+
+def _stored_lookback(window: Period) -> Query:
+    return lambda spark, folder: _store(spark, folder, f"stored_lookback_{window.value}").lookback(window)
+
+
+def _stored_moving_average(spark: SparkSession, folder: str) -> DataFrame:
+    names = ["daily_return_mavg_3d", "daily_return_diff_3d"]
+    averages = op.moving_average(_store(spark, folder, "stored_moving_average").bars())
+    return _rounded(averages.select("ticker", "date", "daily_return", *names), 6, *names)
+
+
 # Expressions --------------------------------------------------------------
 
 
@@ -220,6 +304,16 @@ def _correlation_pairs(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_event_pairs(spark, folder), 6, "correlation")
 
 
+def _correlation_updated(spark: SparkSession, folder: str) -> DataFrame:
+    """Sums of the bars of even dates are stored; those of odd dates are added to them."""
+    scratch = _owned("correlation_updated", sources.Scratch(spark))
+    bars = scratch.store(_events(spark, folder)).bars()
+    even = F.unix_date(schema.DATE) % 2 == 0
+    old = scratch.write(op.co_moments(bars.filter(even), None, _customers(spark, folder)))
+    new = op.co_moments(bars.filter(~even), None, _customers(spark, folder))
+    return _rounded(op.correlation_of_moments(op.merge_moments([old, new])), 6, "correlation")
+
+
 def _correlation_focus(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(_event_pairs(spark, folder, EVENT_FOCUS), 6, "correlation")
 
@@ -290,13 +384,33 @@ def _top_performers(spark: SparkSession, folder: str) -> DataFrame:
     return _rounded(best, MEAN_DIGITS, "avg_daily_return")
 
 
+def _insights_page(spark: SparkSession, folder: str, name: str) -> plans.Page:
+    """Its bars are derived and stored when it opens."""
+    return _owned(name, plans.Page(_lines(spark, folder), _nations(spark, folder), window=Period.YEAR))
+
+
 def _insights_summary(spark: SparkSession, folder: str) -> DataFrame:
-    bars, companies = _lines(spark, folder), _nations(spark, folder)
-    summary = plans.insights_summary(bars, None, Period.YEAR, companies, digits=6, scope="ticker")
+    page = _insights_page(spark, folder, "insights_ticker_summary")
+    summary = page.insights_summary(digits=6, scope="ticker")
     summary = _rounded(summary, 5, "last_sharpe", "last_rsi", "top_correlation")
     return _rounded(summary, 4, "last_ad_line")
 
 
+def _insights_table(name: str, digits: dict[str, int]) -> Query:
+    def query(spark: SparkSession, folder: str) -> DataFrame:
+        made = _insights_page(spark, folder, f"insights_{name}").insights(scope="ticker")[name]
+        for column, places in digits.items():
+            made = _rounded(made, places, column)
+        return made
+
+    return query
+
+
+def _dashboard_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    page = _owned("dashboard_statistics", plans.Page(_events(spark, folder), _customers(spark, folder), None, Period.MONTH))
+    return page.dashboard(digits=6)["statistics"]
+
+
 def entry(spark: SparkSession) -> DataFrame:
     """Best performers of two sectors in the small data set."""
     return _top_performers(spark, "/root/testdata/sf0.001")
@@ -305,6 +419,17 @@ def entry(spark: SparkSession) -> DataFrame:
 def queries() -> dict[str, Query]:
     found: dict[str, Query] = {
         "companies_dim": _customers,
+        "companies_csv": _companies_csv,
+        "bars_csv": _bars_csv,
+        "bars_parquet": _bars_parquet,
+        "load_report": _load_report,
+        "stored_bars": _stored_bars,
+        "stored_moving_average": _stored_moving_average,
+        "correlation_updated": _correlation_updated,
+        "insights_trend": _insights_table("trend", {}),
+        "insights_deviation": _insights_table("deviation", {}),
+        "insights_partners": _insights_table("partners", {"correlation": 6}),
+        "dashboard_statistics": _dashboard_statistics,
         "bars_events": _events,
         "bars_lineitem": _lines,
         "bars_subset": lambda spark, folder: schema.only_tickers(_events(spark, folder), EVENT_FOCUS),
@@ -359,6 +484,7 @@ def queries() -> dict[str, Query]:
     }
     for period in Period:
         found[f"lookback_{period.value}"] = _lookback(period)
+        found[f"stored_lookback_{period.value}"] = _stored_lookback(period)
         found[f"volume_by_{period.value}"] = _volume_by(period)
         found[f"sharpe_{period.value}"] = _sharpe(period)
         if period is not Period.DAY:

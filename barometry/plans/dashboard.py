@@ -27,12 +27,12 @@ def dashboard(
     return dashboard_tables(lookback(s.only_tickers(s.only_tickers(bars, tickers), companies), window, as_of), companies, k)
 
 
-def dashboard_tables(recent: DataFrame, companies: DataFrame, k: int = 5) -> dict[str, DataFrame]:
+def dashboard_tables(recent: DataFrame, companies: DataFrame, k: int = 5, digits: int = 2) -> dict[str, DataFrame]:
     """The tables of :func:`dashboard` of bars that are all within the look-back."""
     return {
         "prices": recent.select(s.TICKER, s.DATE, *s.PRICES),
         "summary": dashboard_summary(recent, companies),
-        "statistics": profile.price_describe(recent),
+        "statistics": profile.price_describe(recent, digits=digits),
         "history": profile.history_tail(recent.select(s.TICKER, s.DATE, *s.PRICES), k),
     }
 

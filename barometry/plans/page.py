@@ -34,7 +34,7 @@ class Page:
         as_of: dt.date | None = None,
         buckets: int | None = None,
     ) -> None:
-        self.window, self.companies = window, companies
+        self.window, self.companies, self.spark = window, companies, bars.sparkSession
         self._scratch = Scratch(bars.sparkSession)
         chosen = s.only_tickers(s.only_tickers(bars, tickers), companies)
         self.store = self._scratch.store(chosen, buckets)
@@ -46,9 +46,9 @@ class Page:
     def insights_summary(self, digits: int = 4, scope: str = "portfolio") -> DataFrame:
         return summary_of_layout(self.bars, self.window, digits, scope)
 
-    def dashboard(self, k: int = 5) -> dict[str, DataFrame]:
+    def dashboard(self, k: int = 5, digits: int = 2) -> dict[str, DataFrame]:
         """Needs companies, whose names it shows."""
-        return dashboard_tables(self.bars, self.companies, k)
+        return dashboard_tables(self.bars, self.companies, k, digits)
 
     def close(self) -> None:
         self._scratch.close()

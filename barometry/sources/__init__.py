@@ -9,11 +9,13 @@ from .companies import (
     one_row_per_ticker,
     read_companies,
 )
-from .quality import load_quality, null_counts
+from .quality import CORRUPT, LoadCheck, load_quality, null_counts
 from .store import BarStore, Scratch
 
 __all__ = [
+    "CORRUPT",
     "BarStore",
+    "LoadCheck",
     "Scratch",
     "cluster_by_ticker",
     "companies_in_sectors",

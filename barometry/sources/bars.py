@@ -8,6 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schema as s
 from ..functions.periods import Period, lookback_text
@@ -18,14 +19,21 @@ def read_bars(
     paths: str | Sequence[str],
     format: str = "parquet",
     tickers: Sequence[str] | DataFrame | None = None,
+    corrupt: str | None = None,
     **options: object,
 ) -> DataFrame:
     """Bars from any number of files or folders, read in one scan.
 
     A list of tickers is pushed down to the scan.  A price that is not a number is a
-    missing one.
+    missing one.  ``corrupt`` names a further column for the text of lines that cannot be
+    parsed, of CSV or JSON files; see :class:`~barometry.sources.LoadCheck`.
     """
-    reader = spark.read.schema(s.BARS).format(format).options(**options)
+    schema = s.BARS
+    if corrupt is not None:
+        schema = T.StructType([*s.BARS, T.StructField(corrupt, T.StringType())])
+        # With columns left out a line could pass for good.
+        options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "columnPruning": False} | options
+    reader = spark.read.schema(schema).format(format).options(**options)
     paths = [paths] if isinstance(paths, str) else list(paths)
     return _without_nan(s.only_tickers(reader.load(paths), tickers))
 

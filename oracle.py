@@ -464,8 +464,48 @@ def statements(event_focus: Sequence[str]) -> dict[str, str]:
                        FROM partners WHERE rank = 1) USING (ticker)""",
         ),
     }
+    # The same questions through files, stored bars and pages.
+    through = {
+        "companies_csv": "companies_dim",
+        "bars_csv": "bars_events",
+        "bars_parquet": "bars_subset",
+        "stored_bars": "bars_lineitem",
+        "stored_moving_average": "moving_average",
+        "correlation_updated": "correlation_pairs",
+    }
+    found |= {name: found[same] for name, same in through.items()}
+    counted = ", ".join(f"count(*) FILTER ({c} IS NULL) AS {c}_missing" for c in ("ticker", *missing))
+    found["load_report"] = chain(
+        EVENTS,
+        "good AS (SELECT * FROM bars WHERE (date - DATE '1970-01-01') % 7 <> 0)",
+        f"""SELECT count(*) AS total_rows, (SELECT count(*) FROM bars) - count(*) AS corrupt_rows,
+        min(date) AS first_date, max(date) AS last_date, {counted} FROM good""",
+    )
+    found["insights_trend"] = chain(
+        LINES,
+        recent("year"),
+        instead(returns("month"), "recent"),
+        """SELECT ticker, arg_max(monthly_return, period_start) AS last_return,
+        arg_max(monthly_return, period_start) > 0 AS rising FROM returns GROUP BY 1""",
+    )
+    found["insights_deviation"] = chain(
+        LINES, recent("year"), instead(DAILY, "recent"), AVERAGES, f"SELECT ticker, {DEVIATION.replace(', 6)', ', 4)')} FROM averages GROUP BY 1"
+    )
+    found["insights_partners"] = chain(
+        LINES,
+        recent("year"),
+        instead(DAILY, "recent"),
+        PAIRS,
+        "best AS (SELECT * FROM pairs ORDER BY pairs.correlation DESC NULLS LAST, ticker_a, ticker_b LIMIT 5)",
+        """SELECT ticker, partner, round(correlation, 6) AS correlation,
+        CAST(row_number() OVER (PARTITION BY ticker ORDER BY best.correlation DESC NULLS LAST, partner) AS INTEGER) AS rank
+        FROM (SELECT ticker_a AS ticker, ticker_b AS partner, correlation FROM best
+              UNION ALL SELECT ticker_b, ticker_a, correlation FROM best) best""",
+    )
+    found["dashboard_statistics"] = chain(EVENTS, CUSTOMERS, recent("month"), instead(price_rows, "recent"))
     for period in LABELS:
         found[f"lookback_{period}"] = chain(LINES, recent(period), "SELECT * FROM recent")
+        found[f"stored_lookback_{period}"] = found[f"lookback_{period}"]
         found[f"volume_by_{period}"] = chain(LINES, volumes(period), "SELECT * FROM volumes")
         label = "date" if period == "day" else f"{period}_period, period_start"
         found[f"sharpe_{period}"] = chain(

@@ -31,7 +31,7 @@ def test_no_cross_join_and_no_row_level_python(spark, name):
     plan = plan_of(QUERIES[name](spark, SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     assert "BatchEvalPython" not in plan and "ArrowEvalPython" not in plan
-    in_arrays = name.startswith(("correlat", "insights", "best_partners"))
+    in_arrays = name.startswith(("correlat", "best_partners", "insights_partners", "insights_ticker_summary"))
     assert ("FlatMapGroupsInArrow" in plan) == in_arrays
 
 

@@ -135,3 +135,28 @@ def test_missing_columns_are_named(spark, shop):
 def test_display(spark):
     df = spark.sql("SELECT 12345.678D AS x, DATE'2024-01-02' AS date")
     assert tuple(df.select(display_number("x"), display_date("date")).first()) == ("12345.68", "2024-01-02")
+
+
+def test_counts_come_with_the_load(spark, tmp_path):
+    lines = ["2024-01-01,A,1,2,0.5,1.5,10", "2024-01-02,A,NaN,2,0.5,,10", "2024-13-02,A,1,1,1,1,1", "no bar at all", "2024-01-05,,1,1,1,1,", "2023-12-31,B,1,1,1,1,x"]
+    (tmp_path / "bars.csv").write_text("\n".join(lines))
+    loaded = sources.read_bars(spark, str(tmp_path / "bars.csv"), "csv", corrupt=sources.CORRUPT)
+    check = sources.LoadCheck()
+    watched = check.watch(loaded)
+    watched.write.parquet(str(tmp_path / "out"))
+    written = spark.read.parquet(str(tmp_path / "out"))
+    assert written.count() == 3 and sources.CORRUPT not in written.columns
+    report = check.report(spark).first().asDict()
+    assert report == {
+        "total_rows": 3, "corrupt_rows": 3, "first_date": day("2024-01-01"), "last_date": day("2024-01-05"), "ticker_missing": 1,
+        "date_missing": 0, "volume_missing": 1, "open_missing": 1, "high_missing": 0, "low_missing": 0, "close_missing": 1,
+    }
+    # The counting adds no job and no shuffle to the load.
+    assert "Exchange" not in watched._jdf.queryExecution().executedPlan().toString()
+
+
+def test_load_check_of_bars_without_a_corrupt_column(spark):
+    check = sources.LoadCheck()
+    given = bars(spark, ("A", "2024-01-01", 1, 1, 1, 1, 1))
+    assert check.watch(given).collect() == given.collect()
+    assert check.report(spark).first().total_rows == 1
