@@ -4,7 +4,7 @@ Each text becomes a few transformed statistics.  Two Gaussians, one per label, a
 fitted to them from class sums that Spark adds up over all labelled rows; their
 covariances are shrunk towards the pooled one and its diagonal.  A score is the
 difference of the two log densities, from Mahalanobis distances by cached Cholesky
-factors, as a probability.
+factors, brought between 0 and 1.
 """
 
 from __future__ import annotations
@@ -112,14 +112,26 @@ class Discriminant:
             self.factors.append(np.linalg.inv(factor))
             self.constants.append(-float(np.log(np.diag(factor)).sum()))
 
-    def probability(self, x: np.ndarray) -> np.ndarray:
-        """Probability of label 1 for each row of statistics."""
+    def log_odds(self, x: np.ndarray) -> np.ndarray:
+        """Log density of label 1 less that of label 0, with the prior, for each row of statistics."""
         odds = np.full(len(x), self.prior)
         if self.fitted:
             for sign, mean, inverse, constant in zip((-1, 1), self.means, self.factors, self.constants, strict=True):
                 z = (x - mean) @ inverse.T
                 odds += sign * (constant - 0.5 * (z * z).sum(axis=1))
-        return 1 / (1 + np.exp(-np.clip(odds, -35, 35)))
+        return odds
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        """The odds brought between 0 and 1, a half where both labels are as likely.
+
+        The statistics are no Gaussians, and the odds of clear cases run into the thousands:
+        as probabilities they would all be 0 or 1.  An algebraic curve keeps them apart;
+        its unit is the number of statistics, which is what a squared distance is on average.
+        """
+        z = self.log_odds(x) / len(STATISTICS)
+        # The smaller of both sides is computed without a difference of near equals.
+        low = 0.5 / (1 + z * z + np.abs(z) * np.sqrt(1 + z * z))
+        return np.where(z < 0, low, 1 - low)
 
 
 def fit(measured: DataFrame, labels: DataFrame) -> Discriminant:
@@ -147,14 +159,14 @@ def _scored(model: Discriminant):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.stack([batch.column(name).to_numpy() for name in STATISTICS], axis=1)
-            score = pa.array(model.probability(x) if len(x) else np.zeros(0))
+            score = pa.array(model.score(x) if len(x) else np.zeros(0))
             yield pa.record_batch([batch.column(0), score], ["doc_id", "score"])
 
     return run
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Probability that a text is of quality 1, learned from ``labels``.
+    """A score from 0 to 1 that a text is of quality 1, learned from ``labels``.
 
     Rows whose id is in the held-out fold (crc32 of the id modulo 3 is 1) are never
     learned from.  Every row is scored, empty and null texts too, repeated rows alike.
@@ -173,7 +185,7 @@ def _good(model: Discriminant, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in bounded_batches(batches, _SLICE):
             x = np.array([statistics(text or "") for text in batch.column("text").to_pylist()])
-            yield batch.filter(pa.array(model.probability(x) >= threshold))
+            yield batch.filter(pa.array(model.score(x) >= threshold))
 
     return run
 
