@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -15,6 +16,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import remove, shared_folder
+
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, of UTF-8 bytes
 _ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
 NOBODY = 2**63 - 1  # in place of a null id: larger than any other
@@ -30,19 +33,45 @@ def texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, else one in the warehouse."""
-    named = spark.conf.get("spark.checkpoint.dir", "") or spark.sparkContext.getCheckpointDir()
-    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_shared"
+_TEMPORARY: list[list[str]] = []
 
 
-def written(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` as a table in the shared folder: computed once, its lineage cut."""
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables that are written within are removed at its end; more paths may be added to the list."""
+    own: list[str] = []
+    _TEMPORARY.append(own)
+    try:
+        yield own
+    finally:
+        _TEMPORARY.remove(own)
+        for path in own:
+            remove(spark, path)
+
+
+def written_to(df: DataFrame) -> str:
+    """The path in the shared folder of a new table of the rows of ``df``, which nobody removes."""
     path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
+    return path
+
+
+def written(df: DataFrame) -> DataFrame:
+    """The rows of ``df`` as a table in the shared folder: computed once, its lineage cut."""
+    path = written_to(df)
+    if _TEMPORARY:
+        _TEMPORARY[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name`` with as many underscores in front as it takes to be no column of ``df``."""
+    taken = {column.lower() for column in df.columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
+
+
 def remainder(modulus: int, doc_id: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus)).cast("int")
