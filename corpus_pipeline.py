@@ -1,7 +1,10 @@
 """From raw documents to packed sequences, in five stages.
 
 Each stage takes the documents that the one before has kept and returns those that it
-keeps, whole rows as they are; the last one packs them.
+keeps, whole rows as they are; the last one packs them.  Null texts count as empty; empty
+and repeated ones are one group of equal texts, of which one stays.  Null ids are as good
+as others: rows are told apart by a number.  Empty tables give none, and further columns
+go through, whatever they are called, up to the last stage.
 """
 
 from __future__ import annotations
@@ -10,31 +13,30 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barometry.llm.common import written
-from barometry.llm.decontamination import find_contamination
+from barometry.llm.common import free_name, temporary, written, written_to
+from barometry.llm.decontamination import keep_clean
 from barometry.llm.exact_dedup import exact_duplicates
 from barometry.llm.near_dedup import near_duplicates
 from barometry.llm.packing import pack_documents
 from barometry.llm.quality import keep_good
 
-_ROW = "__row"
-
 #: Texts are tokenised, aligned and measured in Python; no SQL says the same.
 ORACLE_SQL = None
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """The documents with numbers that stay: written, since each scan would number them anew."""
-    return written(docs.withColumn(_ROW, F.monotonically_increasing_id()))
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents with numbers that stay, and the name of their column.
 
+    Written, since each scan would number them anew.
+    """
+    row = free_name(docs, "row")
+    return written(docs.withColumn(row, F.monotonically_increasing_id())), row
 
-def _without(numbered: DataFrame, dropped: DataFrame, many: bool = True) -> DataFrame:
-    """The documents but those whose number is in ``dropped (row)``.
 
-    ``many``: what is dropped is a share of the documents, so that no task gets all of it.
-    """
-    rows = dropped.select(F.col("row").alias(_ROW)).distinct()
-    return numbered.join(rows.hint("merge") if many else rows, _ROW, "left_anti").drop(_ROW)
+def _without(numbered: DataFrame, row: str, dropped: DataFrame) -> DataFrame:
+    """The documents but those whose number is in ``dropped (row)``, which may be a share of all."""
+    rows = dropped.select(F.col("row").alias(row)).distinct()
+    return numbered.join(rows.hint("merge"), row, "left_anti").drop(row)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,22 +46,23 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts equal up to white space."""
-    docs = _numbered(docs)
-    return _without(docs, exact_duplicates(docs, row=_ROW).filter("not kept"))
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, exact_duplicates(numbered, row=row).filter("not kept")).select(*docs.columns)
 
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group linked by a similarity of 0.8 of their five-word shingles."""
-    docs = _numbered(docs)
-    return _without(docs, near_duplicates(docs, row=_ROW).filter("not first"))
+    """One document of each group linked by a similarity of 0.8 of their five-word shingles.
+
+    Documents of fewer than five words are linked by their whole sequence of words; empty
+    ones are linked with nothing and stay.
+    """
+    numbered, row = _numbered(docs)
+    return _without(numbered, row, near_duplicates(numbered, row=row).filter("not first")).select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that hold a copy of a benchmark item, edited or not."""
-    docs = _numbered(docs)
-    rows = docs.select(F.col(_ROW).alias("row"), "text")
-    found = find_contamination(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), key="row")
-    return _without(docs, found, many=False)
+    return keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,8 +81,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result but the last is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over ``documents``; each result but the last is written and read again.
+
+    What a stage writes for itself, and the result of the stage before, are removed when
+    its own result is there.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        with temporary(spark) as own:
+            if path is not None:
+                own.append(path)
+            path = written_to(stage(spark, docs, sf_dir))
+            docs = spark.read.parquet(path)
     return STAGES[-1][1](spark, docs, sf_dir)
