@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import sys
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ _SHIFT = np.uint64(16)  # anchors have 48 bits; equal ones by chance only cost t
 _HOT = 4000  # distinct stretches, added up over cells, from which on an anchor is split
 _CELL = 2**11, 2**23  # rows and bytes after which a cell ends
 _PARTS, _PART = 2**8, 2**27  # parts at least, and bytes of text from which on there are more
-_SLICE = 2**20
+_SLICE = 2**17
 _INDEX = 2**20  # bytes of stretches in one index
 
 
@@ -206,6 +207,8 @@ class Cell:
         for data, owner, at, offset, size, anchor, _ in stretches(self.texts):
             place = np.minimum(np.searchsorted(self.anchors, anchor), len(self.anchors) - 1)
             kept = np.flatnonzero(self.anchors[place] == anchor)
+            if not len(kept):
+                continue
             hot = self.hot[place[kept]]
             cold, warm = kept[~hot], kept[hot]
             # Strings of a split anchor stand alone, under a key of their own.
@@ -224,21 +227,34 @@ class Cell:
             yield contents, text, where, strings, keys
 
 
+def _least(contents: list[bytes], docs: np.ndarray, keys: np.ndarray) -> tuple[dict[bytes, int], dict[bytes, int]]:
+    """The smallest id and the key of every distinct stretch."""
+    falling = np.argsort(-docs, kind="stable")
+    least = dict(zip(map(contents.__getitem__, falling.tolist()), docs[falling].tolist(), strict=True))
+    return least, dict(zip(contents, keys.tolist(), strict=True))
+
+
+def _in_order(key_of: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
+    """Stretches by key, then by what they hold: those with one key are neighbours, in the part's index too."""
+    order = sorted(key_of)
+    keys = np.array([key_of[content] for content in order], np.uint64)
+    by_key = np.argsort(keys, kind="stable")
+    return [order[i] for i in by_key.tolist()], keys[by_key]
+
+
 def _sent_stretches(bits: int):
     """Distinct stretches of each cell, with the smallest id that has each."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1):
             cell = Cell(table)
-            least: dict[bytes, int] = {}
-            key_of: dict[bytes, int] = {}
-            for contents, text, _, _, keys in cell.repeated():
-                for content, key, doc in zip(contents, keys.tolist(), cell.ids[text].tolist(), strict=True):
-                    if doc < least.get(content, NOBODY + 1):
-                        least[content], key_of[content] = doc, key
-            # By key: stretches with one key are neighbours, in the part's index too.
-            order = sorted(least, key=lambda content: (key_of[content], content))
-            keys = np.array([key_of[content] for content in order], np.uint64)
+            every, docs, keys = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for contents, text, _, _, own in cell.repeated():
+                every += contents
+                docs.append(cell.ids[text])
+                keys.append(own)
+            least, key_of = _least(every, np.concatenate(docs), np.concatenate(keys))
+            order, keys = _in_order(key_of)
             docs = np.array([least[content] for content in order], np.int64)
             length = np.array([len(content) for content in order], np.uint8)
             rows = []
@@ -403,8 +419,15 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[bytes, np.ndarray] = {}
         block: list[bytes] = []
         size, last = 0, None
-        every = sorted(least, key=key_of.__getitem__)
-        for content in [*every, None]:
+        # A stretch that is the only one of its key shares no string with another.
+        alone = Counter(key_of.values())
+        several = []
+        for content, key in key_of.items():
+            if alone[key] > 1:
+                several.append(content)
+            else:
+                found[content] = least[content]
+        for content in [*sorted(several, key=key_of.__getitem__), None]:
             # Equal strings have equal keys: an index ends where a key does.
             if block and (content is None or (size > _INDEX and key_of[content] != last)):
                 docs = np.array([least[c] for c in block], np.int64)
@@ -416,10 +439,20 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 last = key_of[content]
         rows = []
         for cell, own in zip(cells, orders, strict=True):
-            values = np.concatenate([found[content] for content in own])
+            # One id for a stretch alone, else one for each string.
+            ids = [found[content] for content in own]
+            sizes = np.fromiter((1 if isinstance(x, int) else len(x) for x in ids), np.int64, len(ids))
+            values = np.empty(sizes.sum(), np.int64)
+            times = np.ones(len(values), np.int64)
+            first = np.cumsum(sizes) - sizes
+            for at, x, content in zip(first.tolist(), ids, own, strict=True):
+                if isinstance(x, int):
+                    values[at], times[at] = x, len(content) - LENGTH + 1
+                else:
+                    values[at : at + len(x)] = x
             # Neighbours mostly agree.
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            rows.append((part, cell, _OWNERS, compressed(values[first], np.diff(np.r_[first, len(values)]))))
+            rows.append((part, cell, _OWNERS, compressed(values[first], np.add.reduceat(times, first))))
         yield _messages(rows)
 
 
@@ -432,12 +465,12 @@ def _cut(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1):
             cell = Cell(table)
+            repeated = list(cell.repeated())
             # Which ids the strings of each distinct stretch have, in the order in which they were sent.
             key_of: dict[bytes, int] = {}
-            for contents, _, _, _, keys in cell.repeated():
+            for contents, _, _, _, keys in repeated:
                 key_of.update(zip(contents, keys.tolist(), strict=True))
-            order = sorted(key_of, key=lambda content: (key_of[content], content))
-            keys = np.array([key_of[content] for content in order], np.uint64)
+            order, keys = _in_order(key_of)
             place: dict[bytes, int] = {}
             least, base = [np.zeros(0, np.int64)], 0
             for part, own in _by_part(_part_of(keys, bits)):
@@ -451,14 +484,16 @@ def _cut(bits: int):
             # All texts in one row of bytes; a string that goes adds one from its start to its end.
             length = np.array([len(text) for text in cell.texts], np.int64)
             begin = np.cumsum(length + 1) - (length + 1)
-            covered = np.zeros(int((length + 1).sum()), np.int32)
-            for contents, text, where, strings, _ in cell.repeated():
+            covered = np.zeros(int((length + 1).sum()), np.int64)
+            for contents, text, where, strings, _ in repeated:
                 at = np.fromiter(map(place.__getitem__, contents), np.int64, len(contents))
                 step = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
                 smaller = owners[np.repeat(at, strings) + step] < np.repeat(cell.ids[text], strings)
                 start = (np.repeat(begin[text] + where, strings) + step)[smaller]
-                np.add.at(covered, start, 1)
-                np.add.at(covered, start + LENGTH, -1)
+                if len(start):
+                    # Every string starts but once, so that no place is counted twice.
+                    covered[start] += 1
+                    covered[start + LENGTH] -= 1
             gone_everywhere = np.cumsum(covered) > 0
             rows = []
             for i, text in enumerate(cell.texts):
