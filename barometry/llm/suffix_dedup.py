@@ -111,6 +111,23 @@ def _stretched(pieces: list[tuple[int, int, bytes]]):
 # Cells --------------------------------------------------------------------
 
 
+def _bytewise(numbers: np.ndarray) -> bytes:
+    """64-bit numbers, all first bytes before all second ones: bytes of one place compress well together."""
+    return np.ascontiguousarray(numbers).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).reshape(-1)
+
+
+def _steps(rising: np.ndarray) -> bytes:
+    return _bytewise(np.diff(rising, prepend=np.uint64(0)))
+
+
+def _risen(data: bytes) -> np.ndarray:
+    return np.cumsum(_numbers(data, np.uint64), dtype=np.uint64)
+
+
 _MESSAGE = "part bigint, cell bigint, kind int, data binary"
 
 
@@ -159,9 +176,8 @@ def _named_anchors(bits: int):
             known = value[first]
             rows = []
             for part, own in _by_part(_part_of(known, bits)):
-                steps = np.diff(known[own], prepend=np.uint64(0))
                 note = np.minimum(count[own], 2**15 - 1).astype(np.uint16) | (several[own].astype(np.uint16) << np.uint16(15))
-                rows.append((part, cell, _ANCHORS, compressed(steps, note)))
+                rows.append((part, cell, _ANCHORS, compressed(_steps(known[own]), note)))
             yield _messages(rows)
 
     return run
@@ -172,7 +188,7 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
     for table in groups(batches, 1):
         part, cells = table["part"][0].as_py(), table["cell"].to_pylist()
         found = [restored(blob.as_py()) for blob in table["data"]]
-        values = [np.cumsum(np.frombuffer(steps, np.uint64), dtype=np.uint64) for steps, _ in found]
+        values = [_risen(steps) for steps, _ in found]
         notes = [np.frombuffer(note, np.uint16) for _, note in found]
         every, note = np.concatenate(values), np.concatenate(notes)
         _, place, times = np.unique(every, return_inverse=True, return_counts=True)
@@ -183,7 +199,7 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for cell, value, a, b in zip(cells, values, bounds[:-1], bounds[1:], strict=True):
             own = several[place[a:b]]
             if own.any():
-                rows.append((part, cell, _REPEATED, compressed(value[own], hot[place[a:b]][own])))
+                rows.append((part, cell, _REPEATED, compressed(_steps(value[own]), hot[place[a:b]][own])))
         yield _messages(rows)
 
 
@@ -196,7 +212,7 @@ class Cell:
             by_kind.setdefault(kind, []).append((part, data.as_py()))
         self.ids, self.known, _, self.texts = cell_rows(by_kind[_TEXTS][0][1])
         found = [restored(blob) for _, blob in sorted(by_kind.get(_REPEATED, []))]
-        self.anchors = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(v, np.uint64) for v, _ in found)])
+        self.anchors = np.concatenate([np.zeros(0, np.uint64), *(_risen(v) for v, _ in found)])
         self.hot = np.concatenate([np.zeros(0, bool), *(np.frombuffer(h, bool) for _, h in found)])
         self.owners = dict(by_kind.get(_OWNERS, []))
 
@@ -260,7 +276,7 @@ def _sent_stretches(bits: int):
             rows = []
             for part, own in _by_part(_part_of(keys, bits)):
                 data = b"".join(order[i] for i in own)
-                rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(keys[own], docs[own], length[own], data)))
+                rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(_steps(keys[own]), _bytewise(docs[own]), length[own], data)))
             yield _messages(rows)
 
     return run
@@ -412,7 +428,7 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, docs, length, data = restored(blob.as_py())
             ends = np.cumsum(np.frombuffer(length, np.uint8), dtype=np.int64).tolist()
             own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            for content, key, doc in zip(own, np.frombuffer(keys, np.uint64).tolist(), np.frombuffer(docs, np.int64).tolist(), strict=True):
+            for content, key, doc in zip(own, _risen(keys).tolist(), _numbers(docs, np.int64).tolist(), strict=True):
                 if doc < least.get(content, NOBODY + 1):
                     least[content], key_of[content] = doc, key
             orders.append(own)
@@ -452,7 +468,7 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     values[at : at + len(x)] = x
             # Neighbours mostly agree.
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            rows.append((part, cell, _OWNERS, compressed(values[first], np.add.reduceat(times, first))))
+            rows.append((part, cell, _OWNERS, compressed(_bytewise(values[first]), _bytewise(np.add.reduceat(times, first)))))
         yield _messages(rows)
 
 
@@ -475,7 +491,7 @@ def _cut(bits: int):
             least, base = [np.zeros(0, np.int64)], 0
             for part, own in _by_part(_part_of(keys, bits)):
                 values, times = restored(cell.owners[part])
-                least.append(np.repeat(np.frombuffer(values, np.int64), np.frombuffer(times, np.int64)))
+                least.append(np.repeat(_numbers(values, np.int64), _numbers(times, np.int64)))
                 contents = [order[i] for i in own]
                 sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
                 place.update(zip(contents, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
