@@ -21,7 +21,6 @@ from ..sources.store import remove, shared_folder
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))  # A-Z to a-z, of UTF-8 bytes
 _ASCII_LOWER = {code: code + 32 for code in range(65, 91)}
 NOBODY = 2**63 - 1  # in place of a null id: larger than any other
-_LEVEL = 4  # of compression: a tenth smaller than by default
 SPACES = b" \t\n\x0b\x0c\r"
 
 
@@ -108,11 +107,11 @@ def bounded_batches(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa
             yield batch.slice(start, end - start)
 
 
-def compressed(*arrays: np.ndarray | bytes) -> bytes:
+def compressed(*arrays: np.ndarray | bytes, level: int = 1) -> bytes:
     parts = [x if isinstance(x, bytes) else x.tobytes() for x in arrays]
     head = np.array([len(parts), *map(len, parts)], np.int64).tobytes()
     whole = head + b"".join(parts)
-    return np.int64(len(whole)).tobytes() + pa.Codec("zstd", compression_level=_LEVEL).compress(whole, asbytes=True)
+    return np.int64(len(whole)).tobytes() + pa.Codec("zstd", compression_level=level).compress(whole, asbytes=True)
 
 
 def restored(blob: bytes) -> list[bytes]:
@@ -123,7 +122,7 @@ def restored(blob: bytes) -> list[bytes]:
     return [whole[a:b] for a, b in zip([8 * (n + 1), *ends[:-1]], ends, strict=True)]
 
 
-def packed_cells(rows: DataFrame, most: int, size: int) -> DataFrame:
+def packed_cells(rows: DataFrame, most: int, size: int, level: int = 1) -> DataFrame:
     """``cell, data``: consecutive ``rows (doc_id, flag, text)`` in cells, one row each.
 
     A cell ends after ``most`` rows or ``size`` bytes of text.  Written, since a scan of the
@@ -137,10 +136,10 @@ def packed_cells(rows: DataFrame, most: int, size: int) -> DataFrame:
                 held.append((doc_id, flag, text.encode()))
                 n += len(held[-1][2])
                 if len(held) >= most or n >= size:
-                    yield _cell(cell, held)
+                    yield _cell(cell, held, level)
                     cell, held, n = cell + 1, [], 0
         if held:
-            yield _cell(cell, held)
+            yield _cell(cell, held, level)
 
     return written(rows.mapInArrow(run, "cell bigint, data binary"))
 
@@ -153,12 +152,12 @@ def parts_for(rows: DataFrame, size: int, least: int) -> int:
     return least
 
 
-def _cell(cell: int, held: list[tuple]) -> pa.RecordBatch:
+def _cell(cell: int, held: list[tuple], level: int) -> pa.RecordBatch:
     ids, flags, texts = zip(*held, strict=True)
     number = np.array([x if x is not None else NOBODY for x in ids], np.int64)
     known = np.array([x is not None for x in ids])
     length = np.array([len(text) for text in texts], np.int64)
-    data = compressed(number, known, np.array(flags, bool), length, b"".join(texts))
+    data = compressed(number, known, np.array(flags, bool), length, b"".join(texts), level=level)
     return pa.record_batch([pa.array([cell]), pa.array([data], pa.binary())], ["cell", "data"])
 
 

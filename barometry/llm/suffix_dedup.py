@@ -42,6 +42,7 @@ _HOT = 4000  # distinct stretches, added up over cells, from which on an anchor
 _CELL = 2**11, 2**23  # rows and bytes after which a cell ends
 _PARTS, _PART = 2**8, 2**27  # parts at least, and bytes of text from which on there are more
 _SLICE = 2**17
+_LEVEL = 4  # of compression: messages are a tenth smaller than at the first
 _INDEX = 2**20  # bytes of stretches in one index
 
 
@@ -177,7 +178,7 @@ def _named_anchors(bits: int):
             rows = []
             for part, own in _by_part(_part_of(known, bits)):
                 note = np.minimum(count[own], 2**15 - 1).astype(np.uint16) | (several[own].astype(np.uint16) << np.uint16(15))
-                rows.append((part, cell, _ANCHORS, compressed(_steps(known[own]), note)))
+                rows.append((part, cell, _ANCHORS, compressed(_steps(known[own]), note, level=_LEVEL)))
             yield _messages(rows)
 
     return run
@@ -199,7 +200,7 @@ def _repeated_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBa
         for cell, value, a, b in zip(cells, values, bounds[:-1], bounds[1:], strict=True):
             own = several[place[a:b]]
             if own.any():
-                rows.append((part, cell, _REPEATED, compressed(_steps(value[own]), hot[place[a:b]][own])))
+                rows.append((part, cell, _REPEATED, compressed(_steps(value[own]), hot[place[a:b]][own], level=_LEVEL)))
         yield _messages(rows)
 
 
@@ -276,7 +277,7 @@ def _sent_stretches(bits: int):
             rows = []
             for part, own in _by_part(_part_of(keys, bits)):
                 data = b"".join(order[i] for i in own)
-                rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(_steps(keys[own]), _bytewise(docs[own]), length[own], data)))
+                rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(_steps(keys[own]), _bytewise(docs[own]), length[own], data, level=_LEVEL)))
             yield _messages(rows)
 
     return run
@@ -468,7 +469,7 @@ def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     values[at : at + len(x)] = x
             # Neighbours mostly agree.
             first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            rows.append((part, cell, _OWNERS, compressed(_bytewise(values[first]), _bytewise(np.add.reduceat(times, first)))))
+            rows.append((part, cell, _OWNERS, compressed(_bytewise(values[first]), _bytewise(np.add.reduceat(times, first)), level=_LEVEL)))
         yield _messages(rows)
 
 
@@ -554,7 +555,7 @@ def remove_repeats(docs: DataFrame, part_bits: int | None = None) -> DataFrame:
 
     if part_bits is None:
         part_bits = parts_for(rows, _PART, _PARTS).bit_length() - 1
-    cells = packed_cells(rows, *_CELL)
+    cells = packed_cells(rows, *_CELL, level=_LEVEL)
     named = cells.mapInArrow(_named_anchors(part_bits), _MESSAGE)
     repeated = by(named, "part", "cell").mapInArrow(_repeated_anchors, _MESSAGE)
     packed = cells.select(F.lit(0).cast("bigint").alias("part"), "cell", F.lit(_TEXTS).alias("kind"), "data")
