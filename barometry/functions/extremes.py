@@ -80,9 +80,15 @@ def _date_of(value: str, date: str, sign: int) -> Column:
     number = F.col(value).cast("double")
     modest, units = _tenthousandths(number)
     days = F.coalesce(F.unix_date(date), F.lit(_NO_DATE)) + _DATE_SHIFT
-    bits = (ordered_bits(number) * sign).cast("decimal(19,0)")
     short = F.min(F.when(modest, units.cast("bigint") * (sign * 2**_DATE_BITS) + days))
-    long = F.min(F.when(~modest, bits * _DECIMAL_STEP + days.cast("decimal(8,0)")))
+
+    def packed(x: Column) -> Column:
+        return (ordered_bits(x) * sign).cast("decimal(19,0)") * _DECIMAL_STEP
+
+    # Within a function of an array the long expression is evaluated and not compiled, which
+    # for returns, of which few or none come here, takes longer than all the rest.
+    bits = F.get(F.transform(F.array(number), packed), F.lit(0))
+    long = F.min(F.when(~modest, bits + days.cast("decimal(8,0)")))
     extreme = F.min(number) if sign > 0 else F.max(number)
     last = F.pmod(long, F.lit(_DECIMAL_STEP)).cast("bigint")
     found = F.when(_tenthousandths(extreme)[0], F.pmod(short, F.lit(2**_DATE_BITS))).otherwise(last) - _DATE_SHIFT
