@@ -26,6 +26,7 @@ _SPACE = "▁"  # how the vocabulary writes a space
 _NEVER = np.int32(2**31 - 1)
 _CHUNK = 2**21  # bytes of text whose parts are held at once
 _KNOWN = 400_000  # parts whose counts are remembered; beyond it they are counted anew
+_LONG = 64  # characters; longer parts are not remembered, so that what is remembered has a bound in bytes
 _PART = re.compile(" *[^ ]+| +")
 _CUT = re.compile("[^ ] ")
 
@@ -174,6 +175,9 @@ def _counter(path: str):
                 for row, parts in held:
                     totals[row] += sum(map(known.__getitem__, parts))
                 held.clear()
+                for part in new:
+                    if len(part) > _LONG:
+                        del known[part]
 
             for row, text in enumerate(values):
                 for parts in _parts(text) if text else ():
@@ -195,8 +199,12 @@ def count_tokens(docs: DataFrame, vocabulary: str, limit: int = LIMIT) -> DataFr
     """Number of tokens of every whole text.
 
     A null text counts as empty: no bytes, no tokens.  Rows are counted one by one, so
-    repeated rows and null ids come back as they are.  ``vocabulary`` is the path of the
+    repeated rows and null ids come back as they are.  An empty table gives none, and columns
+    other than ``doc_id`` and ``text`` are not read.  ``vocabulary`` is the path of the
     vocabulary file on every executor.
+
+    A worker remembers the counts of so many parts of at most so many characters.  Besides it holds
+    2 MB of text, or one text with arrays over its longest part where that is longer.
     """
     counted = texts(docs).mapInArrow(_counter(vocabulary), "doc_id bigint, n_bytes bigint, n_tokens bigint")
     return counted.withColumn("over_limit", counted["n_tokens"] > limit)
