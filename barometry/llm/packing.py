@@ -30,6 +30,7 @@ CAPACITY = 2048  # tokens of a sequence
 _END = b"\0\0\0\0"  # id 0 ends a document
 _SLICE = 2**21  # bytes of text at once
 _KNOWN = 300_000  # parts of texts whose ids are remembered
+_LONG = 64  # characters; longer parts are not remembered, so that what is remembered has a bound in bytes
 _SLICES = 1024  # parts of a length that are numbered on their own
 
 
@@ -54,19 +55,26 @@ class Encoder:
     def _plain(self, text: str) -> bytes:
         return np.array(self._encoding.encode(text, allowed_special="all"), "<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        known = self._known
+    def _learn(self, parts: list[str]) -> list[str]:
+        """Makes all parts known, and returns the new ones that are too long to stay so."""
+        known, long = self._known, []
         for part in parts:
             if part not in known:
                 whole = part and not part[0].isspace() and not part[-1].isspace()
                 known[part] = self._plain(f" {part}") if whole else None
+                if len(part) > _LONG:
+                    long.append(part)
+        return long
 
     def encode(self, text: str) -> bytes:
         if len(self._known) > _KNOWN:
             self._known.clear()
         first, *parts = text.split(" ")
-        self._learn(parts)
-        if first[-1:].strip() and None not in (found := [self._known[part] for part in parts]):
+        long = self._learn(parts)
+        found = [self._known[part] for part in parts]
+        for part in long:
+            del self._known[part]
+        if first[-1:].strip() and None not in found:
             return b"".join([self._plain(first), *found])
         return self._plain(text)
 
@@ -229,5 +237,11 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slices: int = _SLICES) ->
 def pack_documents(
     docs: DataFrame, ranks: str, pattern: str, special: dict[str, int], capacity: int = CAPACITY
 ) -> DataFrame:
-    """One row per piece of a document with its sequence and place there."""
+    """One row per piece of a document with its sequence and place there.
+
+    A null text is empty and becomes its end alone, one piece of one token.  Rows are packed one by
+    one: repeated rows and null ids come back as often as they are, each with a place of its own.
+    Lengths that tie are numbered by id, piece and checksum.  An empty table gives no rows, and
+    columns other than ``doc_id`` and ``text`` are not read.
+    """
     return pack(tokenised_pieces(docs, ranks, pattern, special, capacity), capacity)
