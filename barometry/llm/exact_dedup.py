@@ -25,6 +25,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 BLOCK = 4096  # bytes
 _SLICE = 2**23  # bytes of text whose blocks are gathered before they are shuffled
+_UNPACKED = 2**22  # bytes of places that become rows at once
 _PLACE = [("row", "<i8"), ("slot", "<i8")]
 _ABOUT = [*_PLACE, ("doc_id", "<i8"), ("known", "?"), ("points", "<i8"), ("blocks", "<i8"), ("sha", "V32")]
 _NAME_BITS = 40  # names of one partition
@@ -68,24 +69,28 @@ def _pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _gathered([name.tobytes() for name in names], places)
 
 
-def _named(fields: list[tuple[str, str]]):
-    """Names for sorted keys, and a row for each of their places."""
+def _named(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Names for sorted keys; their places stay packed."""
+    name = (TaskContext.get().partitionId() << _NAME_BITS) - 1
+    last = None
+    for batch in batches:
+        names = []
+        for key in batch.column(0).to_pylist():
+            if key != last:
+                name, last = name + 1, key
+            names.append(name)
+        yield pa.record_batch([pa.array(names, pa.int64()), batch.column(1)], ["name", "places"])
+
+
+def _placed(fields: list[tuple[str, str]]):
+    """A row for each place of a name."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = (TaskContext.get().partitionId() << _NAME_BITS) - 1
-        last = None
-        for batch in batches:
-            names, parts = [], []
-            for key, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if key != last:
-                    name, last = name + 1, key
-                part = np.frombuffer(packed, fields)
-                parts.append(part)
-                names.append(np.full(len(part), name))
-            if not parts:
-                continue
+        for batch in bounded_batches(batches, _UNPACKED):
+            parts = [np.frombuffer(packed, fields) for packed in batch.column(1).to_pylist()]
             places = np.concatenate(parts)
-            columns = {n: places[n] for n, _ in fields} | {"name": np.concatenate(names)}
+            columns = {n: places[n] for n, _ in fields}
+            columns["name"] = np.repeat(batch.column(0).to_numpy(), [len(part) for part in parts])
             if "sha" in columns:
                 columns["sha"] = binary_column(x.tobytes() for x in places["sha"])
             yield pa.record_batch({n: pa.array(v) for n, v in columns.items()})
@@ -96,7 +101,9 @@ def _named(fields: list[tuple[str, str]]):
 def _give_names(gathered: DataFrame, fields: list[tuple[str, str]]) -> DataFrame:
     kinds = {"<i8": "bigint", "?": "boolean", "V32": "binary"}
     schema = ", ".join(f"{name} {kinds[kind]}" for name, kind in fields) + ", name bigint"
-    return gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_named(fields), schema)
+    named = gathered.repartition("key").sortWithinPartitions("key").mapInArrow(_named, "name bigint, places binary")
+    # The packed places of a frequent key are dealt out by what they hold before they become rows.
+    return named.repartition("places").mapInArrow(_placed(fields), schema)
 
 
 def exact_duplicates(docs: DataFrame, block: int = BLOCK, row: str | None = None) -> DataFrame:
@@ -111,6 +118,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, row: str | None = None
 
     Blocks that occur often, and pairs of names, are gathered with their places before
     the shuffle, so that a task gets one row of them per slice of input and not per document.
+    Named places are dealt out again, still packed, and become rows there: no task makes the rows
+    of all places of one block.  An empty table gives no rows.
     """
     number = F.col(row) if row else F.monotonically_increasing_id()
     rows = docs.select(number.alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -124,6 +133,8 @@ def exact_duplicates(docs: DataFrame, block: int = BLOCK, row: str | None = None
             F.max(F.when(even, F.col("name"))).alias("a"),
             F.coalesce(F.max(F.when(~even, F.col("name"))), F.lit(-1)).alias("b"),
         )
+        # In one order, so that a task that runs again packs the same places together.
+        paired = paired.sortWithinPartitions("row", "slot")
         names = _give_names(paired.mapInArrow(_pairs, "key binary, places binary"), _PLACE)
     about = first.filter("slot = 0").withColumn("doc_id", F.when(F.col("known"), F.col("doc_id")))
     kept_columns = ["row", "doc_id", "points", "blocks", "sha", "name"]
