@@ -6,13 +6,15 @@ draws from the known words and one unknown word alike.  A table of a context is
 customer of the parent.  Restaurants are keyed by 48 bits of the hash of their word, so
 that there are as many as words, and they grow with the corpus.
 
-Seating is sampled by Gibbs: a step takes one random customer out of every dish of every
-context and draws its table given the others; tables that close or open take their
-customer from the parent's tables, or seat it there, and the parent's dishes are redrawn
-alike.  One rule holds at every count, and tables are carried from step to step and from
-round to round.  A dish with one customer has one table and needs no drawing.  Work is
-spread as usual for such samplers: within a step the others are as the step found them,
-and within a round a task sees those changes of a restaurant that are its own.
+Seating is sampled by Gibbs: a sweep takes every customer of every dish of every context
+out once, in random order, and draws its table given the others; tables that close or open
+take their customer from the parent's tables, or seat it there, and the parent's customers
+are redrawn alike.  One rule holds at every count, and tables are carried from sweep to
+sweep and from round to round.  A dish with one customer has one table and needs no drawing.
+Work is spread as usual for such samplers: a sweep goes in steps, each of which takes one
+customer out of each dish, and one more for every 64 that sit there, and draws them given the
+others as the step found them; the parent's tables follow whenever half of the dishes are
+done, and within a round a task sees those changes of a restaurant that are its own.
 
 A task has some of the words with all their contexts.  The tables of a restaurant lie with
 many tasks: after each round, tasks send what they have beyond one table a dish to the
@@ -53,7 +55,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 FOLD, HELD_OUT = 10, 0
 DISCOUNTS = (0.6, 0.8)  # of all words, of a context
 STRENGTH = 1.0
-BURN_IN, KEPT, STEPS = 2, 2, 6  # rounds that are left out and kept, steps in each
+BURN_IN, KEPT, SWEEPS = 2, 2, 1  # rounds that are left out and kept, sweeps in each
+_SHARE = 64  # of so many customers of a dish one more is out at once
 PARTS, _PART = 256, 2**27  # into which the words are dealt by their hash, and bytes of text from which on there are more
 _CELL = 2**13, 2**25  # rows and bytes after which a cell ends
 _END = np.uint64(0x5851F42D4C957F2D)  # the token that ends a text, and the context of the next one's first word
@@ -84,6 +87,11 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
     return [_numbers(x) for x in restored(data)]
 
 
+def _distinct(x: np.ndarray) -> np.ndarray:
+    """Those of numbers in order that differ from the one before."""
+    return x[np.diff(x, prepend=-1) != 0]
+
+
 def _contexts(words: np.ndarray) -> np.ndarray:
     return (words >> np.uint64(16)).astype(np.int64)
 
@@ -203,11 +211,6 @@ class Seating:
     def tables(self) -> np.ndarray:
         return self._tables.copy()
 
-    def _places(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        after = np.cumsum(self._tables)
-        before = after - self._tables
-        return (before, after) if len(rows) == self.n else (before[rows], after[rows])
-
     def _inside(self, rows: np.ndarray) -> np.ndarray:
         member = np.zeros(self.n, bool)
         member[rows] = True
@@ -225,41 +228,108 @@ class Seating:
         self.sizes = np.empty(len(inside), np.int64)
         self.sizes[inside], self.sizes[~inside] = part.sizes, others
 
+    def leave(self, take: np.ndarray, rng: np.random.Generator, left: np.ndarray | None = None):
+        """Takes customers out of the dishes, ``take`` of each, any with the same chance.
+
+        ``left`` says how many of each table may go, by default all; those drawn twice go once.
+        Returns the dish of each that went, how many tables closed in each dish, and what is ``left``.
+        """
+        own = self.sizes if left is None else left
+        ends, last = np.cumsum(own), np.cumsum(self._tables)
+        high = np.r_[0, ends][last]
+        low = np.r_[0, high[:-1]]
+        size = high - low
+        take = np.minimum(take, size)
+        row = np.repeat(np.arange(self.n), take)
+        place = low[row] + (rng.random(len(row)) * size[row]).astype(np.int64)
+        several = len(row) > np.count_nonzero(take)
+        if several:
+            every = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
+            place = _distinct(np.sort(np.where((take == size)[row], every, place)))
+        at = np.searchsorted(ends, place, "right")
+        if several:
+            row = np.searchsorted(last, at, "right")
+        out = np.bincount(at, minlength=len(own))
+        self.sizes = self.sizes - out
+        left = None if left is None else left - out
+        empty = self.sizes[at] == 0
+        shut = _distinct(at[empty])
+        closed = np.bincount(np.searchsorted(last, shut, "right"), minlength=self.n)
+        if len(shut):
+            kept = np.ones(len(self.sizes), bool)
+            kept[shut] = False
+            self.sizes, self._tables = self.sizes[kept], self._tables - closed
+            left = None if left is None else left[kept]
+        return row, closed, left
+
+    def enter(self, row: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator, left=None):
+        """Draws tables for customers of the dishes ``row`` (in order) given those that sit there.
+
+        ``opening`` is the weight of a new table, of each dish: (strength + discount * tables of the
+        restaurant) times the parent's probability of the dish.  Returns how many tables
+        opened in each dish, and what is ``left`` (of a new table, nobody).
+        """
+        ends, after = np.r_[0.0, np.cumsum(self.sizes - discount)], np.cumsum(self._tables)
+        before = after - self._tables
+        weight = ends[after] - ends[before]
+        draw = rng.random(len(row)) * (weight + opening)[row]
+        new = (draw >= weight[row]) | (after == before)[row]
+        old, fresh = row[~new], row[new]
+        at = np.searchsorted(ends, ends[before[old]] + draw[~new], "right") - 1
+        self.sizes = self.sizes + np.bincount(np.clip(at, before[old], after[old] - 1), minlength=len(self.sizes))
+        opened = np.bincount(fresh, minlength=self.n)
+        if len(fresh):
+            others = np.ones(len(self.sizes) + len(fresh), bool)
+            others[after[fresh] + np.arange(len(fresh))] = False  # behind the other tables of the dish
+            sizes = np.ones(len(others), np.int64)
+            sizes[others] = self.sizes
+            self.sizes, self._tables = sizes, self._tables + opened
+            if left is not None:
+                sizes = np.zeros(len(others), np.int64)
+                sizes[others] = left
+                left = sizes
+        return opened, left
+
     def remove(self, rows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
-        """Takes one customer, any with the same chance, out of each of the dishes ``rows``; whether a table closed."""
-        ends = np.cumsum(self.sizes)
-        before, after = self._places(rows)
-        low = ends[before] - self.sizes[before]
-        at = np.searchsorted(ends, rng.integers(low, ends[after - 1]), "right")
-        self.sizes[at] -= 1
-        closed = self.sizes[at] == 0
-        if closed.any():
-            self.sizes = self.sizes[self.sizes > 0]
-            self._tables[rows[closed]] -= 1
-        return closed
+        """Takes one customer out of each of the dishes ``rows``; whether a table closed."""
+        return self.leave(np.bincount(rows, minlength=self.n), rng)[1][rows] > 0
 
     def add(self, rows: np.ndarray, opening: np.ndarray, discount: float, rng: np.random.Generator) -> np.ndarray:
-        """Seats one customer of each of the dishes ``rows`` given the others; whether a table opened.
-
-        ``opening`` is the weight of a new table: (strength + discount * tables of the
-        restaurant) times the parent's probability of the dish.
+        """Seats one customer of each of the dishes ``rows``, which are in order; whether a table opened."""
+        weights = np.zeros(self.n)
+        weights[rows] = opening
+        return self.enter(rows, weights, discount, rng)[0][rows] > 0
+
+    def redraw(self, discount: float, opening, moved, rest, rng: np.random.Generator, once: bool = False) -> None:
+        """A sweep: takes every customer out once and draws its table given the others.
+
+        A step takes one customer out of each dish, and one more for every ``_SHARE`` that sit
+        there, in random order.  ``opening(rows, closed)`` gives the weights of a new table of the
+        dishes ``rows``, less the tables that have closed, ``moved(rows, change)`` hears how many more
+        they have after a step, and ``rest()`` is called as half of the dishes are done.  If ``once``,
+        only the first customer of each dish is drawn.
         """
-        ends = np.r_[0.0, np.cumsum(self.sizes - discount)]
-        before, after = self._places(rows)
-        weight = ends[after] - ends[before]
-        draw = rng.random(len(rows)) * (weight + opening)
-        opened = (draw >= weight) | (after == before)
-        old = ~opened
-        at = np.searchsorted(ends, ends[before[old]] + draw[old], "right") - 1
-        self.sizes[np.clip(at, before[old], after[old] - 1)] += 1
-        new = after[opened] + np.arange(np.count_nonzero(opened))  # behind the other tables of the dish
-        others = np.ones(len(self.sizes) + len(new), bool)
-        others[new] = False
-        sizes = np.ones(len(others), np.int64)
-        sizes[others] = self.sizes
-        self.sizes = sizes
-        self._tables[rows[opened]] += 1
-        return opened
+        count = self.customers()
+        rows, alone = np.flatnonzero(count > 1), np.flatnonzero(count <= 1)
+        done, part = [(alone, self.taken(alone))], self.taken(rows)
+        left, count = part.sizes.copy(), count[rows]
+        waiting = count.copy()
+        while len(rows):
+            take = np.where(waiting > 0, 1 if once else count // _SHARE + 1, 0)
+            row, closed, left = part.leave(take, rng, left)
+            waiting -= np.bincount(row, minlength=len(rows))
+            opened, left = part.enter(row, opening(rows, closed), discount, rng, left)
+            moved(rows, opened - closed)
+            over = (waiting == 0) | once
+            if 2 * np.count_nonzero(over) >= len(rows):
+                done.append((rows[over], part.taken(np.flatnonzero(over))))
+                on = np.flatnonzero(~over)
+                left, part = left[part._inside(on)], part.taken(on)
+                rows, count, waiting = rows[on], count[on], waiting[on]
+                rest()
+        dish = np.concatenate([np.repeat(rows, part._tables) for rows, part in done])
+        self.sizes = np.concatenate([part.sizes for _, part in done])[np.argsort(dish, kind="stable")]
+        self._tables = np.bincount(dish, minlength=self.n)
 
 
 class Part:
@@ -296,50 +366,66 @@ class Part:
         return np.bincount(self.home, tables - 1, len(self.restaurants)).astype(np.int64)
 
     def step(self, tables: np.ndarray, root: list[float], rng: np.random.Generator, first: bool = False) -> None:
-        """Redraws one customer of every dish.
+        """Redraws one customer of every dish; see :meth:`sweep`."""
+        self._redraw(tables, root, rng, first, True)
+
+    def sweep(self, tables: np.ndarray, root: list[float], rng: np.random.Generator, first: bool = False) -> None:
+        """Redraws every customer of every dish.
 
         ``tables`` are those of ``restaurants`` over all parts, ``root`` holds the customers and
         tables of the parent and one more than the words that are known; both are kept up to
-        date with what is drawn here.  In the ``first`` step the parent's seating starts anew.
+        date with what is drawn here.  In the ``first`` sweep the parent's seating starts anew.
         """
+        self._redraw(tables, root, rng, first, False)
+
+    def _redraw(self, tables: np.ndarray, root: list[float], rng: np.random.Generator, first: bool, once: bool) -> None:
         d0, d1 = DISCOUNTS
-        rows = np.arange(self.low.n)
         customers, top_tables = self.top.customers(), self.top.tables()
-        if len(rows):
-            closed = self.low.remove(rows, rng)
-            left = customers[self.word] - closed
-            parent = np.maximum(left - d0 * np.minimum(top_tables[self.word], left), 0) + (STRENGTH + d0 * root[1]) / root[2]
-            parent /= STRENGTH + root[0] - closed
-            opened = self.low.add(rows, (STRENGTH + d1 * (tables[self.home] - closed)) * parent, d1, rng)
-            change = opened.astype(np.int64) - closed
-            tables += np.bincount(self.home, change, len(tables)).astype(np.int64)
-            change = np.bincount(self.word, change, self.top.n).astype(np.int64)
-            if first:
-                self.top = Seating.start(customers + change)
-            else:
-                self._follow(self.top, change, (STRENGTH + d0 * root[1]) / root[2], rng)
-        rows = np.flatnonzero(self.top.customers())
-        if len(rows):
-            self.top.remove(rows, rng)
-            self.top.add(rows, np.full(len(rows), (STRENGTH + d0 * root[1]) / root[2]), d0, rng)
-        root[0] += self.top.sizes.sum() - customers.sum()
-        root[1] += len(self.top.sizes) - top_tables.sum()
+
+        def opening(rows: np.ndarray, closed: np.ndarray) -> np.ndarray:
+            word, home = self.word[rows], self.home[rows]
+            left = customers[word] - closed
+            parent = np.maximum(left - d0 * np.minimum(top_tables[word], left), 0) + (STRENGTH + d0 * root[1]) / root[2]
+            return (STRENGTH + d1 * (tables[home] - closed)) * parent / (STRENGTH + root[0] - closed)
+
+        def moved(rows: np.ndarray, change: np.ndarray) -> None:
+            at = np.flatnonzero(change)
+            np.add.at(tables, self.home[rows[at]], change[at])
+            np.add.at(customers, self.word[rows[at]], change[at])
+            root[0] += change.sum()
+
+        def follow() -> None:
+            """Tables that have closed and opened take their customers from the parent's tables, or seat them there."""
+            if not first:
+                self._follow(self.top, customers - self.top.customers(), (STRENGTH + d0 * root[1]) / root[2], rng)
+                top_tables[:], root[1] = self.top.tables(), root[1] + len(self.top.sizes) - top_tables.sum()
+
+        def top_opening(rows: np.ndarray, closed: np.ndarray) -> np.ndarray:
+            return (STRENGTH + d0 * (root[1] - closed)) / root[2]
+
+        def top_moved(_: np.ndarray, change: np.ndarray) -> None:
+            root[1] += change.sum()
+
+        self.low.redraw(d1, opening, moved, follow, rng, once)
+        if first:
+            self.top = Seating.start(customers)
+            root[1] += len(self.top.sizes) - top_tables.sum()
+        self.top.redraw(d0, top_opening, top_moved, lambda: None, rng, once)
 
     @classmethod
     def _follow(cls, seating: Seating, change: np.ndarray, opening: float, rng: np.random.Generator) -> None:
-        """Customers of the parent go and come one by one, as tables have closed and opened."""
+        """Customers of the parent go and come, as tables have closed and opened, as many at once as in a step of a sweep."""
         while len(rows := np.flatnonzero(change)):
             if 2 * len(rows) <= seating.n:  # most dishes are done: go on with the others alone
                 part = seating.taken(rows)
                 cls._follow(part, change[rows], opening, rng)
                 seating.put(rows, part)
                 return
-            gone, come = np.flatnonzero(change < 0), np.flatnonzero(change > 0)
-            if len(gone):
-                seating.remove(gone, rng)
-            if len(come):
-                seating.add(come, np.full(len(come), opening), DISCOUNTS[0], rng)
-            change = change - np.sign(change)
+            most = seating.customers() // _SHARE + 1
+            gone = np.bincount(seating.leave(np.clip(-change, 0, most), rng)[0], minlength=seating.n)
+            come = np.clip(change, 0, most)
+            seating.enter(np.repeat(np.arange(seating.n), come), np.full(seating.n, opening), DISCOUNTS[0], rng)
+            change = change + gone - come
 
 
 # Rounds ---------------------------------------------------------------------
@@ -431,13 +517,13 @@ def _final(samples: int):
     return run
 
 
-def _round(number: int, seed: int, root: list[float], keep: bool, steps: int):
+def _round(number: int, seed: int, root: list[float], keep: bool, sweeps: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p, rows in _part_groups(batches):
             part, own, rng = Part.unpacked(rows[0][1]), list(root), np.random.default_rng([seed, number, p])
             tables = np.concatenate([np.zeros(0, np.int64), *(_unpacked(data)[0] for _, data in rows[1:])])
-            for i in range(steps):
-                part.step(tables, own, rng, number == 0 and i == 0)
+            for i in range(sweeps):
+                part.sweep(tables, own, rng, number == 0 and i == 0)
             if keep:
                 part.kept.append((part.low.tables(), part.top.customers(), part.top.tables()))
             yield _state(p, part)
@@ -556,7 +642,7 @@ def score_texts(
     parts: int | None = None,
     burn_in: int = BURN_IN,
     kept: int = KEPT,
-    steps: int = STEPS,
+    sweeps: int = SWEEPS,
 ) -> DataFrame:
     """log10 probabilities of all texts, learned from those outside the held-out fold.
 
@@ -565,7 +651,7 @@ def score_texts(
     consists of its end; a row with a null id is learned from.  Repeated rows are learned
     from and scored each.  All unknown words are one word to the model, as to the unigram.
     An empty table gives no rows.  ``parts`` is a power of two, by default one that grows with
-    the texts; ``burn_in`` rounds of ``steps`` are left out before ``kept`` (one or more) are
+    the texts; ``burn_in`` rounds of ``sweeps`` are left out before ``kept`` (one or more) are
     averaged.  Returns ``doc_id, held_out, n_tokens, n_known`` (tokens that are in the
     training texts), ``train_tokens, base_score`` (smoothed unigram) and ``score`` (the model).
     """
@@ -578,7 +664,7 @@ def score_texts(
     parts = parts or parts_for(texts, _PART, PARTS)
     cells = packed_cells(texts, *_CELL)
     merged = written(_by_part(cells.mapInArrow(_asked(parts), _ROW)).mapInArrow(_merged, _ROW))
-    answers, tokens, words, roots = _sampled(merged, seed, parts, burn_in, kept, steps)
+    answers, tokens, words, roots = _sampled(merged, seed, parts, burn_in, kept, sweeps)
     asking = cells.select(F.lit(True).alias("is_text"), F.lit(None).cast("int").alias("part"), "cell", "data")
     together = answers.select(F.lit(False).alias("is_text"), "part", "cell", "data").unionByName(asking)
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
@@ -592,7 +678,7 @@ def _root(state: DataFrame) -> tuple[int, int]:
     return customers or 0, tables or 0
 
 
-def _sampled(merged: DataFrame, seed: int, parts: int, burn_in: int, kept: int, steps: int):
+def _sampled(merged: DataFrame, seed: int, parts: int, burn_in: int, kept: int, sweeps: int):
     """Answers to the cells, the training tokens, the words, and the parent's customers and tables in the kept rounds."""
     model = merged.where(F.col("cell") == _PAIRS)
     words, tokens = model.mapInArrow(_vocabulary, "words bigint, tokens bigint").agg(F.sum("words"), F.sum("tokens")).first()
@@ -607,7 +693,7 @@ def _sampled(merged: DataFrame, seed: int, parts: int, burn_in: int, kept: int,
             replies = _by_part(came).mapInArrow(_replies, _ROW)
             seen = _by_part(state.select("part", "cell", "data").unionByName(replies))
             root = [*roots[-1], words + 1]
-            state = written(seen.mapInArrow(_round(i, seed, root, i >= burn_in, steps), _STATE_ROW))
+            state = written(seen.mapInArrow(_round(i, seed, root, i >= burn_in, sweeps), _STATE_ROW))
         roots.append(_root(state))
         states.pop()  # the last one is read below; those of earlier rounds go
     came = totals.unionByName(state.mapInArrow(_extras(parts, True), _ROW))

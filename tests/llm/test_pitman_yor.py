@@ -92,6 +92,72 @@ def test_one_dish_follows_the_restaurant():
     assert seating.tables().mean() == pytest.approx(expected, rel=0.03)
 
 
+def mean_tables(n, opening, discount):
+    """Of one dish with ``n`` customers, over all seatings with their weights."""
+    weights = {1: 0.0}  # logarithms, by the number of tables
+    for seated in range(1, n):
+        grown = defaultdict(lambda: -math.inf)
+        for t, w in weights.items():
+            grown[t] = np.logaddexp(grown[t], w + math.log(seated - discount * t))
+            grown[t + 1] = np.logaddexp(grown[t + 1], w + math.log(opening))
+        weights = grown
+    chances = {t: math.exp(w - max(weights.values())) for t, w in weights.items()}
+    return sum(t * x for t, x in chances.items()) / sum(chances.values())
+
+
+@pytest.mark.parametrize(("n", "opening"), [(2, 0.3), (40, 4.0), (300, 20.0)])
+def test_sweeps_of_a_dish_of_any_size_follow_the_restaurant(n, opening):
+    rng, discount, dishes = np.random.default_rng(3), 0.8, 300
+    seating, expected, found = Seating.start(np.full(dishes, n)), mean_tables(n, opening, discount), []
+    for _ in range(60):
+        seating.redraw(discount, lambda rows, _: np.full(len(rows), opening), lambda *_: None, lambda: None, rng)
+        found.append(seating.tables().mean())
+    assert (seating.customers() == n).all() and (np.diff(seating.dish) >= 0).all() and seating.sizes.min() > 0
+    assert np.mean(found[40:]) == pytest.approx(expected, rel=0.04)
+
+
+def test_a_sweep_draws_every_customer_once(monkeypatch):
+    left, leave = Counter(), Seating.leave
+
+    def counted(self, take, rng, waiting=None):
+        gone = leave(self, take, rng, waiting)
+        left.update(map(int, self.names[gone[0]]))
+        return gone
+
+    def taken(self, rows, take=Seating.taken):
+        part = take(self, rows)
+        part.names = self.names[rows]
+        return part
+
+    monkeypatch.setattr(Seating, "leave", counted)
+    monkeypatch.setattr(Seating, "taken", taken)
+    customers = np.array([1, 2, 64, 0, 65, 3, 5000, 1, 129])
+    seating, rng, tables = Seating.start(customers), np.random.default_rng(5), np.zeros(9, np.int64)
+    seating.names = np.arange(9)
+    before = seating.tables()
+
+    def moved(rows, change):
+        tables[rows] += change
+
+    seating.redraw(0.8, lambda rows, _: np.full(len(rows), 3.0), moved, lambda: None, rng)
+    assert [left[i] for i in range(9)] == np.where(customers > 1, customers, 0).tolist()
+    assert (seating.customers() == customers).all() and (seating.tables() == before + tables).all()
+
+
+def test_sweeps_keep_parent_and_totals_up_to_date():
+    rng = np.random.default_rng(6)
+    word, context, counts = np.repeat(np.arange(30), 20), np.tile(np.arange(20), 30), rng.zipf(1.3, 600).clip(1, 4000)
+    part = Part.start(30, word, context, counts)
+    dishes = np.bincount(part.home)
+    root, tables = [float(part.top.sizes.sum()), float(len(part.top.sizes)), 31], dishes + part.extra(part.low.tables())
+    for i in range(4):
+        part.sweep(tables, root, rng, i == 0)
+        assert root[:2] == [part.top.sizes.sum(), len(part.top.sizes)]
+        assert (part.low.customers() == counts[counts > 1]).all()
+        assert part.top.customers().tolist() == (part.single + np.bincount(part.word, part.low.tables(), 30)).tolist()
+        assert (tables == dishes + part.extra(part.low.tables())).all()
+
+
 def test_state_survives_packing():
     part = Part.start(3, np.array([0, 0, 1, 2]), np.array([5, 9, 5, 7]), np.array([4, 1, 9, 2**33]))
     root = [float(part.top.sizes.sum()), float(len(part.top.sizes)), 4]
