@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import sys
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,7 @@ BURN_IN, KEPT, SWEEPS = 2, 2, 1  # rounds that are left out and kept, sweeps in
 _SHARE = 64  # of so many customers of a dish one more is out at once
 PARTS, _PART = 256, 2**27  # into which the words are dealt by their hash, and bytes of text from which on there are more
 _CELL = 2**13, 2**25  # rows and bytes after which a cell ends
+_AT_ONCE = 2**15  # bytes of text from which on words are hashed
 _END = np.uint64(0x5851F42D4C957F2D)  # the token that ends a text, and the context of the next one's first word
 _PAIRS, _TOTALS, _WORDS, _STATE = -4, -3, -2, -1  # in the column of cells, before the cells of a part
 _ROW = "part int, cell bigint, data binary"
@@ -69,7 +71,7 @@ _ROW = "part int, cell bigint, data binary"
 
 def _bytes(x: np.ndarray, width: int = 8) -> bytes:
     """Whole numbers as planes: all lowest bytes, then the next ones; the empty ones compress to nothing."""
-    return np.ascontiguousarray(x.astype(np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+    return np.ascontiguousarray(np.ascontiguousarray(x, np.int64).view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
 
 
 def _numbers(data: bytes, width: int = 8) -> np.ndarray:
@@ -89,7 +91,47 @@ def _unpacked(data: bytes) -> list[np.ndarray]:
 
 def _distinct(x: np.ndarray) -> np.ndarray:
     """Those of numbers in order that differ from the one before."""
-    return x[np.diff(x, prepend=-1) != 0]
+    return x[_changes(x)]
+
+
+def _changes(x: np.ndarray) -> np.ndarray:
+    """Whether each number differs from the one before; the first one does."""
+    result = np.ones(len(x), bool)
+    np.not_equal(x[1:], x[:-1], out=result[1:])
+    return result
+
+
+def _sums(x: np.ndarray) -> np.ndarray:
+    """The sum of no number, of the first one, of the first two, and so on."""
+    result = np.zeros(len(x) + 1, x.dtype)
+    x.cumsum(out=result[1:])
+    return result
+
+
+def _numbered(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct numbers in order, and which of them each is."""
+    found = pa.array(x).dictionary_encode()
+    known = found.dictionary.to_numpy()
+    order = known.argsort()
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return known[order], rank[found.indices.to_numpy()]
+
+
+def _numbered_pairs(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct pairs ``x << 32 | y`` in order, and which of them each is; ``x`` and ``y`` are small whole numbers."""
+    low, place = (int(z).bit_length() for z in (y.max(initial=0), len(y)))
+    if int(x.max(initial=0)).bit_length() + low + place > 63:
+        return _numbered(x << 32 | y)
+    # With their places behind them the numbers are sorted as they are.
+    order = np.sort((x << low | y) << place | np.arange(len(x)))
+    pair = order >> place
+    first = _changes(pair)
+    order &= (1 << place) - 1
+    number = np.empty(len(x), np.int64)
+    number[order] = first.cumsum() - 1
+    pair = pair[first]
+    return pair >> low << 32 | pair & ((1 << low) - 1), number
 
 
 def _contexts(words: np.ndarray) -> np.ndarray:
@@ -120,11 +162,33 @@ def cell_pairs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     Returns the distinct words in order, for each pair its word and its context (numbers of
     words; in order), for each token its word and its pair, and the tokens of each text.
     """
-    every = [np.append(word_hashes(lower_bytes(text)), _END) for text in texts]
-    words, word = np.unique(np.concatenate(every), return_inverse=True)
+    every, lengths = _tokens(texts)
+    words, word = _numbered(every)
     end = np.searchsorted(words, _END)
-    pairs, pair = np.unique(word << 32 | np.append(end, word[:-1]), return_inverse=True)
-    return words, pairs >> 32, pairs & 0xFFFFFFFF, word, pair, np.array([len(x) for x in every])
+    pairs, pair = _numbered_pairs(word, np.append(end, word[:-1]))
+    return words, pairs >> 32, pairs & 0xFFFFFFFF, word, pair, lengths
+
+
+def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of the words of each text with its end, text after text, and how many each has."""
+    hashes, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    at = 0
+    while at < len(texts):
+        # Many texts go through the hashes at once, but no more than fit the caches.
+        end, size = at, 0
+        while end < len(texts) and size < _AT_ONCE:
+            size, end = size + len(texts[end]) + 1, end + 1
+        found, begins = word_hashes(lower_bytes(b" ".join(texts[at:end])), places=True)
+        bounds = _sums(np.array([len(text) + 1 for text in texts[at:end]]))
+        hashes.append(found)
+        counts.append(np.diff(begins.searchsorted(bounds)))
+        at = end
+    lengths = np.concatenate(counts) + 1
+    every = np.empty(lengths.sum(), np.uint64)
+    is_word = np.ones(len(every), bool)
+    is_word[lengths.cumsum() - 1] = False
+    every[is_word], every[~is_word] = np.concatenate(hashes), _END
+    return every, lengths
 
 
 def _asked(parts: int):
@@ -161,15 +225,18 @@ def _merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, contexts, counts = map(np.concatenate, (words, contexts, counts))
         order = np.lexsort((contexts, words))
         words, contexts = words[order], contexts[order]
-        first = np.r_[True, (words[1:] != words[:-1]) | (contexts[1:] != contexts[:-1])]
+        first = _changes(words) | _changes(contexts)
         number = np.empty(len(order), np.int64)
         number[order] = np.cumsum(first) - 1
         counts = np.bincount(number, counts).astype(np.int64)
         known, sizes = np.unique(words[first], return_counts=True)
         yield _batch([(part, _PAIRS, _packed(sizes, contexts[first], counts))])
         yield _batch([(part, _WORDS, _packed(sizes, _contexts(known), counts))])
-        for (cell, _), own in zip(asks, np.split(number, np.cumsum(lengths)[:-1]), strict=True):
-            yield _batch([(part, cell, _packed(np.diff(own, prepend=0)))])
+        steps = _sums(np.array(lengths))
+        for (cell, _), a, b in zip(asks, steps[:-1], steps[1:], strict=True):
+            own = number[a:b].copy()
+            own[1:] -= number[a : b - 1]
+            yield _batch([(part, cell, _packed(own))])
 
 
 def _model(data: bytes) -> tuple[int, np.ndarray, np.ndarray, np.ndarray]:
@@ -205,8 +272,8 @@ class Seating:
         return np.repeat(np.arange(self.n), self._tables)
 
     def customers(self) -> np.ndarray:
-        ends = np.r_[0, np.cumsum(self.sizes)]
-        return np.diff(ends[np.r_[0, np.cumsum(self._tables)]])
+        ends = _sums(self.sizes)[_sums(self._tables)]
+        return ends[1:] - ends[:-1]
 
     def tables(self) -> np.ndarray:
         return self._tables.copy()
@@ -214,7 +281,7 @@ class Seating:
     def _inside(self, rows: np.ndarray) -> np.ndarray:
         member = np.zeros(self.n, bool)
         member[rows] = True
-        return np.repeat(member, self._tables)
+        return member.repeat(self._tables)
 
     def taken(self, rows: np.ndarray) -> Seating:
         """The dishes ``rows`` alone."""
@@ -235,27 +302,30 @@ class Seating:
         Returns the dish of each that went, how many tables closed in each dish, and what is ``left``.
         """
         own = self.sizes if left is None else left
-        ends, last = np.cumsum(own), np.cumsum(self._tables)
-        high = np.r_[0, ends][last]
-        low = np.r_[0, high[:-1]]
-        size = high - low
+        sums, last = _sums(own), self._tables.cumsum()
+        ends, low = sums[1:], sums[last - self._tables]
+        size = sums[last] - low
         take = np.minimum(take, size)
-        row = np.repeat(np.arange(self.n), take)
+        row = np.arange(self.n).repeat(take)
         place = low[row] + (rng.random(len(row)) * size[row]).astype(np.int64)
         several = len(row) > np.count_nonzero(take)
         if several:
-            every = low[row] + np.arange(len(row)) - np.repeat(np.cumsum(take) - take, take)
-            place = _distinct(np.sort(np.where((take == size)[row], every, place)))
-        at = np.searchsorted(ends, place, "right")
+            every = np.arange(len(row)) + (low - take.cumsum() + take)[row]
+            place = np.where((take == size)[row], every, place)
+            place.sort()
+            place = _distinct(place)
+        at = ends.searchsorted(place, "right")
         if several:
-            row = np.searchsorted(last, at, "right")
+            row = last.searchsorted(at, "right")
         out = np.bincount(at, minlength=len(own))
         self.sizes = self.sizes - out
         left = None if left is None else left - out
         empty = self.sizes[at] == 0
         shut = _distinct(at[empty])
-        closed = np.bincount(np.searchsorted(last, shut, "right"), minlength=self.n)
-        if len(shut):
+        if not len(shut):
+            closed = np.zeros(self.n, np.int64)
+        else:
+            closed = np.bincount(last.searchsorted(shut, "right"), minlength=self.n)
             kept = np.ones(len(self.sizes), bool)
             kept[shut] = False
             self.sizes, self._tables = self.sizes[kept], self._tables - closed
@@ -269,14 +339,17 @@ class Seating:
         restaurant) times the parent's probability of the dish.  Returns how many tables
         opened in each dish, and what is ``left`` (of a new table, nobody).
         """
-        ends, after = np.r_[0.0, np.cumsum(self.sizes - discount)], np.cumsum(self._tables)
+        ends, after = _sums(self.sizes - discount), self._tables.cumsum()
         before = after - self._tables
-        weight = ends[after] - ends[before]
+        start = ends[before]
+        weight = ends[after] - start
         draw = rng.random(len(row)) * (weight + opening)[row]
-        new = (draw >= weight[row]) | (after == before)[row]
-        old, fresh = row[~new], row[new]
-        at = np.searchsorted(ends, ends[before[old]] + draw[~new], "right") - 1
-        self.sizes = self.sizes + np.bincount(np.clip(at, before[old], after[old] - 1), minlength=len(self.sizes))
+        new = (draw >= weight[row]) | (self._tables == 0)[row]
+        seated = ~new
+        old, fresh = row[seated], row[new]
+        at = ends.searchsorted(start[old] + draw[seated], "right") - 1
+        at = np.minimum(np.maximum(at, before[old]), after[old] - 1)
+        self.sizes = self.sizes + np.bincount(at, minlength=len(self.sizes))
         opened = np.bincount(fresh, minlength=self.n)
         if len(fresh):
             others = np.ones(len(self.sizes) + len(fresh), bool)
@@ -342,7 +415,20 @@ class Part:
     def __init__(self, word, contexts, single, low: Seating, top: Seating, kept=()):
         self.word, self.contexts, self.single, self.low, self.top = word, contexts, single, low, top
         self.kept = list(kept)
-        self.restaurants, self.home = np.unique(contexts, return_inverse=True)
+
+    @cached_property
+    def _restaurants(self) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(self.contexts, return_inverse=True)
+
+    @property
+    def restaurants(self) -> np.ndarray:
+        """The contexts of ``low``, in order."""
+        return self._restaurants[0]
+
+    @property
+    def home(self) -> np.ndarray:
+        """The restaurant of each dish of ``low``."""
+        return self._restaurants[1]
 
     @classmethod
     def start(cls, words: int, word: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> Part:
@@ -390,8 +476,9 @@ class Part:
 
         def moved(rows: np.ndarray, change: np.ndarray) -> None:
             at = np.flatnonzero(change)
-            np.add.at(tables, self.home[rows[at]], change[at])
-            np.add.at(customers, self.word[rows[at]], change[at])
+            rows, change = rows[at], change[at]
+            np.add.at(tables, self.home[rows], change)
+            np.add.at(customers, self.word[rows], change)
             root[0] += change.sum()
 
         def follow() -> None:
@@ -491,21 +578,22 @@ def _extras(parts: int, kept: bool):
 
 
 def _tables(rows: list[tuple[int, bytes]], samples: int) -> tuple[np.ndarray, list[np.ndarray], list]:
-    """Restaurants of a part, their tables in each sample, and what came from other parts."""
+    """Restaurants of a part, their tables in each sample, and which of them are those of each other part."""
     known, dishes = _unpacked(rows[0][1])
-    sums = [dishes.copy() for _ in range(samples)]
-    came = [(source, *_unpacked(data)) for source, data in rows[1:]]
-    for _, contexts, *extras in came:
-        at = np.searchsorted(known, contexts)
+    sums, places = [dishes.copy() for _ in range(samples)], []
+    for source, data in rows[1:]:
+        contexts, *extras = _unpacked(data)
+        at = known.searchsorted(contexts)
+        places.append((source, at))
         for total, extra in zip(sums, extras, strict=True):
             total[at] += extra
-    return known, sums, came
+    return known, sums, places
 
 
 def _replies(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part, rows in _part_groups(batches):
-        known, (total,), came = _tables(rows, 1)
-        yield _batch([(source, part, _packed(total[np.searchsorted(known, contexts)])) for source, contexts, _ in came])
+        _, (total,), places = _tables(rows, 1)
+        yield _batch([(source, part, _packed(total[at])) for source, at in places])
 
 
 def _final(samples: int):

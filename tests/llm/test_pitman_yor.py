@@ -8,8 +8,10 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 
-from barometry.llm.common import words_of
+from barometry.llm import pitman_yor
+from barometry.llm.common import lower_bytes, word_hashes, words_of
 from barometry.llm.pitman_yor import (
+    _AT_ONCE,
     _END,
     DISCOUNTS,
     STRENGTH,
@@ -17,6 +19,7 @@ from barometry.llm.pitman_yor import (
     Seating,
     _differences,
     _from_differences,
+    _numbered_pairs,
     cell_pairs,
     score_texts,
 )
@@ -64,6 +67,38 @@ def test_pairs_of_texts():
     assert len(own) == len({*zip(tokens.tolist(), before.tolist(), strict=True)})
 
 
+def test_short_texts_are_hashed_together(monkeypatch):
+    """Calls grow with the bytes and not with the texts, and the pairs are those of text after text."""
+    rng, calls = random.Random(8), []
+    texts = [b" ".join(rng.choices([b"A", b"b", b"cD", b"\t", "\u00e9".encode()], k=i % 7)) for i in range(3000)]
+    texts[50] = b" x" * _AT_ONCE
+
+    def counted(data, *args, **kinds):
+        calls.append(len(data))
+        return word_hashes(data, *args, **kinds)
+
+    monkeypatch.setattr(pitman_yor, "word_hashes", counted)
+    words, own, context, word, pair, lengths = cell_pairs(texts)
+    assert len(calls) <= 2 + sum(len(text) + 1 for text in texts) // _AT_ONCE
+    every = [np.append(word_hashes(lower_bytes(text)), _END) for text in texts]
+    tokens = np.concatenate(every)
+    known, number = np.unique(tokens, return_inverse=True)
+    before = np.append(np.searchsorted(known, _END), number[:-1])
+    pairs, which = np.unique(number << 32 | before, return_inverse=True)
+    expected = known, pairs >> 32, pairs & 0xFFFFFFFF, number, which, [len(x) for x in every]
+    for x, y in zip((words, own, context, word, pair, lengths), expected, strict=True):
+        assert np.array_equal(x, y)
+
+
+@pytest.mark.parametrize("large", [1, 2**28])
+def test_pairs_are_numbered_in_order(large):
+    rng = np.random.default_rng(9)
+    x, y = (rng.integers(0, 30, 500) * large for _ in range(2))
+    pairs, number = _numbered_pairs(x, y)
+    expected = np.unique(x << 32 | y, return_inverse=True)
+    assert np.array_equal(pairs, expected[0]) and np.array_equal(number, expected[1])
+
+
 def test_one_dish_follows_the_restaurant():
     """Tables after many steps against all seatings with their weights."""
     rng, opening, discount, dishes, n = np.random.default_rng(2), 0.7, 0.5, 4000, 7
