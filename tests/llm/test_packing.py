@@ -23,6 +23,16 @@ def test_ids_are_those_of_the_library(corpus):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
 
 
+def test_long_texts_are_encoded_in_one_call():
+    encoder = Encoder(*MAKE)
+    calls, plain = [], encoder._plain
+    encoder._plain = lambda text: calls.append(text) or plain(text)
+    for text in ("rare words of a text " * 40, "a<|endoftext|> b\n\n  c 漢字 " * 30, "z" * 65):
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == LIBRARY.encode(text, add_special_tokens=False).ids
+        assert calls.pop() == text and not calls
+    assert not encoder._known
+
+
 def test_pieces_fill_sequences_without_gaps(corpus):
     docs, rows = corpus
     found = pack_documents(docs, *MAKE).collect()
