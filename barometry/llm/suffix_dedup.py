@@ -20,8 +20,9 @@ strings are sent one by one, by their own hash, and equal ones are merged where
 from __future__ import annotations
 
 import hashlib
+import itertools
 import sys
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -88,25 +89,27 @@ def _stretched(pieces: list[tuple[int, int, bytes]]):
     least, sums, inverse = anchors(np.frombuffer(data, np.uint8))
     length = np.array([len(piece) for *_, piece in pieces])
     begin = np.cumsum(length) - length
-    # Only strings inside of a piece count.
+    # Only strings inside of a piece count: one starts where its piece does, and none behind its last string.
     count = length - LENGTH + 1
-    at = np.arange(count.sum()) + np.repeat(begin - (np.cumsum(count) - count), count)
-    piece = np.repeat(np.arange(len(pieces)), count)
-    value = least[at]
-    first = np.r_[True, (value[1:] != value[:-1]) | (piece[1:] != piece[:-1])]
-    starts = np.flatnonzero(first)
-    size = np.diff(np.r_[starts, len(at)])
+    fresh = np.empty(len(least) + 1, bool)
+    fresh[0] = fresh[-1] = True
+    np.not_equal(least[1:], least[:-1], out=fresh[1:-1])
+    fresh[begin] = fresh[begin + count] = True
+    edges = np.flatnonzero(fresh)
+    piece = np.searchsorted(begin, edges[:-1], side="right") - 1
+    inside = edges[:-1] < (begin + count)[piece]
+    starts, size, piece = edges[:-1][inside], np.diff(edges)[inside], piece[inside]
     # A stretch of equal anchors is no longer than a string has anchors.
     parts = -(-size // _WINDOW)
     number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(starts, parts) + number * _WINDOW
     size = np.minimum(np.repeat(size, parts) - number * _WINDOW, _WINDOW)
-    owner = np.array([i for i, *_ in pieces])[piece[starts]]
-    offset = at[starts] - begin[piece[starts]] + np.array([s for _, s, _ in pieces])[piece[starts]]
-    begin = at[starts]
-    held = mixed((sums[begin + size + LENGTH - 1] - sums[begin]) * inverse[begin])
+    piece = np.repeat(piece, parts)
+    owner = np.array([i for i, *_ in pieces])[piece]
+    offset = starts - begin[piece] + np.array([s for _, s, _ in pieces])[piece]
+    held = mixed((sums[starts + size + LENGTH - 1] - sums[starts]) * inverse[starts])
     # Smallest hashes are small; mixed again they are even, and so are the parts.
-    return data, owner, begin, offset, size, mixed(value[starts]) >> _SHIFT, held
+    return data, owner, starts, offset, size, mixed(least[starts]) >> _SHIFT, held
 
 
 # Cells --------------------------------------------------------------------
@@ -164,7 +167,11 @@ def _named_anchors(bits: int):
                 owners.append(owner)
                 contents.append(held)
             value, owner, held = (np.concatenate(x) for x in (values, owners, contents))
-            order = np.lexsort((held, value))
+            order = np.argsort(value)
+            step = np.r_[True, value[order[1:]] != value[order[:-1]], True]
+            tied = np.flatnonzero(~(step[:-1] & step[1:])[: len(order)])
+            own = order[tied]
+            order[tied] = own[np.lexsort((held[own], value[own]))]
             value, owner, held = value[order], owner[order], held[order]
             fresh = np.r_[True, value[1:] != value[:-1]][: len(value)]
             first = np.flatnonzero(fresh)
@@ -221,12 +228,19 @@ class Cell:
         """Slices with their repeated stretches: contents, texts, offsets, numbers of strings, keys."""
         if not len(self.anchors):
             return
+        # Most stretches have no repeated anchor, nor one that begins like it.
+        bits = min(len(self.anchors).bit_length() + 3, 24)
+        shift = np.uint64(64 - int(_SHIFT) - bits)
+        maybe = np.zeros(2**bits, bool)
+        maybe[self.anchors >> shift] = True
         for data, owner, at, offset, size, anchor, _ in stretches(self.texts):
-            place = np.minimum(np.searchsorted(self.anchors, anchor), len(self.anchors) - 1)
-            kept = np.flatnonzero(self.anchors[place] == anchor)
+            kept = np.flatnonzero(maybe[anchor >> shift])
+            place = np.minimum(np.searchsorted(self.anchors, anchor[kept]), len(self.anchors) - 1)
+            found = self.anchors[place] == anchor[kept]
+            kept, place = kept[found], place[found]
             if not len(kept):
                 continue
-            hot = self.hot[place[kept]]
+            hot = self.hot[place]
             cold, warm = kept[~hot], kept[hot]
             # Strings of a split anchor stand alone, under a key of their own.
             each = size[warm]
@@ -244,19 +258,21 @@ class Cell:
             yield contents, text, where, strings, keys
 
 
-def _least(contents: list[bytes], docs: np.ndarray, keys: np.ndarray) -> tuple[dict[bytes, int], dict[bytes, int]]:
-    """The smallest id and the key of every distinct stretch."""
-    falling = np.argsort(-docs, kind="stable")
-    least = dict(zip(map(contents.__getitem__, falling.tolist()), docs[falling].tolist(), strict=True))
-    return least, dict(zip(contents, keys.tolist(), strict=True))
+def _numbering() -> defaultdict[bytes, int]:
+    """Numbers stretches from 0 on, in the order in which each is met first."""
+    return defaultdict(itertools.count().__next__)
 
 
-def _in_order(key_of: dict[bytes, int]) -> tuple[list[bytes], np.ndarray]:
-    """Stretches by key, then by what they hold: those with one key are neighbours, in the part's index too."""
-    order = sorted(key_of)
-    keys = np.array([key_of[content] for content in order], np.uint64)
-    by_key = np.argsort(keys, kind="stable")
-    return [order[i] for i in by_key.tolist()], keys[by_key]
+def _numbers_of(contents: list[bytes], number: defaultdict[bytes, int]) -> np.ndarray:
+    return np.fromiter(map(number.__getitem__, contents), np.int64, len(contents))
+
+
+def _by_key(numbers: np.ndarray, keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all stretches by key, and their keys: those with one key are neighbours, in the part's index too."""
+    key = np.empty(n, np.uint64)
+    key[numbers] = keys
+    order = np.argsort(key, kind="stable")
+    return order, key[order]
 
 
 def _sent_stretches(bits: int):
@@ -265,18 +281,22 @@ def _sent_stretches(bits: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in groups(batches, 1):
             cell = Cell(table)
-            every, docs, keys = [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            number = _numbering()
+            numbers, docs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for contents, text, _, _, own in cell.repeated():
-                every += contents
+                numbers.append(_numbers_of(contents, number))
                 docs.append(cell.ids[text])
                 keys.append(own)
-            least, key_of = _least(every, np.concatenate(docs), np.concatenate(keys))
-            order, keys = _in_order(key_of)
-            docs = np.array([least[content] for content in order], np.int64)
-            length = np.array([len(content) for content in order], np.uint8)
+            numbers, every = np.concatenate(numbers), list(number)
+            least = np.full(len(every), NOBODY)
+            np.minimum.at(least, numbers, np.concatenate(docs))
+            order, keys = _by_key(numbers, np.concatenate(keys), len(every))
+            docs = least[order]
+            every = [every[i] for i in order.tolist()]
+            length = np.fromiter(map(len, every), np.uint8, len(every))
             rows = []
             for part, own in _by_part(_part_of(keys, bits)):
-                data = b"".join(order[i] for i in own)
+                data = b"".join(map(every.__getitem__, own.tolist()))
                 rows.append((part, table["cell"][0].as_py(), _STRETCHES, compressed(_steps(keys[own]), _bytewise(docs[own]), length[own], data, level=_LEVEL)))
             yield _messages(rows)
 
@@ -301,20 +321,24 @@ def suffix_array(symbols: np.ndarray, number: np.ndarray, to_end: np.ndarray) ->
     for k in range(width):
         rank = rank << 9 | np.where(to_end > k, padded[k : k + n], 0)
     rank = rank << 18 | np.where(to_end < width, number, 0)
-    while True:
-        order = np.argsort(rank)
-        step = rank[order]
-        fresh = np.empty(n, np.int64)
-        fresh[0] = 0
-        np.cumsum(step[1:] != step[:-1], out=fresh[1:])
-        if fresh[-1] == n - 1:
-            return order
-        rank[order] = fresh
-        following = np.zeros(n, np.int64)
-        following[:-width] = rank[width:] + 1
-        rank *= n + 1
-        rank += following
+    order = np.argsort(rank)
+    step = rank[order]
+    fresh = np.r_[True, step[1:] != step[:-1]]
+    # A rank is the first place of equal ones, which no later round changes: only those that tie go on.
+    rank[order] = np.maximum.accumulate(np.where(fresh, np.arange(n), 0))
+    tied = np.flatnonzero(~(fresh & np.r_[fresh[1:], True]))
+    while len(tied):
+        own = order[tied]
+        following = np.where(own + width < n, rank[np.minimum(own + width, n - 1)] + 1, 0)
+        step = rank[own] * (n + 1) + following
+        by_step = np.argsort(step)
+        own, step = own[by_step], step[by_step]
+        order[tied] = own
+        fresh = np.r_[True, step[1:] != step[:-1]]
+        rank[own] = np.maximum.accumulate(np.where(fresh, tied, 0))
+        tied = tied[~(fresh & np.r_[fresh[1:], True])]
         width *= 2
+    return order
 
 
 class RunIndex:
@@ -352,9 +376,9 @@ class RunIndex:
         self.below = agreement.of(order[after - 1], order[after % self.n])
         self.below[after == self.n] = 0
 
-    def matching_statistics(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    def matching_statistics(self) -> Iterator[tuple[np.ndarray, ...]]:
         """From the ends backwards, one symbol of all stretches at a time: the stretches still
-        open, the position in them, their rows, and how far each agrees with the row above.
+        open, the position in them, their rows, and how far each agrees with the rows above and below.
 
         The longest match of a position elsewhere in the text is the larger of its agreements
         with the rows above and below.
@@ -364,14 +388,20 @@ class RunIndex:
         above, below = np.zeros(len(row), np.int64), np.zeros(len(row), np.int64)
         position = self.sizes.copy()
         lengths = np.diff(np.r_[self.starts, self.n])
+        # The run of a row: how many runs begin up to it, by bits that mark where they do.
+        marks = np.zeros(-(-self.n // 64) * 64, bool)
+        marks[self.starts] = True
+        marks = np.packbits(marks, bitorder="little").view("<u8")
+        before = np.cumsum(np.bitwise_count(marks), dtype=np.int64) - 1
         while len(open_):
-            run = np.searchsorted(self.starts, row, side="right") - 1
+            word = row >> 6
+            run = before[word] - np.bitwise_count(marks[word] >> (row & 63).astype(np.uint64) >> np.uint64(1))
             inside = row - self.starts[run]
             above = np.where(inside == 0, self.above[run], above + 1)
             below = np.where(inside == lengths[run] - 1, self.below[run], below + 1)
             row = self.leads[run] + inside
             position = position - 1
-            yield open_, position, row, np.stack([above, below])
+            yield open_, position, row, above, below
             more = position > 0
             open_, row, position, above, below = (x[more] for x in (open_, row, position, above, below))
 
@@ -401,75 +431,73 @@ class _Agreement:
 
 def smallest_owners(contents: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     """For every string of every stretch the smallest id whose stretch holds it."""
+    least, strings = _least(contents, docs)
+    return np.split(least, np.cumsum(strings)[:-1])
+
+
+def _least(contents: list[bytes], docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same for all stretches in one row, and how many strings each has."""
     index = RunIndex(contents)
     strings = index.sizes - LENGTH + 1
     first = np.cumsum(strings) - strings
     linked = np.zeros(index.n + 1, bool)  # does a row hold the same string as the row above
     rows = np.empty(strings.sum(), np.int64)
-    for open_, position, row, match in index.matching_statistics():
+    for open_, position, row, above, below in index.matching_statistics():
         whole = position < strings[open_]
         open_, position, row = open_[whole], position[whole], row[whole]
         rows[first[open_] + position] = row
-        linked[row] |= match[0][whole] >= LENGTH
-        linked[row + 1] |= match[1][whole] >= LENGTH
+        linked[row] |= above[whole] >= LENGTH
+        linked[row + 1] |= below[whole] >= LENGTH
     string = (np.cumsum(~linked[:-1]) - 1)[rows]
     least = np.full(index.n, NOBODY)
     np.minimum.at(least, string, np.repeat(docs, strings))
-    return np.split(least[string], first[1:])
+    return least[string], strings
 
 
 def _owners(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For each cell the smallest ids of the strings in its stretches, in their order."""
     for table in groups(batches, 1):
         part, cells = table["part"][0].as_py(), table["cell"].to_pylist()
-        least: dict[bytes, int] = {}
-        key_of: dict[bytes, int] = {}
-        orders = []
+        number = _numbering()
+        numbers, ids, keys = [], [], []
         for blob in table["data"]:
-            keys, docs, length, data = restored(blob.as_py())
+            steps, docs, length, data = restored(blob.as_py())
             ends = np.cumsum(np.frombuffer(length, np.uint8), dtype=np.int64).tolist()
-            own = [data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
-            for content, key, doc in zip(own, _risen(keys).tolist(), _numbers(docs, np.int64).tolist(), strict=True):
-                if doc < least.get(content, NOBODY + 1):
-                    least[content], key_of[content] = doc, key
-            orders.append(own)
-        found: dict[bytes, np.ndarray] = {}
-        block: list[bytes] = []
-        size, last = 0, None
-        # A stretch that is the only one of its key shares no string with another.
-        alone = Counter(key_of.values())
-        several = []
-        for content, key in key_of.items():
-            if alone[key] > 1:
-                several.append(content)
-            else:
-                found[content] = least[content]
-        for content in [*sorted(several, key=key_of.__getitem__), None]:
-            # Equal strings have equal keys: an index ends where a key does.
-            if block and (content is None or (size > _INDEX and key_of[content] != last)):
-                docs = np.array([least[c] for c in block], np.int64)
-                found.update(zip(block, smallest_owners(block, docs), strict=True))
-                block, size = [], 0
-            if content is not None:
-                block.append(content)
-                size += len(content)
-                last = key_of[content]
+            numbers.append(_numbers_of([data[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)], number))
+            ids.append(_numbers(docs, np.int64))
+            keys.append(_risen(steps))
+        contents, every = list(number), np.concatenate(numbers)
+        least = np.full(len(contents), NOBODY)
+        np.minimum.at(least, every, np.concatenate(ids))
+        order, key = _by_key(every, np.concatenate(keys), len(contents))
+        edges = np.flatnonzero(np.r_[True, key[1:] != key[:-1], True])
+        # A stretch that is the only one of its key shares no string with another: it has one id, others one for each string.
+        alone = np.repeat(np.diff(edges) == 1, np.diff(edges))
+        strings = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
+        single, several = order[alone], order[~alone]
+        values, begin, size = [least[single]], 0, 0
+        held = np.cumsum(strings[several] + LENGTH - 1)
+        # Equal strings have equal keys: an index ends where a key does.
+        last = np.r_[key[~alone][1:] != key[~alone][:-1], True][: len(several)]
+        for end in (np.flatnonzero(last) + 1).tolist():
+            if held[end - 1] - size > _INDEX or end == len(several):
+                block = several[begin:end]
+                values.append(_least([contents[i] for i in block.tolist()], least[block])[0])
+                begin, size = end, held[end - 1]
+        ids = np.concatenate(values)
+        own = np.r_[single, several]
+        count, place, times = strings.copy(), np.empty(len(own), np.int64), np.ones(len(own), np.int64)
+        count[single], times[single] = 1, strings[single]
+        place[own] = np.cumsum(count[own]) - count[own]
         rows = []
-        for cell, own in zip(cells, orders, strict=True):
-            # One id for a stretch alone, else one for each string.
-            ids = [found[content] for content in own]
-            sizes = np.fromiter((1 if isinstance(x, int) else len(x) for x in ids), np.int64, len(ids))
-            values = np.empty(sizes.sum(), np.int64)
-            times = np.ones(len(values), np.int64)
-            first = np.cumsum(sizes) - sizes
-            for at, x, content in zip(first.tolist(), ids, own, strict=True):
-                if isinstance(x, int):
-                    values[at], times[at] = x, len(content) - LENGTH + 1
-                else:
-                    values[at : at + len(x)] = x
+        for cell, own in zip(cells, numbers, strict=True):
+            sizes = count[own]
+            step = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            found = ids[np.repeat(place[own], sizes) + step]
             # Neighbours mostly agree.
-            first = np.flatnonzero(np.r_[True, values[1:] != values[:-1]])
-            rows.append((part, cell, _OWNERS, compressed(_bytewise(values[first]), _bytewise(np.add.reduceat(times, first)), level=_LEVEL)))
+            first = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
+            total = np.add.reduceat(np.repeat(times[own], sizes), first)
+            rows.append((part, cell, _OWNERS, compressed(_bytewise(found[first]), _bytewise(total), level=_LEVEL)))
         yield _messages(rows)
 
 
@@ -484,34 +512,33 @@ def _cut(bits: int):
             cell = Cell(table)
             repeated = list(cell.repeated())
             # Which ids the strings of each distinct stretch have, in the order in which they were sent.
-            key_of: dict[bytes, int] = {}
-            for contents, _, _, _, keys in repeated:
-                key_of.update(zip(contents, keys.tolist(), strict=True))
-            order, keys = _in_order(key_of)
-            place: dict[bytes, int] = {}
+            number = _numbering()
+            numbers = [_numbers_of(contents, number) for contents, *_ in repeated]
+            sizes = np.fromiter(map(len, number), np.int64, len(number)) - LENGTH + 1
+            every = np.concatenate([np.zeros(0, np.int64), *numbers])
+            order, keys = _by_key(every, np.concatenate([np.zeros(0, np.uint64), *(keys for *_, keys in repeated)]), len(number))
+            place = np.empty(len(number), np.int64)
             least, base = [np.zeros(0, np.int64)], 0
             for part, own in _by_part(_part_of(keys, bits)):
                 values, times = restored(cell.owners[part])
                 least.append(np.repeat(_numbers(values, np.int64), _numbers(times, np.int64)))
-                contents = [order[i] for i in own]
-                sizes = np.fromiter(map(len, contents), np.int64, len(contents)) - LENGTH + 1
-                place.update(zip(contents, (base + np.cumsum(sizes) - sizes).tolist(), strict=True))
+                own = order[own]
+                place[own] = base + np.cumsum(sizes[own]) - sizes[own]
                 base += len(least[-1])
             owners = np.concatenate(least)
             # All texts in one row of bytes; a string that goes adds one from its start to its end.
             length = np.array([len(text) for text in cell.texts], np.int64)
             begin = np.cumsum(length + 1) - (length + 1)
-            covered = np.zeros(int((length + 1).sum()), np.int64)
-            for contents, text, where, strings, _ in repeated:
-                at = np.fromiter(map(place.__getitem__, contents), np.int64, len(contents))
+            covered = np.zeros(int((length + 1).sum()), np.int8)  # no more than LENGTH strings cover a byte
+            for (_, text, where, strings, _), own in zip(repeated, numbers, strict=True):
                 step = np.arange(strings.sum()) - np.repeat(np.cumsum(strings) - strings, strings)
-                smaller = owners[np.repeat(at, strings) + step] < np.repeat(cell.ids[text], strings)
+                smaller = owners[np.repeat(place[own], strings) + step] < np.repeat(cell.ids[text], strings)
                 start = (np.repeat(begin[text] + where, strings) + step)[smaller]
                 if len(start):
                     # Every string starts but once, so that no place is counted twice.
                     covered[start] += 1
                     covered[start + LENGTH] -= 1
-            gone_everywhere = np.cumsum(covered) > 0
+            gone_everywhere = np.cumsum(covered, dtype=np.int8) > 0
             rows = []
             for i, text in enumerate(cell.texts):
                 removed, kept = [], text

@@ -56,6 +56,24 @@ def test_index_finds_every_equal_string():
         assert [list(x) for x in smallest_owners(contents, docs)] == expected
 
 
+def test_later_rounds_sort_only_what_ties(monkeypatch):
+    rng = random.Random(6)
+    contents = [bytes(rng.choices(b"abcdefgh", k=70)) for _ in range(60)]
+    contents += [contents[0][:69] + b"z", contents[1][1:]]
+    sizes = np.array([len(c) + 1 for c in contents])
+    ends = np.cumsum(sizes) - 1
+    symbols = np.frombuffer(b"\0".join(contents) + b"\0", np.uint8).astype(np.int64) + 1
+    symbols[ends] = 0
+    number = np.repeat(np.arange(len(contents)), sizes)
+    sorted_, argsort = [], np.argsort
+    monkeypatch.setattr(np, "argsort", lambda a, *args, **kw: sorted_.append(len(a)) or argsort(a, *args, **kw))
+    order = suffix_dedup.suffix_array(symbols, number, ends[number] - np.arange(len(symbols)))
+    assert len(sorted_) > 2 and sum(sorted_) < 2 * len(symbols)
+    # An end sorts before all bytes, and ends like their stretches.
+    suffix = [(*symbols[p : ends[i]].tolist(), 0, int(i)) for p, i in enumerate(number)]
+    assert order.tolist() == sorted(range(len(symbols)), key=suffix.__getitem__)
+
+
 def test_spans_are_given(spark):
     same = "0123456789" * 6
     docs = spark.createDataFrame([(1, same), (2, "before" + same + "after")], "doc_id long, text string")
