@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import sys
 from collections.abc import Callable, Iterator
 from decimal import Decimal
@@ -18,6 +19,8 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _CANCELLED = 1e-4
 _TILE = 128, 512  # tickers of the left and right side whose pairs are held at once
 _AT_ONCE = 2**12  # pairs that are computed one by one
+_SORTED = 2**24  # pairs that are put into order together, 16 bytes each
+_POSITION = 36  # bits for the place of a pair among these
 
 
 def cell_function(top: int | None, partners: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -39,14 +42,15 @@ def correlate_cell(table: pa.Table, top: int | None = None, partners: int | None
 
 
 def _correlated(table: pa.Table, top: int | None, partners: int | None) -> Iterator[pa.Table]:
-    """The pairs of a cell in tables: one for each tile of the cell, or one of the best pairs."""
+    """The pairs of a cell in tables: many of as many rows as a tile has, or one of the best pairs."""
     cell = _Cell(table)
     if top is not None:
         yield cell.table(*_top(cell, top))
         return
     if partners is None:
-        for rows, columns in cell.tiles():
-            yield cell.table(*_pairs(cell, rows, columns))
+        for rows, columns in cell.stretches():
+            for pairs in _in_order(cell, rows, columns):
+                yield cell.table(*pairs)
         return
     best, most = [_pairs(cell, cell.lefts[:0], cell.rights[:0])], 0
     for rows, columns in cell.tiles():
@@ -65,6 +69,30 @@ def _pairs(cell: _Cell, rows: np.ndarray, columns: np.ndarray) -> tuple[np.ndarr
     return *cell.named(rows[i], columns[j]), correlation
 
 
+def _in_order(cell: _Cell, rows: np.ndarray, columns: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """The pairs of a stretch by rising correlation, unknown ones first, a tile's number at a time.
+
+    Equal values then follow each other once they are rounded, and a column file has to keep each but once:
+    the values are nearly all of a table of pairs, and in the order of the tickers nothing shortens them.
+    One number has the first bits of the value and the place of the pair, so that sorting needs no further array.
+    """
+    value, keys = np.empty((len(rows), len(columns))), [np.zeros(0, np.int64)]
+    for i, j in cell.places(rows, columns):
+        found, wanted = value[i, j], cell.wanted(rows[i], columns[j])
+        found[:] = _pearson_all(cell.values[rows[i]], cell.values[columns[j]], wanted)
+        x, y = np.nonzero(wanted)
+        # No correlation is outside of -2 and 2, however it is rounded.
+        rank = np.nan_to_num((found[x, y] + 2) * 2.0**24, nan=0.0).astype(np.int64)
+        keys.append((rank << _POSITION) | ((x + i.start) * len(columns) + y + j.start))
+    key = np.concatenate(keys)
+    del keys
+    key.sort()
+    for start in range(0, len(key), _TILE[0] * _TILE[1]):
+        place = key[start : start + _TILE[0] * _TILE[1]] & (2**_POSITION - 1)
+        x, y = np.divmod(place, len(columns))
+        yield *cell.named(rows[x], columns[y]), value.reshape(-1)[place]
+
+
 def _joined(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
@@ -172,13 +200,26 @@ class _Cell:
 
     def tiles(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Rows of the left and the right side, so many together that their pairs are held at once."""
-        for i in range(0, len(self.lefts), _TILE[0]):
-            rows = self.lefts[i : i + _TILE[0]]
-            for j in range(0, len(self.rights), _TILE[1]):
-                columns = self.rights[j : j + _TILE[1]]
+        for i, j in self.places(self.lefts, self.rights):
+            yield self.lefts[i], self.rights[j]
+
+    def stretches(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of the left and the right side, so many together that their pairs are put into order together."""
+        across = math.ceil(len(self.rights) * _TILE[0] / _SORTED)
+        down = math.ceil(len(self.lefts) * len(self.rights) / max(across, 1) / _SORTED)
+        for rows in np.array_split(self.lefts, max(down, 1)):
+            for columns in np.array_split(self.rights, max(across, 1)):
+                yield rows, columns
+
+    def places(self, lefts: np.ndarray, rights: np.ndarray) -> Iterator[tuple[slice, slice]]:
+        """Where the tiles of some rows of the left and the right side are among them."""
+        for i in range(0, len(lefts), _TILE[0]):
+            rows = lefts[i : i + _TILE[0]]
+            for j in range(0, len(rights), _TILE[1]):
+                columns = rights[j : j + _TILE[1]]
                 # Below the diagonal of a block with itself the pairs are those above it.
                 if not self.mirrored[columns].all() or self.order[rows[0]] < self.order[columns[-1]]:
-                    yield rows, columns
+                    yield slice(i, i + len(rows)), slice(j, j + len(columns))
 
     def wanted(self, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
         a, b = self.order[rows][:, None], self.order[columns]

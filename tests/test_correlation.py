@@ -7,6 +7,7 @@ import math
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyarrow import parquet
 from pyspark.sql import functions as F
 
 from barometry import operators as op
@@ -252,6 +253,32 @@ def test_pairs_leave_a_large_cell_in_parts():
     assert all(r in few for r in best.values()) and len(few) <= 1500
 
 
+@pytest.mark.parametrize("together", [2**24, 2**16, 50])
+@pytest.mark.parametrize("mirrored", [False, True])
+def test_pairs_in_order_are_those_of_the_tiles(monkeypatch, together, mirrored):
+    returns = odd_returns(700, 12, 6)
+    cell = cell_of(returns, [True] * 700)
+    cell = pa.concat_tables([cell, cell_of(returns, [False] * 700, True)]) if mirrored else cell_of(returns, (np.arange(700) % 3 == 0).tolist())
+    made = pearson._Cell(cell)
+    names = np.array(cell["ticker"].to_pylist())
+    tiles = [pearson._pairs(made, *tile) for tile in made.tiles()]
+    expected = {(names[a], names[b]): v for part in tiles for a, b, v in zip(*part, strict=True)}
+    monkeypatch.setattr(pearson, "_SORTED", together)
+    found = correlate_cell(cell).to_pylist()
+    pairs = {(r["ticker_a"], r["ticker_b"]): math.nan if r["correlation"] is None else r["correlation"] for r in found}
+    assert len(pairs) == len(found) and pairs == pytest.approx(expected, nan_ok=True, abs=1e-9)
+
+
+def test_pairs_of_a_cell_take_half_the_room_in_order(tmp_path):
+    """Equal values follow each other once they are rounded, and a column file keeps them once."""
+    returns = np.random.default_rng(9).normal(size=(4000, 30))
+    pairs = correlate_cell(cell_of(returns, (np.arange(4000) < 2000).tolist()))
+    values = pairs["correlation"].to_numpy()
+    assert len(values) == 2000 * 2000 and (np.diff(values) > -1e-6).all()
+    parquet.write_table(pairs.set_column(2, "correlation", pa.array(np.round(values, 6))), tmp_path / "pairs", row_group_size=len(values))
+    assert (tmp_path / "pairs").stat().st_size < 6 * len(values)
+
+
 def test_a_large_universe_does_not_multiply_the_rows_sent(spark, market):
     df, returns = market
     many = spark.range(200_000).selectExpr("concat('C', id) AS ticker")
