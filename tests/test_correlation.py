@@ -3,6 +3,8 @@ from __future__ import annotations
 import datetime as dt
 import itertools
 import math
+import re
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -182,6 +184,36 @@ def test_moments_of_old_and_new_dates_add_up_to_those_of_all(spark):
     assert {(r[0], r[1]): [int(x) for x in r[3:]] for r in in_order(whole)} == by_hand
 
 
+def test_large_sums_are_exact_without_a_number_object_per_pair():
+    rng = np.random.default_rng(11)
+    returns = np.round(rng.normal(size=(60, 20)) * 10.0 ** rng.integers(0, 7, (60, 1)), 4)
+    returns[rng.random(returns.shape) < 0.2] = np.nan
+    largest = 2**40 - 1
+    returns[0], returns[1], returns[2] = largest / 1e4, -largest / 1e4, np.where(np.arange(20) % 2, 1, -1) * largest / 1e4
+    whole, known = np.rint(np.nan_to_num(returns) * 1e4), [(~np.isnan(returns)).astype(float)]
+    i, j = np.nonzero(np.ones((60, 60), bool))
+    limbs = pearson._limbs(whole)
+    for sums in (pearson._exact(limbs, limbs, i, j), pearson._exact_squares(limbs, known, i, j), pearson._exact(limbs, known, i, j)):
+        assert {part.dtype for part in sums} == {np.dtype(np.int64)}
+    cell = cell_of(returns, (np.arange(60) % 2 == 0).tolist())
+    rows = [r for batch in pearson.moments_of_cell(iter(cell.to_batches())) for r in batch.to_pylist()]
+    assert len(rows) == 900
+    for r in rows:
+        a, b = (int(r[name][1:]) for name in ("ticker_a", "ticker_b"))
+        both = ~np.isnan(returns[a]) & ~np.isnan(returns[b])
+        x, y = ([int(v) for v in whole[t][both]] for t in (a, b))
+        squares = [sum(u * v for u, v in zip(*pair, strict=True)) for pair in ((x, x), (y, y), (x, y))]
+        assert [int(r[name]) for name in correlation.MOMENTS[1:]] == [len(x), sum(x), sum(y), *squares]
+
+
+def test_sums_are_shuffled_once_and_added_after_it(spark):
+    moments = spark.createDataFrame([("A", "B", 2, 2, 3, 5, Decimal(5), Decimal(13), Decimal(8))], correlation._MOMENTS)
+    merged = op.merge_moments([moments, moments])
+    steps = re.findall(r"Exchange|HashAggregate", merged._jdf.queryExecution().sparkPlan().toString())
+    assert steps == ["HashAggregate", "HashAggregate", "Exchange"]
+    assert [tuple(r) for r in merged.collect()] == [("A", "B", 4, 4, 6, 10, 10, 26, 16)]
+
+
 def test_returns_too_large_for_exact_sums_are_an_error(spark):
     given = closes(spark, "A", "2024-01-01", [1, 2]).union(bars(spark, ("B", "2024-01-01", 1e-3, 1, 1, 1e9, 1)))
     with pytest.raises(Exception, match="100 million percent"):
